@@ -98,6 +98,10 @@ _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Which bytes are part of a word, and of a word of letters only (bytes of multi-byte characters count as letters).
+SOLID = ~_SPACE
+LETTERS = np.zeros(256, bool)
+LETTERS[65:91] = LETTERS[97:123] = LETTERS[128:] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -124,9 +128,9 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of many texts: start and end (byte positions), doc (index of the text) and hash (64 bits)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = True, within: np.ndarray = SOLID):
         n = len(data)
-        solid = ~_SPACE[data]
+        solid = within[data]
         first, last = solid.copy(), solid.copy()
         first[1:] &= ~solid[:-1]
         last[:-1] &= ~solid[1:]
@@ -139,10 +143,16 @@ class Words:
         up, down = powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((_FOLDED if fold else _BYTE)[data] * up[:n], out=sums[1:])
+        self._sums, self._down = sums, down
         raw = (sums[self.end] - sums[self.start]) * down[self.start]
         self.hash = mix64(raw ^ (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         self.n_docs = len(offsets) - 1
 
+    def affix(self, n: int, front: bool) -> np.ndarray:
+        """Hashes of the first or last n bytes of each word (all of a shorter one)."""
+        a, b = (self.start, np.minimum(self.start + n, self.end)) if front else (np.maximum(self.end - n, self.start), self.end)
+        return mix64((self._sums[b] - self._sums[a]) * self._down[a] + np.uint64(n * 2 + front))
+
     def counts(self) -> np.ndarray:
         return np.bincount(self.doc, minlength=self.n_docs)
 
