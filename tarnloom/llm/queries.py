@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, fingerprints, mixing, packing, toxicity, urls, warc
+from . import common, fingerprints, mixing, neardups, packing, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardups.link(_table(spark, sf_dir, "documents"))
+
+
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
@@ -46,7 +50,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("_row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_warc, op4_fingerprints, op5_toxicity, op8_url_filters, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_warc, op4_fingerprints, op5_toxicity, op7_near_dups, op8_url_filters, op10_mixing)}
 
 _BASE32_SQL = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, {1 + 5 * k}, 5))::INT) >> {shift}) & 31) + 1, 1)" for k in range(8) for shift in (15, 10, 5, 0)
@@ -85,4 +89,15 @@ ORACLE_SQL = {
               FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
         e AS (SELECT *, CASE WHEN source_size > 0 THEN quota // source_size ELSE 0 END AS whole FROM q)
         SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, quota - whole * source_size - before)))::BIGINT AS taken FROM e""",
+    "op7_near_dups": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))
+                                                WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+        x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+        l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id
+              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        c AS (SELECT a AS node, b AS reach FROM l UNION SELECT c.node, l.b FROM c JOIN l ON c.reach = l.a)
+        SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, least(s.doc_id, coalesce(min(reach), s.doc_id)) AS component_id,
+               s.doc_id <= coalesce(min(reach), s.doc_id) AS kept
+        FROM s LEFT JOIN c ON c.node = s.doc_id GROUP BY s.doc_id, len(sh)""",
 }
