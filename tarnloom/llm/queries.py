@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, fingerprints, mixing, neardups, packing, toxicity, urls, warc
+from . import common, fingerprints, htmltext, mixing, neardups, packing, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write(_table(spark, sf_dir, "pages"), common.work_path(spark, "warc"))
     return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -50,7 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("_row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_warc, op4_fingerprints, op5_toxicity, op7_near_dups, op8_url_filters, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_html, op3_warc, op4_fingerprints, op5_toxicity, op7_near_dups, op8_url_filters, op10_mixing)}
 
 _BASE32_SQL = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, {1 + 5 * k}, 5))::INT) >> {shift}) & 31) + 1, 1)" for k in range(8) for shift in (15, 10, 5, 0)
