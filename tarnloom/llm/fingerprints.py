@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,9 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 
 K, S = 24, 8
+#: For texts of fewer than 2 * SHORT code points there are anchors of this finer size too; those of fewer than SHORT have only these.
+FINE_K, FINE_S = 8, 4
+SHORT = 160
 #: Anchors in a fingerprint.
 ANCHORS = 64
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -69,15 +73,18 @@ def _windows_at(inner: np.ndarray, at: np.ndarray, k: int, s: int) -> np.ndarray
 
 
 def sketch(points: np.ndarray, size: int = ANCHORS) -> np.ndarray:
-    """(hash, position) as uint32 pairs in text order: the anchors with the smallest hashes, each hash once."""
-    at, h = anchors(points)
-    h, first = np.unique(h, return_index=True)
-    keep = np.sort(first[:size])
-    out = np.empty((len(keep), 2), np.uint32)
-    rank = {int(f): int(v) for f, v in zip(first[:size], h[:size] >> np.uint64(32), strict=True)}
-    out[:, 0] = [rank[int(f)] for f in keep]
-    out[:, 1] = np.minimum(at[keep], 2**32 - 1)
-    return out
+    """(hash, position) as uint32 pairs in text order: of each scale the anchors with the smallest hashes, each hash
+    once. The hash's lowest bit is 1 for fine anchors."""
+    parts = []
+    for fine in (0, 1):
+        if len(points) >= 2 * SHORT if fine else len(points) < SHORT:
+            continue
+        at, h = anchors(points, *((FINE_K, FINE_S) if fine else (K, S)))
+        h, first = np.unique(h >> np.uint64(32) & np.uint64(0xFFFFFFFE) | np.uint64(fine), return_index=True)
+        h, at = h[:size], at[first[:size]]
+        order = np.argsort(at, kind="stable")
+        parts.append(np.stack([h[order], np.minimum(at[order], 2**32 - 1)], axis=1).astype(np.uint32))
+    return np.concatenate(parts)
 
 
 def pack(sk: np.ndarray) -> str:
@@ -90,17 +97,21 @@ def unpack(fingerprint: str) -> np.ndarray:
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int = ANCHORS) -> float:
     """Of the `size` smallest hashes of both, the share that both hold in one order (the longest rising run of
-    positions); 1 for two empty fingerprints."""
+    positions). Fine anchors are compared where both have them, the others elsewhere; 1 for two empty fingerprints."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
+    fine = bool((a[:, 0] & 1).any() and (b[:, 0] & 1).any())
+    a, b = a[(a[:, 0] & 1) == fine], b[(b[:, 0] & 1) == fine]
+    if not len(a) or not len(b):
+        return 0.0
     union = np.union1d(a[:, 0], b[:, 0])[:size]
-    common_, i, j = np.intersect1d(a[:, 0], b[:, 0], return_indices=True)
-    i, j = i[common_ <= union[-1]], j[common_ <= union[-1]]
+    both, i, j = np.intersect1d(a[:, 0], b[:, 0], return_indices=True)
+    i, j = i[both <= union[-1]], j[both <= union[-1]]
     if not len(i):
         return 0.0
     places, tails = b[j[np.argsort(i)], 1], []
     for p in places.tolist():
-        k = int(np.searchsorted(tails, p)) if tails else 0
+        k = bisect_left(tails, p)
         tails[k : k + 1] = [p]
     return len(tails) / len(union)
 
@@ -120,7 +131,8 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
     The next document is that with the next larger doc_id (after the last: the first); rows with one doc_id follow
     each other by text, null doc_ids come last. A null text is empty; an empty text has an empty fingerprint, which
-    is like another empty one (1) and unlike any other (0); a text of under k code points is one anchor. An only
+    is like another empty one (1) and unlike any other (0); a text of under eight code points is one
+    anchor. An only
     document is its own next. No rows give no rows. Other columns are not read.
 
     One shuffle deals the texts into ranges of doc_id; the first row of a range goes to the range before it too."""
@@ -133,30 +145,33 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     cuts = sorted(set(ids.approxQuantile("_order", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
     if not cuts and ids.isEmpty():
         return spark.createDataFrame([], _OUT)
-    bounds = np.asarray(cuts, np.float64).astype(np.int64) if cuts else np.zeros(0, np.int64)
-    edges = spark.sparkContext.broadcast(bounds)  # one number a partition
-
-    @F.pandas_udf("int")
-    def range_of(x):
-        import pandas as pd
+    bounds = np.asarray(cuts, np.float64).astype(np.int64)  # one number a partition
+    edges = spark.sparkContext.broadcast(bounds)
 
-        return pd.Series(np.searchsorted(edges.value, x.to_numpy(), "right").astype(np.int32))
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = np.searchsorted(edges.value, batch.column("_order").to_numpy(), "right")
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column("_order")], names=["_part", "_order"])
 
-    firsts = {r["_part"]: r["_first"] for r in ids.select(range_of("_order").alias("_part"), "_order").groupBy("_part").agg(F.min("_order").alias("_first")).collect()}
+    firsts = {r["_part"]: r["_first"] for r in ids.mapInArrow(places, "_part int, _order long").groupBy("_part").agg(F.min("_order").alias("_first")).collect()}
     used = sorted(firsts)
-    before = {firsts[p]: used[k - 1] for k, p in enumerate(used)}  # the first of all goes to the last range
-    mapping = spark.sparkContext.broadcast((before, firsts[used[0]]))
-
-    @F.pandas_udf("array<int>")
-    def ranges_of(x):
-        import pandas as pd
-
-        places, (to, _) = np.searchsorted(edges.value, x.to_numpy(), "right"), mapping.value
-        return pd.Series([[int(p), to[v]] if v in to else [int(p)] for p, v in zip(places, x.tolist(), strict=True)])
-
-    # posexplode: 0 is the row itself, 1 the copy that only serves as the next of the range before
-    dealt = rows.withColumn("_order", order).select("doc_id", "text", "_order", F.posexplode(ranges_of("_order")).alias("_copy", "_part"))
-    dealt = dealt.repartition(len(used), "_part").sortWithinPartitions("_part", "_copy", "_order", "text")
+    rank = {p: k for k, p in enumerate(used)}
+    # where the first row of a range also goes: the range before it, and from the first range the last one
+    mapping = spark.sparkContext.broadcast(({firsts[p]: (rank[p] - 1) % len(used) for p in used}, rank))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, ranks = mapping.value
+        for batch in batches:
+            order = batch.column("_order").to_numpy()
+            part = np.array([ranks[p] for p in np.searchsorted(edges.value, order, "right").tolist()], np.int32)
+            extra = np.array([k for k, v in enumerate(order.tolist()) if v in before], np.int64)
+            rows = pa.concat_tables([pa.Table.from_batches([batch]), pa.Table.from_batches([batch]).take(extra)])
+            copy = np.concatenate([np.zeros(len(order), np.int32), np.ones(len(extra), np.int32)])
+            to = np.concatenate([part, np.array([before[v] for v in order[extra].tolist()], np.int32)]).astype(np.int32)
+            yield from rows.append_column("_copy", pa.array(copy)).append_column("_part", pa.array(to)).to_batches()
+
+    dealt = rows.withColumn("_order", order).mapInArrow(deal, "doc_id long, text string, _order long, _copy int, _part int")
+    dealt = dealt.repartitionById(len(used), F.col("_part")).sortWithinPartitions("_part", "_copy", "_order", "text")
     return dealt.mapInArrow(_edit_rows, _OUT)
 
 
@@ -173,7 +188,7 @@ def _edit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for column, value in zip(columns, (row[0], len(row[1]), hashlib.sha256(changed.encode()).hexdigest(), pack(row[2]), pack(other), likeness(row[2], other), likeness(row[2], sk)), strict=True):
             column.append(value)
 
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in common.slices(whole, "text", 4 << 20)):
         for doc, text, copy, part in zip(*(batch.column(c) for c in ("doc_id", "text", "_copy", "_part")), strict=True):
             copy, part, text = copy.as_py(), part.as_py(), text.as_py()
             sk = sketch(points_of(text))
