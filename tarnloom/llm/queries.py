@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, fingerprints, htmltext, mixing, neardups, packing, toxicity, urls, warc
+from . import common, fingerprints, htmltext, lm, mixing, neardups, packing, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardups.link(_table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("_row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_html, op3_warc, op4_fingerprints, op5_toxicity, op7_near_dups, op8_url_filters, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_html, op3_warc, op4_fingerprints, op5_toxicity, op6_lm_scores, op7_near_dups, op8_url_filters, op10_mixing)}
 
 _BASE32_SQL = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, {1 + 5 * k}, 5))::INT) >> {shift}) & 31) + 1, 1)" for k in range(8) for shift in (15, 10, 5, 0)
