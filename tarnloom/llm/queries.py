@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import common, fingerprints, htmltext, lm, mixing, neardups, packing, toxicity, urls, warc
+from . import audio, common, fingerprints, htmltext, lm, mixing, neardups, packing, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,12 +53,16 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
+def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select(F.col("_row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_html, op3_warc, op4_fingerprints, op5_toxicity, op6_lm_scores, op7_near_dups, op8_url_filters, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_html, op3_warc, op4_fingerprints, op5_toxicity, op6_lm_scores, op7_near_dups, op8_url_filters, op9_audio, op10_mixing)}
 
 _BASE32_SQL = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, {1 + 5 * k}, 5))::INT) >> {shift}) & 31) + 1, 1)" for k in range(8) for shift in (15, 10, 5, 0)
