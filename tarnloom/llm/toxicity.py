@@ -1,7 +1,7 @@
 """Toxicity: a convolutional text classifier trained in numpy.
 
-Words of letters (A-Z folded) get the joined rows of four hashed embedding tables: two by the word, one by its first
-and one by its last four bytes, so that two words share a whole embedding only if every hash collides, and a word
+Words of letters (A-Z folded) get the joined rows of five hashed embedding tables: two by the word, two by its
+first bytes and one by its last, so that two words share a whole embedding only if every hash collides, and a word
 that training has not seen still has its stem and its ending. Filters of several widths run over the words, each is max-pooled over
 the whole text, and a logistic layer turns the maxima into a score. Thresholds by language are calibrated on
 training rows that the fit did not see; the score itself knows nothing but the text.
@@ -18,14 +18,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
-TABLES, BUCKETS, PART = 4, 1 << 18, 6
-#: Bytes of a stem and of an ending.
-AFFIX = 4
+TABLES, BUCKETS, PART = 5, 1 << 18, 6
+#: Bytes of a short and a long stem, and of an ending.
+STEM, LONG_STEM, ENDING = 4, 7, 4
 WIDTHS, FILTERS = (1, 2, 3), 8
 #: The classifier is fitted on at most so many labelled rows: the toxic and the clean with the smallest hashes of their ids.
 MAX_TOXIC, MAX_CLEAN = 1500, 3000
 THRESHOLD = 0.7
-_GAP = max(WIDTHS) - 1
+#: Rows of zeros after each text; windows that begin behind the first of them are no windows.
+_GAP = max(WIDTHS)
 _SLICE = 2 << 20
 
 
@@ -36,7 +37,7 @@ def buckets_of(words: common.Words) -> tuple[np.ndarray, np.ndarray]:
     starts[1:] = np.cumsum(counts + _GAP)[:-1]
     out = np.full((int(counts.sum()) + _GAP * words.n_docs, TABLES), -1, np.int32)
     place = np.arange(len(words.hash)) + _GAP * words.doc
-    for t, h in enumerate((words.hash, words.hash >> np.uint64(30), words.affix(AFFIX, True), words.affix(AFFIX, False))):
+    for t, h in enumerate((words.hash, words.hash >> np.uint64(30), words.affix(STEM, True), words.affix(LONG_STEM, True), words.affix(ENDING, False))):
         out[place, t] = (h & np.uint64(BUCKETS - 1)).astype(np.int32)
     return out, starts
 
@@ -57,14 +58,17 @@ class Network:
     def maxima(self, x: np.ndarray, starts: np.ndarray, where: bool = False):
         """(texts, widths * FILTERS) maxima of the filters, and the rows they come from."""
         n, best, rows = len(x), [], []
+        ends = np.append(starts[1:], n)
         for f, b in zip(self.filters, self.bias, strict=True):
             y = x @ f[0]
             for k in range(1, len(f)):
                 y[: n - k] += x[k:] @ f[k]
+            for k in range(1, _GAP):
+                y[ends - k] = -np.inf
             top = np.maximum.reduceat(y, starts, axis=0)
             best.append(top + b)
             if where:
-                doc = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, n)))
+                doc = np.repeat(np.arange(len(starts)), ends - starts)
                 at = np.full(top.shape, n, np.int64)
                 hit, col = np.nonzero(y == top[doc])
                 np.minimum.at(at, (doc[hit], col), hit)
@@ -107,7 +111,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int
             active = best > 0
             hidden = np.where(active, best, 0).astype(np.float64)
             p = 1 / (1 + np.exp(-np.clip(hidden @ net.out + net.out_bias, -30, 30)))
-            error = (p - labels[chosen]) / len(chosen)
+            error = (p - labels[chosen]) * (1 + labels[chosen]) / len(chosen)  # the rarer toxic rows count twice
             grads_out = [hidden.T @ error + 1e-4 * net.out, np.array([error.sum()])]
             back = (error[:, None] * net.out[None, :] * active).astype(np.float32)
             grads, grads_bias, dx = [], [], np.zeros_like(x)
