@@ -22,7 +22,7 @@ LOWEST, HIGHEST, BASE = 190.0, 880.0, 220.0
 SPAN = 16
 _LIMIT = 0.35
 #: Alignments count with a share of differing bits up to this and an overlap of so many integers.
-MOST_ERRORS, LEAST_OVERLAP = 0.30, 24
+MOST_ERRORS, LEAST_OVERLAP = 0.30, 48
 
 
 def chroma(samples: np.ndarray) -> np.ndarray:

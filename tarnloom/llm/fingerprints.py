@@ -145,7 +145,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     cuts = sorted(set(ids.approxQuantile("_order", [k / parts for k in range(1, parts)], 0.2 / parts))) if parts > 1 else []
     if not cuts and ids.isEmpty():
         return spark.createDataFrame([], _OUT)
-    bounds = np.asarray(cuts, np.float64).astype(np.int64)  # one number a partition
+    bounds = np.minimum(np.asarray(cuts, np.float64), 2.0**62).astype(np.int64)  # one number a partition
     edges = spark.sparkContext.broadcast(bounds)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

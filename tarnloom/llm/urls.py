@@ -55,13 +55,13 @@ class Trie:
             ends.sort(key=lambda e: (-len(e[0]), e[2] != "block"))
 
     def find(self, host: str, path: str) -> tuple[str | None, str | None]:
-        """(rule, verdict) of the longest rule: more host labels first, then the longer path; block wins a tie."""
+        """(rule, verdict) of the longest rule; block wins a tie."""
         hosts, node = [self.root], self.root
         for label in reversed(host.split(".")) if host else ():
             if (node := node.get(label)) is None:
                 break
             hosts.append(node)
-        best, size = (None, None), -1
+        best, size = (None, None), (-1, False)
         for node in reversed(hosts):
             if (paths := node.get(None)) is None:
                 continue
@@ -69,8 +69,8 @@ class Trie:
             for segment in segments:
                 for rest, rule, verdict in paths.get(True, ()):
                     if segment.startswith(rest):
-                        if len(rule) > size:
-                            best, size = (rule, verdict), len(rule)
+                        if (len(rule), verdict == "block") > size:
+                            best, size = (rule, verdict), (len(rule), verdict == "block")
                         break
                 if (paths := paths.get(segment)) is None:
                     break
