@@ -1,11 +1,12 @@
 """MinHash near-duplicates with odd sketches.
 
-One pass over the texts gives each document a key of its shingle set, MinHash samples folded into band keys, and an
-odd sketch: the samples' parity bitmap, of which two documents' XOR population count estimates a high similarity.
-Documents with equal sets are one node. Nodes that share a band are compared with the band's smallest node first;
-an estimate far below the threshold drops a pair, the others are confirmed on the full shingle sets. Links become
-components by min-label propagation. A band that then still joins several components is compared in full across
-them, in blocks of bounded size, so that no link between its nodes is lost.
+One pass over the texts gives each document a key of its shingle set, band keys of MinHash samples, and an odd sketch:
+the parity bitmap of one MinHash sample for each of BINS ranges of hashes. The XOR population count of two sketches
+tells how many samples differ, which is precise where most agree. Documents with equal sets are one node. Nodes that
+share a band are compared with the band's smallest node first; a pair whose sketches differ too much for the threshold
+drops out, the others are confirmed on the full shingle sets. Links become components by min-label propagation. A
+band that then still joins several components is compared in full across them, in blocks of bounded size that hold
+the shingle sets, so that no link between its nodes is lost and only links that join components leave a block.
 """
 
 from __future__ import annotations
@@ -23,16 +24,17 @@ SHINGLE = 5
 PERCENT = 75
 BANDS, ROWS = 24, 4
 SAMPLES = BANDS * ROWS
-BITS = 256
-#: XOR population counts above this mean a similarity far below 0.75: over four standard deviations of its own and the samples' spread.
-MOST_BITS = 74
-#: Nodes of a band on one side of a block.
-BLOCK = 1024
+#: Ranges of hashes with one sample each in the odd sketch, and the sketch's bits.
+BINS, BITS = 512, 2048
+#: A pair drops out if fewer samples agree than expected at the threshold, less so many standard deviations and samples.
+DEVIATIONS, SLACK = 5.0, 4.0
+#: Nodes, and shingles, of a band in a block.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 18
+MOST_IDS = 1 << 20
 _SLICE = 2 << 20
 _rng = np.random.Generator(np.random.PCG64(75))
 _XOR = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)
 _ODD = _rng.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_ROUND = _rng.integers(1, 2**64, SAMPLES, dtype=np.uint64)
 
 
 def shingle_sets(words: common.Words, width: int = SHINGLE) -> list[np.ndarray]:
@@ -60,35 +62,46 @@ def shingle_sets(words: common.Words, width: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(sets, BANDS) band keys and (sets, BITS / 64) odd sketches, for sets that are not empty."""
-    sizes = np.array([len(s) for s in sets])
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, BANDS) keys of ROWS MinHash samples each, for sets that are not empty."""
     x = np.concatenate(sets)
     x = (x ^ (x >> np.uint64(32))).astype(np.uint32)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    samples = np.empty((SAMPLES, len(sets)), np.uint32)
-    for k in range(SAMPLES):
-        samples[k] = np.minimum.reduceat((x ^ _XOR[k]) * _ODD[k], starts)
+    starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
     keys = np.empty((len(sets), BANDS), np.uint64)
     for b in range(BANDS):
         key = np.full(len(sets), np.uint64(b + 1))
-        for r in range(ROWS):
-            key = common.mix64(key * np.uint64(0x9E3779B97F4A7C15) + samples[b * ROWS + r])
+        for k in range(b * ROWS, (b + 1) * ROWS):
+            sample = np.minimum.reduceat((x ^ _XOR[k]) * _ODD[k], starts)
+            key = common.mix64(key * np.uint64(0x9E3779B97F4A7C15) + sample)
         keys[:, b] = key
-    bits = common.mix64(samples.astype(np.uint64) ^ _ROUND[:, None]) % np.uint64(BITS)
-    sketch = np.zeros((len(sets), BITS // 64), np.uint64)
-    rows = np.arange(len(sets))
-    for k in range(SAMPLES):
-        np.bitwise_xor.at(sketch, (rows, (bits[k] // np.uint64(64)).astype(np.int64)), np.uint64(1) << (bits[k] % np.uint64(64)))
-    return keys, sketch
+    return keys
 
 
-def estimate(bits: np.ndarray) -> np.ndarray:
-    """The similarity that an XOR population count stands for."""
-    return 1 + BITS / (4 * SAMPLES) * np.log(np.maximum(1 - 2 * np.asarray(bits, float) / BITS, 1e-9))
+def odd_sketch(one: np.ndarray) -> tuple[np.ndarray, int]:
+    """The parity bitmap of a sorted set's smallest hash in each range, and their number."""
+    bins = (one >> np.uint64(64 - (BINS - 1).bit_length())).astype(np.int64)
+    first = np.ones(len(one), bool)
+    first[1:] = bins[1:] != bins[:-1]
+    samples = common.mix64(one[first]) % np.uint64(BITS)
+    bits = (np.bincount(samples.astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+    return np.packbits(bits).view(np.uint64), int(first.sum())
 
 
-_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>"
+def agreeing(bits, samples):
+    """How many samples agree, by the XOR population count of two sketches of so many samples together."""
+    return (samples + BITS / 2 * np.log(np.maximum(1 - 2 * np.asarray(bits, float) / BITS, 1e-9))) / 2
+
+
+def least_agreeing(shingles):
+    """What a pair of sets of so many shingles together must reach in agreeing(): the expectation at the threshold,
+    less DEVIATIONS standard deviations (of a sample of the union without replacement) and SLACK."""
+    t = PERCENT / 100
+    union = np.asarray(shingles, float) / (1 + t)
+    samples = BINS * (1 - np.exp(-union / BINS))
+    return t * samples - DEVIATIONS * np.sqrt(t * (1 - t) * samples * (1 - samples / np.maximum(union, 1))) - SLACK
+
+
+_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>, n_samples int"
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -103,52 +116,67 @@ def sign(docs: DataFrame) -> DataFrame:
                 key_a, key_b = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
                 bands: list = [None] * len(sets)
                 sketches: list = [None] * len(sets)
+                samples = np.zeros(len(sets), np.int32)
                 if len(full):
-                    keys, sk = signatures([sets[i] for i in full])
+                    keys = band_keys([sets[i] for i in full])
                     for j, i in enumerate(full):
                         key_a[i] = np.bitwise_xor.reduce(common.mix64(sets[i] + np.uint64(1))) ^ np.uint64(sizes[i])
                         key_b[i] = np.add.reduce(common.mix64(sets[i] ^ np.uint64(0xA0761D6478BD642F)))
-                        bands[i], sketches[i] = common.signed(keys[j]), common.signed(sk[j])
+                        sk, samples[i] = odd_sketch(sets[i])
+                        bands[i], sketches[i] = common.signed(keys[j]), common.signed(sk)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(common.signed(key_a)), pa.array(common.signed(key_b)), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch"],
+                    [piece.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(common.signed(key_a)), pa.array(common.signed(key_b)), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(samples)],
+                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch", "n_samples"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.null_as_empty("text").alias("text"))
     return rows.mapInArrow(run, _SIGNED)
 
 
-def _differing(a, b):
-    """Bits in which two sketches differ."""
-    return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(1, BITS // 64)), F.bit_count(a[0].bitwiseXOR(b[0])))
+def _close(a: dict, b: dict):
+    """Whether two rows' sizes and sketches allow a link; columns by name."""
+    union = (a["n_shingles"] + b["n_shingles"]).cast("double") / (1 + PERCENT / 100)
+    bits = sum((F.bit_count(a["sketch"][k].bitwiseXOR(b["sketch"][k])) for k in range(1, BITS // 64)), F.bit_count(a["sketch"][0].bitwiseXOR(b["sketch"][0])))
+    agree = (a["n_samples"] + b["n_samples"] + BITS / 2 * F.log(F.greatest(1 - 2 * bits / BITS, F.lit(1e-9)))) / 2
+    t, samples = PERCENT / 100, BINS * (1 - F.exp(-union / BINS))
+    least = t * samples - DEVIATIONS * F.sqrt(t * (1 - t) * samples * F.greatest(1 - samples / F.greatest(union, F.lit(1.0)), F.lit(0.0))) - SLACK
+    sizes = F.least(a["n_shingles"], b["n_shingles"]) * 100 >= F.greatest(a["n_shingles"], b["n_shingles"]) * PERCENT
+    return sizes & (agree >= least)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b) those whose full shingle sets are alike enough, as a work table.
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(_id, _set): the shingle sets of the documents in ids, made again from their texts, as a work table.
 
-    Sets are made again from the texts, of the documents in pairs only, and written once."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    ids = common.stash(ids, "neardups-ids")
+    Up to MOST_IDS ids are broadcast (8 bytes each), so that no text moves; more are joined by a shuffle."""
+    ids = F.broadcast(ids) if ids.limit(MOST_IDS + 1).count() <= MOST_IDS else ids
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), common.null_as_empty("text").alias("text")).join(ids, "_id", "left_semi")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in common.slices(batch, "text", _SLICE):
                 made = shingle_sets(common.Words(*common.text_buffers(piece.column("text"))))
                 yield pa.RecordBatch.from_arrays([piece.column("_id"), pa.array([s.tobytes() for s in made], pa.binary())], names=["_id", "_set"])
 
-    table = common.stash(rows.mapInArrow(sets, "_id long, _set binary"), "neardups-sets")
+    return common.stash(rows.mapInArrow(run, "_id long, _set binary"), "neardups-sets")
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets, one of them not empty, are alike enough."""
+    if len(x) > len(y):
+        x, y = y, x
+    if 100 * len(x) < PERCENT * len(y):
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
+def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of distinct pairs (a, b) those whose full shingle sets are alike enough, as a work table."""
+    table = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("_x"), batch.column("_y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column("_x"), batch.column("_y"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = table.select(F.col("_id").alias("a"), F.col("_set").alias("_x"))
@@ -156,7 +184,6 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     found = pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(alike, "a long, b long")
     out = common.stash(found.distinct(), "neardups-links")
     common.discard(table)
-    common.discard(ids)
     return out
 
 
@@ -180,41 +207,112 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def _across(banded: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) across components within a band, in blocks: everything outside a band's largest component against
-    all of the band. Rows are copied once per block of the other side, and only pairs with close sketches come out."""
+def _across(banded: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) across components within a band, in blocks: everything outside a band's largest component against
+    all of the band. Rows are copied once per block of the other side. Sketches leave the rows of a block that have a
+    close one on its other side; these come back with their sets, and the block gives links that join components."""
     rows = banded.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = rows.select("key", "node", "component", "sketch")
-    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("_n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("_n", "component")).alias("_top"), F.sum("_n").alias("_all"), F.count("*").alias("_parts"))
-    largest = largest.where("_parts > 1").select("key", F.col("_top.component").alias("_major"), F.col("_top._n").alias("_main"), (F.col("_all") - F.col("_top._n")).alias("_rest"))
-    rows = rows.join(common.stash(largest, "neardups-mixed"), "key")
+    rows = rows.select("key", "node", "component", "n_shingles")
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("_n"), F.sum("n_shingles").alias("_s"))
+    top = sizes.groupBy("key").agg(F.max(F.struct("_n", "component", "_s")).alias("_top"), F.sum("_n").alias("_n"), F.sum("_s").alias("_s"), F.count("*").alias("_parts"))
+    blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    top = top.where("_parts > 1").select(
+        "key", F.col("_top.component").alias("_major"),
+        blocks(F.col("_top._n"), F.col("_top._s")).alias("_main"), blocks(F.col("_n") - F.col("_top._n"), F.col("_s") - F.col("_top._s")).alias("_rest"),
+    )
+    rows = rows.join(top, "key")
     minor = F.col("component") != F.col("_major")
-    main_blocks, rest_blocks = F.ceil(F.col("_main") / BLOCK).cast("int"), F.ceil(F.col("_rest") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.when(minor, rest_blocks).otherwise(main_blocks)).cast("int")
-    rows = rows.withColumn("_minor", minor).withColumn("_own", own)
+    rows = rows.withColumn("_minor", minor).withColumn("_own", F.pmod(F.xxhash64("node"), F.when(minor, F.col("_rest")).otherwise(F.col("_main"))).cast("int"))
     every = lambda n: F.sequence(F.lit(0), n - 1)
-    left = rows.where("_minor").select("key", "node", "component", "sketch", F.lit(0).alias("_side"), F.col("_own").alias("_i"), F.explode(F.concat(F.transform(every(main_blocks), lambda j: F.struct(F.lit(0).alias("kind"), j.alias("j"))), F.transform(every(rest_blocks), lambda j: F.struct(F.lit(1).alias("kind"), j.alias("j"))))).alias("_b"))
-    right = rows.select("key", "node", "component", "sketch", F.lit(1).alias("_side"), F.explode(every(rest_blocks)).alias("_i"), F.struct(F.col("_minor").cast("int").alias("kind"), F.col("_own").alias("j")).alias("_b"))
-    blocks = left.unionByName(right).withColumn("_k", F.col("_b.kind")).withColumn("_j", F.col("_b.j")).where("_k = 0 or _i <= _j").drop("_b")
-
-    def compare(pdf):
-        import pandas as pd
-
-        sides = []
-        for side in (0, 1):
-            part = pdf[pdf["_side"] == side]
-            sides.append((part["node"].to_numpy(), part["component"].to_numpy(), np.array(part["sketch"].tolist(), np.int64).reshape(-1, BITS // 64).view(np.uint64)))
-        (x, cx, sx), (y, cy, sy) = sides
-        a, b = [], []
-        for k in range(len(x)):
-            bits = np.bitwise_count(sy ^ sx[k]).sum(1, dtype=np.int64)
-            hit = y[(bits <= MOST_BITS) & (cy != cx[k])]
-            a.append(np.minimum(hit, x[k]))
-            b.append(np.maximum(hit, x[k]))
-        return pd.DataFrame({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
-
-    return blocks.groupBy("key", "_k", "_i", "_j").applyInPandas(compare, "a long, b long").distinct()
+    place = lambda side, i, kind, j: F.struct(F.lit(side).alias("side"), i.alias("i"), kind.alias("kind"), j.alias("j"))
+    # a block (i, kind, j): minor rows of i against major rows (kind 0) or minor rows (kind 1) of j
+    against = F.concat(F.transform(every(F.col("_main")), lambda j: place(0, F.col("_own"), F.lit(0), j)), F.transform(F.filter(every(F.col("_rest")), lambda j: j >= F.col("_own")), lambda j: place(0, F.col("_own"), F.lit(1), j)))
+    to = F.transform(F.filter(every(F.col("_rest")), lambda i: ~F.col("_minor") | (i <= F.col("_own"))), lambda i: place(1, i, F.col("_minor").cast("int"), F.col("_own")))
+    rows = rows.select("key", "node", "component", F.explode(F.when(F.col("_minor"), F.concat(against, to)).otherwise(to)).alias("_b"))
+    rows = rows.select("key", "node", "component", F.col("_b.i").alias("_i"), F.col("_b.kind").alias("_k"), F.col("_b.j").alias("_j"), F.col("_b.side").alias("_side"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = lambda df: df.repartition(parts, *_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY, "_side", "node")
+    sketched = dealt(rows.join(nodes.select("node", "n_shingles", "sketch", "n_samples"), "node").select(*_BLOCK_ROW, "n_shingles", "sketch", "n_samples"))
+    rows = common.stash(sketched.mapInArrow(_close_rows, _BLOCK_SCHEMA), "neardups-close")
+    sets = _sets(docs, rows.select(F.col("node").alias("_id")).distinct()).dropDuplicates(["_id"]).withColumnRenamed("_id", "node")
+    found = dealt(rows.join(sets, "node").select(*_BLOCK_ROW, "_set")).mapInArrow(_links, "a long, b long")
+    return common.stash(found.distinct(), "neardups-more")
+
+
+_BLOCK_KEY = ("key", "_i", "_k", "_j")
+_BLOCK_ROW = (*_BLOCK_KEY, "_side", "node", "component")
+_BLOCK_SCHEMA = "key long, _i int, _k int, _j int, _side int, node long, component long"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], values: tuple[str, ...]) -> Iterator[tuple[tuple, list, list]]:
+    """(block, rows of side 0, rows of side 1) from rows sorted by block and side; rows are (node, component, values...)."""
+    block, sides = None, ([], [])
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in (*_BLOCK_ROW, *values)), strict=True):
+            if block != row[:4]:
+                if sides[0] and sides[1]:
+                    yield block, *sides
+                block, sides = row[:4], ([], [])
+            sides[row[4]].append(row[5:])
+    if sides[0] and sides[1]:
+        yield block, *sides
+
+
+def _close_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each block whose sketch is close to one of another component on the other side."""
+    out: list[tuple] = []
+
+    def flush() -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=list(_BLOCK_ROW))
+        out.clear()
+        return batch
+
+    for block, left, right in _blocks(batches, ("n_shingles", "sketch", "n_samples")):
+        sk = np.array([r[3] for r in right], np.int64).view(np.uint64)
+        component, sizes, samples = (np.array([r[k] for r in right]) for k in (1, 2, 4))
+        hit = np.zeros(len(right), bool)
+        for node, its, n, own, m in left:
+            agree = agreeing(np.bitwise_count(sk ^ np.array(own, np.int64).view(np.uint64)).sum(1, dtype=np.int64), samples + m)
+            near = (component != its) & (agree >= least_agreeing(sizes + n)) & (100 * np.minimum(sizes, n) >= PERCENT * np.maximum(sizes, n))
+            if near.any():
+                hit |= near
+                out.append((*block, 0, node, its))
+        out += [(*block, 1, right[k][0], right[k][1]) for k in np.flatnonzero(hit).tolist()]
+        if len(out) > 5000:
+            yield flush()
+    if out:
+        yield flush()
+
+
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's links that join components not yet joined in the block, by the full sets."""
+    for _, left, right in _blocks(batches, ("_set",)):
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = c = root.get(up, up)
+            return c
+
+        found = []
+        right = [(node, component, np.frombuffer(s, np.uint64)) for node, component, s in right]
+        sketches = [odd_sketch(s) for _, _, s in right]
+        sk = np.stack([s for s, _ in sketches])
+        samples, sizes = np.array([m for _, m in sketches]), np.array([len(s) for _, _, s in right])
+        for node, component, own in left:
+            own = np.frombuffer(own, np.uint64)
+            mine, m = odd_sketch(own)
+            agree = agreeing(np.bitwise_count(sk ^ mine).sum(1, dtype=np.int64), samples + m)
+            near = np.flatnonzero(agree >= least_agreeing(sizes + len(own)))
+            for k in near[np.argsort(-agree[near], kind="stable")].tolist():
+                other, its, theirs = right[k]
+                x, y = find(component), find(its)
+                if x != y and linked(own, theirs):
+                    root[max(x, y)] = min(x, y)
+                    found.append((min(node, other), max(node, other)))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -230,18 +328,18 @@ def link(docs: DataFrame) -> DataFrame:
         signed.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node")), "neardups-classes"
     )
     nodes = signed.join(classes.select(F.col("node").alias("doc_id"), "set_a", "set_b", "n_shingles"), ["doc_id", "set_a", "set_b", "n_shingles"], "left_semi")
-    nodes = common.stash(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sketch").dropDuplicates(["node"]), "neardups-nodes")
-    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    nodes = common.stash(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sketch", "n_samples").dropDuplicates(["node"]), "neardups-nodes")
+    keyed = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("key", "_first")
     banded = common.stash(keyed.join(shared, "key"), "neardups-banded")
     star = banded.where("node <> _first").select(F.col("_first").alias("a"), F.col("node").alias("b")).distinct()
-    sizes = nodes.select("node", "sketch", "n_shingles")
-    star = star.join(sizes.select(F.col("node").alias("b"), F.col("sketch").alias("_s"), F.col("n_shingles").alias("_m")), "b").join(sizes.select(F.col("node").alias("a"), F.col("sketch").alias("_t"), F.col("n_shingles").alias("_n")), "a")
-    fits = (F.least("_m", "_n") * 100 >= F.greatest("_m", "_n") * PERCENT) & (_differing(F.col("_s"), F.col("_t")) <= MOST_BITS)
+    parts = ("n_shingles", "sketch", "n_samples")
+    for side in ("a", "b"):
+        star = star.join(nodes.select(F.col("node").alias(side), F.struct(*parts).alias(f"_{side}")), side)
+    fits = _close(*({p: F.col(f"_{side}.{p}") for p in parts} for side in ("a", "b")))
     links = confirm(common.stash(star.where(fits).select("a", "b"), "neardups-star"), docs)
     labels = components(links)
-    candidates = common.stash(_across(banded.select("key", "node").join(sizes.select("node", "sketch"), "node"), labels), "neardups-across")
-    more = confirm(candidates, docs)
+    more = _across(banded.select("key", "node", "n_shingles"), labels, nodes, docs)
     if not more.isEmpty():
         merged = more.join(labels.select(F.col("node").alias("a"), F.col("component").alias("_a")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("_b")), "b", "left")
         merged = merged.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).distinct()
@@ -249,7 +347,17 @@ def link(docs: DataFrame) -> DataFrame:
         everyone = labels.unionByName(top.select(F.col("_c").alias("node"), F.col("_c").alias("component")).join(labels.select("node"), "node", "left_anti"))
         labels = everyone.join(top, F.col("component") == F.col("_c"), "left").select("node", F.coalesce("_top", "component").alias("component"))
     ends = classes.join(labels, "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("_component"))
-    out = signed.join(common.stash(ends, "neardups-ends"), ["set_a", "set_b", "n_shingles"], "left")
+    out = signed.join(ends, ["set_a", "set_b", "n_shingles"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("_component"))
     kept = F.when(F.col("n_shingles") == 0, True).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False)))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id stands for its component, once each; rows without words
+    all stay if their doc_id is null, else once a doc_id. A null doc_id with words goes."""
+    found = link(docs).where("kept")
+    named = found.where("doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
+    out = docs.join(named, docs["doc_id"].cast("long") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    blank = docs.where(docs["doc_id"].isNull() & ~F.coalesce(docs["text"], F.lit("")).rlike(common.WORD_PATTERN))
+    return out.unionByName(blank)
