@@ -93,20 +93,20 @@ def chunk_lines(content: str, max_lines: int = MAX_LINES, max_chars: int = MAX_C
 # ---------------------------------------------------------------- syntax-aware chunks
 
 
-def _symbols(body: list[ast.stmt], parents: list[str]) -> Iterator[tuple[ast.stmt, list[str]]]:
-    """Definitions of three lines or more, outermost first; small ones are not looked into."""
+def _symbols(body: list[ast.stmt], parents: list[str], lines: list[str]) -> Iterator[tuple[ast.stmt, list[str]]]:
+    """Definitions of three lines or more, outermost first; those within the limits (here in bytes) are not looked into."""
     for node in body:
         if isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
             first = min([node.lineno, *(d.lineno for d in node.decorator_list)])
             if node.end_lineno - first + 1 >= MIN_LINES:
                 yield node, parents
-                if node.end_lineno - first + 1 <= MAX_LINES:
+                if node.end_lineno - first + 1 <= MAX_LINES and len("\n".join(lines[first - 1 : node.end_lineno]).encode()) <= MAX_CHARS:
                     continue
             inner = [*parents, node.name] if isinstance(node, ast.ClassDef) else parents
-            yield from _symbols(node.body, inner)
+            yield from _symbols(node.body, inner, lines)
         else:
             for part in ("body", "orelse", "finalbody", "handlers"):
-                yield from _symbols([x for x in getattr(node, part, []) if isinstance(x, (ast.stmt, ast.excepthandler))], parents)
+                yield from _symbols([x for x in getattr(node, part, []) if isinstance(x, (ast.stmt, ast.excepthandler))], parents, lines)
 
 
 def _docstring(node: ast.stmt, lines: list[str]) -> str | None:
@@ -138,7 +138,7 @@ def chunk_python(content: str, max_lines: int = MAX_LINES, max_chars: int = MAX_
     covered = np.zeros(len(lines) + 1, bool)
     covered[-1] = True
     out = []
-    for node, parents in _symbols(tree.body, []):
+    for node, parents in _symbols(tree.body, [], lines):
         a, b = min([node.lineno, *(d.lineno for d in node.decorator_list)]) - 1, node.end_lineno
         if covered[a:b].all():
             continue

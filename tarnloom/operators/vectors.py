@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Query vectors go to all tasks in blocks of so many.
 QUERY_BLOCK = 512
@@ -37,6 +38,7 @@ def nearest_of_each(points: DataFrame, queries: DataFrame, limit: int, key: str
     rows = [(r["query_id"], np.asarray(r["vector"], np.float64)) for r in queries.select("query_id", "vector").where("vector is not null").toLocalIterator()]
     kind = queries.schema["query_id"].dataType.simpleString()
     own = points.schema[key].dataType.simpleString()
+    as_id = to_arrow_type(queries.schema["query_id"].dataType)
     out = None
     for a in range(0, max(len(rows), 1), block):
         part = rows[a : a + block]
@@ -57,7 +59,7 @@ def nearest_of_each(points: DataFrame, queries: DataFrame, limit: int, key: str
                 order = np.argsort(np.asarray(keys.to_pylist()), kind="stable")
                 for q, s in enumerate(scores):
                     best = order[np.argsort(-s[order], kind="stable")[:limit]]
-                    yield pa.RecordBatch.from_arrays([pa.array([ids[q]] * len(best)), keys.take(pa.array(best)), pa.array(s[best])], names=["query_id", key, "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[q]] * len(best), as_id), keys.take(pa.array(best)), pa.array(s[best])], names=["query_id", key, "score"])
 
         found = points.select(F.col(key).alias("k"), F.col(column).alias("v")).mapInArrow(run, f"query_id {kind}, {key} {own}, score double")
         out = found if out is None else out.unionByName(found)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tarnloom import schema
@@ -49,28 +50,40 @@ def worth_indexing(files: DataFrame) -> DataFrame:
     return files.where((path != "") & ~in_ignored_dir(path) & ~is_ignored_file(path) & ~is_binary(path) & ~is_blank(F.col("content")))
 
 
-def decoded(content: DataFrame) -> DataFrame:
-    """(path, content) with bytes as UTF-8, invalid ones dropped, which no built-in decoder does."""
+def list_files(root: str) -> list[str]:
+    """Paths below root, relative to it, without those in ignored folders, which are not entered."""
+    store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+    base, found, left = base.rstrip("/"), [], [base]
+    while left:
+        for info in store.get_file_info(fs.FileSelector(left.pop())):
+            if info.type == fs.FileType.Directory:
+                if info.base_name not in IGNORED_DIRS:
+                    left.append(info.path)
+            elif info.type == fs.FileType.File:
+                found.append(info.path[len(base) + 1 :])
+    return sorted(found)
+
+
+def read_directory(spark: SparkSession, root: str, partitions: int | None = None) -> DataFrame:
+    """Files below root as (path relative to it, content, content_hash), UTF-8 with invalid bytes dropped.
+
+    Spark's own file sources leave out names that begin with a dot or an underscore, __init__.py among them, so names
+    are listed here and tasks open them, in any store that Arrow reads and all executors reach."""
+    names = list_files(root)
+    parts = partitions or max(1, min(len(names), spark.sparkContext.defaultParallelism * 4))
+    listed = spark.createDataFrame([(n,) for n in names], "path string")
+    path = F.col("path")
+    listed = listed.where(~in_ignored_dir(path) & ~is_ignored_file(path) & ~is_binary(path)).repartition(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
         for batch in batches:
-            for k in range(batch.num_rows):  # a file at a time bounds memory by the largest
-                one = batch.slice(k, 1)
-                raw = one.column("content")[0].as_py()
-                yield pa.RecordBatch.from_arrays([one.column("path"), pa.array([None if raw is None else raw.decode("utf-8", "ignore")], pa.string())], names=["path", "content"])
-
-    return content.select("path", "content").mapInArrow(run, "path string, content string")
-
-
-def read_directory(spark: SparkSession, root: str) -> DataFrame:
-    """Files below root, as (path relative to it, content, content_hash). Names are filtered before bytes are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.lit(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/") + "/")
-    full = F.regexp_replace(F.col("path"), r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
-    path = F.url_decode(F.replace(F.substring_index(F.replace(full, base, F.lit("\x00")), "\x00", -1), F.lit("+"), F.lit("%2B")))
-    named = files.select(path.alias("path"), "content")
-    named = named.where(~in_ignored_dir(F.col("path")) & ~is_ignored_file(F.col("path")) & ~is_binary(F.col("path")))
-    return decoded(named).where(~is_blank(F.col("content"))).withColumn("content_hash", F.sha2("content", 256))
+            for name in batch.column("path").to_pylist():  # a file at a time bounds memory by the largest
+                with store.open_input_stream(f"{base.rstrip('/')}/{name}") as f:
+                    content = f.read().decode("utf-8", "ignore")
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content])], names=["path", "content"])
+
+    return listed.mapInArrow(run, "path string, content string").where(~is_blank(F.col("content"))).withColumn("content_hash", F.sha2("content", 256))
 
 
 def parse_requests(requests: DataFrame, column: str = "body") -> DataFrame:
