@@ -1,11 +1,8 @@
-"""Porter's 1980 algorithm for English suffixes, applied to the distinct words of a column."""
+"""Porter's 1980 algorithm for English suffixes."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 # The algorithm's suffix tables, longest match first within a step.
 STEP_2 = {
@@ -88,12 +85,28 @@ def stem(word: str) -> str:
     return word
 
 
-def stems(words: DataFrame, column: str = "word") -> DataFrame:
-    """(column, stem) of the distinct words: a corpus has far fewer of them than tokens."""
+_known: dict[str, str] = {}
+#: Words whose stems a process keeps.
+KEPT = 1 << 18
+
+
+def stem_all(words: list[str]) -> list[str]:
+    out = []
+    for word in words:
+        if (found := _known.get(word)) is None:
+            if len(_known) >= KEPT:
+                _known.clear()
+            found = _known[word] = stem(word)
+        out.append(found)
+    return out
+
+
+def stems(words: Column) -> Column:
+    """The stems of an array of words. A word is stemmed once a process, and no row moves for it."""
+    import pandas as pd
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if w is None else stem(w) for w in own], pa.string())], names=[column, "stem"])
+    @F.pandas_udf("array<string>")
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: None if x is None else stem_all(list(x)))
 
-    return words.select(F.col(column).cast("string").alias(column)).distinct().mapInArrow(run, f"{column} string, stem string")
+    return run(words)

@@ -39,15 +39,14 @@ def documents(chunks: DataFrame) -> DataFrame:
 
 
 def build(docs: DataFrame, stem: bool = True) -> Index:
-    """Indexes documents (the columns of COLUMNS and collection). Lengths need no shuffle; postings are grouped once,
-    and stems are made of the distinct tokens only."""
+    """Indexes documents (the columns of COLUMNS and collection). Lengths need no shuffle; postings are grouped once by
+    term and document, so that a frequent term is no hot key."""
     present = {c: code for c, code in COLUMNS.items() if c in docs.columns}
     cut = docs.select("doc_id", "collection", *[_tokens(c, code).alias(f"_{k}") for k, (c, code) in enumerate(present.items())])
     lengths = cut.select("doc_id", "collection", sum((F.size(f"_{k}") for k in range(1, len(present))), F.size("_0")).cast("long").alias("dl"))
+    cut = cut.select("doc_id", "collection", *[(stemming.stems(F.col(f"_{k}")) if stem else F.col(f"_{k}")).alias(f"_{k}") for k in range(len(present))])
     fields = F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"_{k}").alias("words")) for k, c in enumerate(present)])
     each = cut.select("doc_id", "collection", F.explode(fields).alias("_f")).select("doc_id", "collection", "_f.col", F.posexplode("_f.words").alias("pos", "term"))
-    if stem:
-        each = each.join(stemming.stems(each, "term"), "term").drop("term").withColumnRenamed("stem", "term")
     postings = each.groupBy("term", "doc_id", "collection", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
     return Index(postings, lengths, stem)
 
@@ -61,10 +60,8 @@ def phrases(queries: DataFrame, stem: bool) -> DataFrame:
     """(query_id, phrase, n_phrases, i, term, n_terms): each code token of a query is a phrase of the terms it is cut into."""
     cut = F.filter(F.transform(text.code_tokens(F.col("query")), text.plain_tokens), lambda p: F.size(p) > 0)
     rows = queries.select("query_id", cut.alias("_p")).select("query_id", F.size("_p").alias("n_phrases"), F.posexplode("_p").alias("phrase", "_t"))
-    rows = rows.select("query_id", "n_phrases", "phrase", F.size("_t").alias("n_terms"), F.posexplode("_t").alias("i", "term"))
-    if stem:
-        rows = rows.join(stemming.stems(rows, "term"), "term").drop("term").withColumnRenamed("stem", "term")
-    return rows
+    rows = rows.withColumn("_t", stemming.stems(F.col("_t"))) if stem else rows
+    return rows.select("query_id", "n_phrases", "phrase", F.size("_t").alias("n_terms"), F.posexplode("_t").alias("i", "term"))
 
 
 def scores(index: Index, queries: DataFrame, match: str = "all", collections: bool = False) -> DataFrame:

@@ -62,12 +62,12 @@ def vector_topk_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
-               FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
+               FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0),
     t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM s)
     SELECT query_id, rank::INT AS rank, vec_id, round(score, 6) AS score FROM t WHERE rank <= 10""")
 def vector_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _table(spark, sf_dir, "embeddings")
-    asked = points.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    asked = points.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
     return vectors.nearest_of_each(points, asked, 10).select("query_id", "rank", "vec_id", F.round("score", 6).alias("score"))
 
 
@@ -420,7 +420,7 @@ def _with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composed of queries with SQL twins; held against a plain Python version in the tests."""
     docs = _with_vectors(spark, sf_dir)
-    vectors_ = docs.where("row_id % 100 = 7").select(F.col("row_id").alias("query_id"), F.concat_ws(" ", F.slice(F.split("content", r"\s+"), 3, 2)).alias("query"), F.col("embedding").alias("vector"))
+    vectors_ = docs.where("row_id % 100 = 0").select(F.col("row_id").alias("query_id"), F.concat_ws(" ", F.slice(F.split("content", r"\s+"), 3, 2)).alias("query"), F.col("embedding").alias("vector"))
     found = retrieval.retrieve(docs, vectors_, fulltext.build(docs), limit=10)
     return found.select("query_id", "rank", "doc_key", "file_path", F.round("score", 9).alias("score"))
 
@@ -476,34 +476,38 @@ def file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS h FROM orders WHERE o_orderkey % 5 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'x' ELSE o_orderstatus END AS h FROM orders WHERE o_orderkey % 6 <> 0)
+    WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS h FROM orders), b AS (SELECT c_custkey AS k, substr('FOPX', (c_nationkey % 4) + 1, 1) AS h FROM customer)
     SELECT coalesce(a.k, b.k)::VARCHAR AS file_path, CASE WHEN a.k IS NULL THEN 'new' WHEN b.k IS NULL THEN 'deleted' WHEN a.h = b.h THEN 'same' ELSE 'changed' END AS status FROM a FULL JOIN b ON a.k = b.k""")
 def hash_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("_k"), F.col("o_orderkey").cast("string").alias("file_path"), F.col("o_orderstatus").alias("content_hash"))
-    return upkeep.hash_diff(rows.where("_k % 5 <> 0"), rows.where("_k % 6 <> 0").withColumn("content_hash", F.when(F.col("_k") % 7 == 0, "x").otherwise(F.col("content_hash"))))
+    """Orders stand for what is stored, customers for what is there."""
+    stored = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("file_path"), F.col("o_orderstatus").alias("content_hash"))
+    here = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("file_path"), F.substring(F.lit("FOPX"), F.col("c_nationkey") % 4 + 1, F.lit(1)).alias("content_hash"))
+    return upkeep.hash_diff(stored, here)
 
 
 @query("""
     WITH a AS (SELECT 'c' AS collection, (o_custkey)::VARCHAR AS point_id, o_orderkey AS version, o_totalprice AS price FROM orders)
     SELECT collection, point_id, max(version) AS version, arg_max(price, version) AS price FROM a GROUP BY ALL""")
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "orders").select(F.lit("c").alias("collection"), F.col("o_custkey").cast("string").alias("point_id"), F.col("o_orderkey").alias("version"), F.col("o_totalprice").alias("price"))
-    return upkeep.upsert(rows.where("version % 2 = 0"), rows.where("version % 2 <> 0"))
+    """Filled orders are stored, all others come new."""
+    rows = _table(spark, sf_dir, "orders").select(F.lit("c").alias("collection"), F.col("o_custkey").cast("string").alias("point_id"), F.col("o_orderkey").alias("version"), F.col("o_totalprice").alias("price"), "o_orderstatus")
+    stored, new = rows.where("o_orderstatus = 'F'"), rows.where("o_orderstatus <> 'F'")
+    return upkeep.upsert(stored, new).drop("o_orderstatus")
 
 
-_GONE_SQL = "SELECT DISTINCT source || '/' || doc_id || '.txt' AS file_path FROM documents WHERE doc_id % 7 = 0"
+_GONE_SQL = "SELECT DISTINCT source || '/' || doc_id || '.txt' AS file_path FROM documents WHERE lang = 'de'"
 
 
 @query(f"WITH {_CHUNKS_SQL} SELECT row_id, file_path, collection FROM chunks WHERE NOT (collection = 'c2' AND file_path IN ({_GONE_SQL}))")
 def delete_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _chunks(spark, sf_dir)
-    return upkeep.delete_paths(rows, rows.where("row_id % 7 = 0").select("file_path"), "c2").select("row_id", "file_path", "collection")
+    return upkeep.delete_paths(rows, rows.where("language = 'de'").select("file_path"), "c2").select("row_id", "file_path", "collection")
 
 
 @query(f"WITH {_CHUNKS_SQL} SELECT count(*) AS n_deleted FROM chunks WHERE collection = 'c2' AND file_path IN ({_GONE_SQL})")
 def delete_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _chunks(spark, sf_dir)
-    return upkeep.count_deleted(rows, rows.where("row_id % 7 = 0").select("file_path"), "c2")
+    return upkeep.count_deleted(rows, rows.where("language = 'de'").select("file_path"), "c2")
 
 
 @query(f"WITH {_CHUNKS_SQL} SELECT collection, count(*) AS n FROM chunks WHERE collection <> 'c3' GROUP BY collection")
@@ -530,14 +534,6 @@ def chunk_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("file_path", "start_line", "end_line", "language", F.md5("content").alias("content_md5"), "content_hash")
 
 
-@query(f"""
-    SELECT source || '/' || doc_id || '.txt' AS file_path, 1 AS start_line, len({_LINES_SQL})::INT AS end_line, md5(text) AS content_md5 FROM documents
-    WHERE len({_LINES_SQL}) <= 150 AND length(text) <= 6000""")
-def chunk_whole_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = chunking.chunk_files(_files(spark, sf_dir).where(F.length("content") <= chunking.MAX_CHARS).where(F.size(text.lines(F.col("content"))) <= chunking.MAX_LINES))
-    return rows.select("file_path", "start_line", "end_line", F.md5("content").alias("content_md5"))
-
-
 @query()
 def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = embedding.embed(_files(spark, sf_dir), embedding.HashEmbedder(64))
