@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
-TABLES, BUCKETS, PART = 5, 1 << 18, 6
+TABLES, BUCKETS, PART = 5, 1 << 17, 6
 #: Bytes of a short and a long stem, and of an ending.
 STEM, LONG_STEM, ENDING = 4, 7, 4
 WIDTHS, FILTERS = (1, 2, 3), 8
@@ -83,7 +83,17 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(np.maximum(best, 0).astype(np.float64) @ self.out + self.out_bias, -30, 30)))
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int = 6, batch: int = 24, rate: float = 0.02) -> Network:
+def _batches(order: np.ndarray, texts: list[np.ndarray], batch: int, words: int = 30_000) -> Iterator[np.ndarray]:
+    """Runs of at most `batch` texts and about `words` words; a longer text stands alone."""
+    at = 0
+    while at < len(order):
+        sizes = np.cumsum([len(texts[i]) for i in order[at : at + batch]])
+        n = max(1, int(np.searchsorted(sizes, words, "right")))
+        yield order[at : at + n]
+        at += n
+
+
+def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int = 8, batch: int = 12, rate: float = 0.02) -> Network:
     """texts: bucket rows of each text without gaps. Adam for filters, AdaGrad for the embedding rows that occur."""
     net = Network()
     if not len(labels) or labels.min() == labels.max():
@@ -91,7 +101,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int
         return net
     rng = np.random.default_rng(seed)
     dim = TABLES * PART
-    net.tables = rng.normal(0, 0.05, (TABLES, BUCKETS + 1, PART)).astype(np.float32)
+    net.tables = rng.standard_normal((TABLES, BUCKETS + 1, PART), np.float32) * np.float32(0.05)
     net.tables[:, -1] = 0
     net.filters = [rng.normal(0, (w * dim) ** -0.5, (w, dim, FILTERS)).astype(np.float32) for w in WIDTHS]
     net.bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
@@ -102,8 +112,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int
     step, gap = 0, np.full((_GAP, TABLES), -1, np.int32)
     for _ in range(epochs):
         order = rng.permutation(len(labels))
-        for a in range(0, len(order), batch):
-            chosen = order[a : a + batch]
+        for chosen in _batches(order, texts, batch):
             rows = np.concatenate([p for i in chosen for p in (texts[i], gap)])
             starts = np.cumsum([0, *(len(texts[i]) + _GAP for i in chosen[:-1])])
             x = net.embed(rows)
@@ -157,7 +166,7 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network:
-    """Fits on the sample; every fifth row is kept out of the fit and sets the thresholds by language."""
+    """Fits on the sample. A first fit leaves every fifth row out, which sets the thresholds by language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,6 +191,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
             p = 1 / (1 + np.exp(-np.clip(np.maximum(best, 0) @ net.out + net.out_bias, -30, 30)))
             by_lang.setdefault(r["_lang"] or "", []).append((float(p[0]), r["_toxic"]))
         net.thresholds = {lang: _threshold(pairs) for lang, pairs in by_lang.items()}
+        by_lang, net = net.thresholds, fit(texts, labels_)
+        net.thresholds = by_lang
     return net
 
 
@@ -206,14 +217,11 @@ def score(docs: DataFrame, net: Network, carry: list[str] | None = None) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(net)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row"), F.col("lang").cast("string").alias("_lang"), common.null_as_empty("text").alias("_text"))
 
-    @F.pandas_udf("double")
-    def score_of(texts):
-        import pandas as pd
-
-        array = pa.Array.from_pandas(texts, type=pa.large_string())
-        batch = pa.RecordBatch.from_arrays([array], names=["t"])
+    @F.arrow_udf("double")
+    def score_of(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], names=["t"])
         parts = [shared.value.score(common.Words(*common.text_buffers(s.column("t")), within=common.LETTERS)) for s in common.slices(batch, "t", _SLICE)]
-        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     limits = {k: v for k, v in net.thresholds.items() if k}
     limit = F.lit(net.thresholds.get("", THRESHOLD))
