@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 # The algorithm's suffix tables, longest match first within a step.
@@ -103,10 +104,9 @@ def stem_all(words: list[str]) -> list[str]:
 
 def stems(words: Column) -> Column:
     """The stems of an array of words. A word is stemmed once a process, and no row moves for it."""
-    import pandas as pd
 
-    @F.pandas_udf("array<string>")
-    def run(lists: pd.Series) -> pd.Series:
-        return lists.map(lambda x: None if x is None else stem_all(list(x)))
+    @F.arrow_udf("array<string>")
+    def run(lists: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else stem_all(x) for x in lists.to_pylist()], pa.list_(pa.string()))
 
     return run(words)
