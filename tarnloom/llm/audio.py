@@ -78,7 +78,8 @@ def samples_of(pcm: bytes | None) -> np.ndarray:
 
 
 def fingerprints(recordings: DataFrame) -> DataFrame:
-    """(id, ints): the packed integers (uint32, little-endian) of each recording (id, pcm)."""
+    """(id, ints): the packed integers (uint32, little-endian) of each recording (id, pcm). Arrow hands tasks up to
+    spark.sql.execution.arrow.maxRecordsPerBatch recordings at once; long ones want a smaller number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,17 +144,18 @@ def melody(vector: list[float] | np.ndarray, start: int = 0, gain: float = 0.6,
     return (wave * gain * 32767).astype("<i2").tobytes()
 
 
-def recordings(vectors: DataFrame, start: int = 0, gain: float = 0.6) -> DataFrame:
-    """(id, pcm) of vectors (vec_id, embedding); a null vector is an empty recording."""
+def _of_vectors(vectors: DataFrame, start: int = 0, gain: float = 0.6) -> DataFrame:
+    """fingerprints() of the recordings of vectors (vec_id, embedding), which are made where they are read and never
+    leave the task; a null vector is an empty recording."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                out = [melody(v, start, gain) if v is not None else b"" for v in part.column("v").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(out, pa.binary())], names=["id", "pcm"])
+                out = [integers(samples_of(melody(v, start, gain) if v is not None else b"")).astype("<u4").tobytes() for v in part.column("v").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(out, pa.binary())], names=["id", "ints"])
 
-    return vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v")).mapInArrow(run, "id long, pcm binary")
+    return vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("v")).mapInArrow(run, "id long, ints binary")
 
 
 def search(vectors: DataFrame, every: int = 100, start: int = 10 * HOP + 17, gain: float = 0.3) -> DataFrame:
@@ -165,10 +167,10 @@ def search(vectors: DataFrame, every: int = 100, start: int = 10 * HOP + 17, gai
     their members, so a group of copies adds rows in proportion to its size. A null or short vector gives a
     recording without integers: its class is its own vec_id and it matches nothing. Null vec_ids keep null classes
     if their sound is unique. Rows repeat as they come; no rows give no rows; other columns are not read."""
-    prints = common.stash(fingerprints(recordings(vectors)), "audio-prints")
+    prints = common.stash(_of_vectors(vectors), "audio-prints")
     classes = common.stash(prints.where(F.length("ints") > 0).groupBy("ints").agg(F.min("id").alias("class_id"), F.min(F.when(F.col("id") % every == 0, F.col("id"))).alias("query")), "audio-classes")
     asked = vectors.join(classes.where("query is not null").select(F.col("query").alias("vec_id")), "vec_id", "left_semi").dropDuplicates(["vec_id"])
-    excerpts = common.stash(fingerprints(recordings(asked, start, gain)), "audio-excerpts")
+    excerpts = common.stash(_of_vectors(asked, start, gain), "audio-excerpts")
     found = align(excerpts, classes.where("class_id is not null").select(F.col("class_id").alias("id"), "ints"))
     matches = found.groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.col("query").alias("query_id"), "offset", "bit_error"))).alias("matches"))
     matched = common.stash(classes.select("ints", "class_id").join(matches.withColumnRenamed("id", "class_id"), "class_id", "left"), "audio-matched")

@@ -53,3 +53,10 @@ def test_no_recordings(spark):
 @pytest.mark.parametrize("n", [0, 100, audio.FRAME])
 def test_short_recordings(n):
     assert len(audio.integers(np.zeros(n, np.float32))) == 0
+
+
+def test_recordings_as_a_column(spark):
+    rng = np.random.default_rng(3)
+    pcm = [audio.melody(rng.normal(0, 0.125, 64)) for _ in range(3)] + [None, b"", b"\x01"]
+    got = {r.id: bytes(r.ints) for r in audio.fingerprints(spark.createDataFrame(list(enumerate(pcm)), "id long, pcm binary")).collect()}
+    assert got == {k: audio.integers(audio.samples_of(p)).astype("<u4").tobytes() for k, p in enumerate(pcm)}
