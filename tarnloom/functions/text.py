@@ -59,7 +59,7 @@ def language(path: Column) -> Column:
 
 def code_words(text: Column) -> Column:
     """Runs of ASCII letters, digits and underscores of two characters or more."""
-    return F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "[^a-zA-Z0-9_]", " "), " "), lambda w: F.length(w) >= 2)
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[a-zA-Z0-9_]{2,}"), F.lit(0))
 
 
 def _parts(word: Column, pattern: str) -> Column:
@@ -68,8 +68,25 @@ def _parts(word: Column, pattern: str) -> Column:
 
 
 def code_tokens(text: Column) -> Column:
-    """Each code word lower-cased, then its camel-case parts, then its snake-case parts, in order, duplicates kept."""
-    return F.flatten(F.transform(code_words(text), lambda w: F.concat(F.array(F.lower(w)), _parts(w, "(?<!^)(?=[A-Z])"), _parts(w, "_+"))))
+    """Each code word lower-cased, then its camel-case parts, then its snake-case parts, in order, duplicates kept.
+
+    A split compiles its pattern on every call and lambdas are interpreted, so only words that have parts are split,
+    and a text without any goes without lambdas."""
+    words = code_words(text)
+
+    def cut(word: Column) -> Column:
+        whole = F.array(F.lower(word))
+        return F.when(word.rlike("_|.[A-Z]"), F.concat(whole, _parts(word, "(?<!^)(?=[A-Z])"), _parts(word, "_+"))).otherwise(whole)
+
+    plain = F.when(F.size(words) > 0, F.split(F.lower(F.array_join(words, " ")), " ")).otherwise(F.array().cast("array<string>"))
+    return F.when(F.coalesce(text, F.lit("")).rlike("[a-zA-Z0-9]_|_[a-zA-Z0-9_]|[a-zA-Z0-9][A-Z]"), F.flatten(F.transform(words, cut))).otherwise(plain)
+
+
+def code_terms(text: Column) -> Column:
+    """plain_tokens() of code_text(), without joining and cutting it again: code tokens only fall apart at underscores."""
+    tokens = code_tokens(text)
+    parts = F.flatten(F.transform(tokens, lambda t: F.when(F.contains(t, F.lit("_")), F.filter(F.split(t, "_"), lambda p: p != "")).otherwise(F.array(t))))
+    return F.when(F.contains(F.coalesce(text, F.lit("")), F.lit("_")), parts).otherwise(tokens)
 
 
 def code_text(text: Column) -> Column:
@@ -85,8 +102,9 @@ def _accents() -> tuple[str, str]:
 
 def plain_tokens(text: Column) -> Column:
     """Runs of letters and digits, lower-cased, without diacritics: what a full-text index cuts any column into."""
-    lower = F.translate(F.lower(F.coalesce(text, F.lit(""))), *_accents())
-    return F.filter(F.split(F.regexp_replace(lower, r"\p{Mn}", ""), r"[^\p{L}\p{N}\p{Co}]+"), lambda w: w != "")
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    lower = F.when(lower.rlike(r"[^\x00-\x7f]"), F.regexp_replace(F.translate(lower, *_accents()), r"\p{Mn}", "")).otherwise(lower)
+    return F.filter(F.split(lower, r"[^\p{L}\p{N}\p{Co}]+"), lambda w: w != "")
 
 
 def query_words(query: Column) -> Column:

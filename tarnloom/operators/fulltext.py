@@ -1,8 +1,8 @@
 """Full-text search: an inverted index over seven columns and BM25.
 
-The index is two tables: postings, a row for each term, document and column with its positions, and lengths, a row
-for each document with its number of tokens. Searches join the terms of a batch of queries with postings; nothing
-else of the documents is touched before the best ones are known.
+The index is two tables: tokens, a row for each token (or postings, a row for each term, document and column with its
+positions), and lengths, a row for each document with its number of tokens. Searches join the terms of a batch of
+queries with them; nothing else of the documents is touched before the best ones are known.
 """
 
 from __future__ import annotations
@@ -15,21 +15,38 @@ from tarnloom.functions import stemming, text
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
+#: Terms of a batch of queries that are broadcast; more are joined by a shuffle.
+MOST_TERMS = 100_000
 #: Indexed columns; those that are True are cut into code tokens first.
 COLUMNS = {"doc_id": False, "file_path": False, "content": True, "symbol_name": True, "symbol_type": False, "parent_context": True, "language": False}
 
 
 @dataclass
 class Index:
-    """postings (term, doc_id, collection, col, positions) and lengths (doc_id, collection, dl); stemmed says how terms were made."""
+    """tokens (term, doc_id, collection, dl, col, pos) and lengths (doc_id, collection, dl); stemmed says how terms were
+    made. Tokens carry their document's length, so that a search joins no other table. postings has a row for each
+    term, document and column, with its positions: the form to store or cache, which searches then read instead."""
 
-    postings: DataFrame
+    tokens: DataFrame
     lengths: DataFrame
     stemmed: bool
+    stored: DataFrame | None = None
+
+    @property
+    def postings(self) -> DataFrame:
+        if self.stored is not None:
+            return self.stored
+        return self.tokens.groupBy("term", "doc_id", "collection", "dl", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+
+    def matches(self, terms: DataFrame) -> DataFrame:
+        """terms (with a column term) joined with the places of their term."""
+        if self.stored is not None:
+            return terms.join(self.stored, "term").withColumn("pos", F.explode("positions")).drop("positions")
+        return terms.join(self.tokens, "term")
 
 
 def _tokens(column: str, as_code: bool) -> Column:
-    return text.plain_tokens(text.code_text(F.col(column)) if as_code else F.col(column))
+    return text.code_terms(F.col(column)) if as_code else text.plain_tokens(F.col(column))
 
 
 def documents(chunks: DataFrame) -> DataFrame:
@@ -39,16 +56,16 @@ def documents(chunks: DataFrame) -> DataFrame:
 
 
 def build(docs: DataFrame, stem: bool = True) -> Index:
-    """Indexes documents (the columns of COLUMNS and collection). Lengths need no shuffle; postings are grouped once by
-    term and document, so that a frequent term is no hot key."""
+    """Indexes documents (the columns of COLUMNS and collection). Neither tokens nor lengths need a shuffle; postings are
+    grouped by term and document, so that a frequent term is no hot key."""
     present = {c: code for c, code in COLUMNS.items() if c in docs.columns}
     cut = docs.select("doc_id", "collection", *[_tokens(c, code).alias(f"_{k}") for k, (c, code) in enumerate(present.items())])
-    lengths = cut.select("doc_id", "collection", sum((F.size(f"_{k}") for k in range(1, len(present))), F.size("_0")).cast("long").alias("dl"))
-    cut = cut.select("doc_id", "collection", *[(stemming.stems(F.col(f"_{k}")) if stem else F.col(f"_{k}")).alias(f"_{k}") for k in range(len(present))])
+    dl = sum((F.size(f"_{k}") for k in range(1, len(present))), F.size("_0")).cast("long").alias("dl")
+    lengths = cut.select("doc_id", "collection", dl)
+    cut = cut.select("doc_id", "collection", dl, *[(stemming.stems(F.col(f"_{k}")) if stem else F.col(f"_{k}")).alias(f"_{k}") for k in range(len(present))])
     fields = F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"_{k}").alias("words")) for k, c in enumerate(present)])
-    each = cut.select("doc_id", "collection", F.explode(fields).alias("_f")).select("doc_id", "collection", "_f.col", F.posexplode("_f.words").alias("pos", "term"))
-    postings = each.groupBy("term", "doc_id", "collection", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return Index(postings, lengths, stem)
+    each = cut.select("doc_id", "collection", "dl", F.explode(fields).alias("_f")).select("doc_id", "collection", "dl", "_f.col", F.posexplode("_f.words").alias("pos", "term"))
+    return Index(each, lengths, stem)
 
 
 def statistics(index: Index) -> DataFrame:
@@ -71,12 +88,14 @@ def scores(index: Index, queries: DataFrame, match: str = "all", collections: bo
     if match not in ("all", "any"):
         raise ValueError(f"match is all or any, not {match}")
     asked = phrases(queries, index.stemmed)
-    hits = asked.join(index.postings, "term").select("query_id", "n_phrases", "phrase", "n_terms", "i", "doc_id", "collection", "col", F.explode("positions").alias("pos"))
-    whole = ["query_id", "n_phrases", "phrase", "n_terms", "doc_id", "collection"]
+    if asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
+        asked = F.broadcast(asked)  # then tokens that no query asks for leave before any shuffle
+    hits = index.matches(asked).select("query_id", "n_phrases", "phrase", "n_terms", "i", "doc_id", "collection", "dl", "col", "pos")
+    whole = ["query_id", "n_phrases", "phrase", "n_terms", "doc_id", "collection", "dl"]
     places = hits.groupBy(*whole, "col", (F.col("pos") - F.col("i")).alias("_at")).agg(F.count("*").alias("_n")).where("_n = n_terms")
     tf = places.groupBy(*whole).agg(F.count("*").alias("tf"))
     df = tf.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))
-    tf = tf.join(df, ["query_id", "phrase"]).join(index.lengths, ["doc_id", "collection"]).crossJoin(F.broadcast(statistics(index)))  # one row
+    tf = tf.join(df, ["query_id", "phrase"]).crossJoin(F.broadcast(statistics(index)))  # one row
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_length")))

@@ -63,7 +63,7 @@ class Engine:
     def full_text(self, collection: str) -> fulltext.Index:
         if collection not in self._indexes:
             made = fulltext.build(self._documents(collection), self.stem)
-            self._indexes[collection] = fulltext.Index(made.postings.cache(), made.lengths.cache(), made.stemmed)
+            self._indexes[collection] = fulltext.Index(made.tokens, made.lengths.cache(), made.stemmed, made.postings.cache())
         return self._indexes[collection]
 
     def retrieve(self, query: str, limit: int = 20, collection: str = schema.DEFAULT_COLLECTION, files: DataFrame | None = None, **options) -> DataFrame:

@@ -339,7 +339,8 @@ def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_INDEX_SQL} SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM each GROUP BY term")
 def postings_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     postings = _index(spark, sf_dir)[1].postings
-    return postings.groupBy("term").agg(F.countDistinct("doc_id").alias("n_docs"), F.sum(F.size("positions")).alias("n"))
+    per_doc = postings.groupBy("term", "doc_id").agg(F.sum(F.size("positions")).alias("n"))
+    return per_doc.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"))
 
 
 @query(_best_sql("matched = n_phrases"))
