@@ -116,7 +116,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse modulo 2**64, kept between calls."""
     if len(_powers[0]) < n:
-        size = max(n, 1 << 21 | 1 << 12)
+        size = max(n, 1 << 20 | 1 << 12)
         inverse = np.uint64(pow(int(_BASE), -1, 2**64))
         for k, base in enumerate((_BASE, inverse)):
             steps = np.full(size, base, np.uint64)

@@ -31,7 +31,7 @@ DEVIATIONS, SLACK = 5.0, 4.0
 #: Nodes, and shingles, of a band in a block.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 18
 MOST_IDS = 1 << 20
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(75))
 _XOR = _rng.integers(0, 2**32, SAMPLES, dtype=np.uint32)
 _ODD = _rng.integers(0, 2**31, SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -145,7 +145,7 @@ def _close(a: dict, b: dict):
 
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(_id, _set): the shingle sets of the documents in ids, made again from their texts, as a work table.
+    """(_id, _set): the shingle sets of the documents in ids, made again from their texts.
 
     Up to MOST_IDS ids are broadcast (8 bytes each), so that no text moves; more are joined by a shuffle."""
     ids = F.broadcast(ids) if ids.limit(MOST_IDS + 1).count() <= MOST_IDS else ids
@@ -157,7 +157,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 made = shingle_sets(common.Words(*common.text_buffers(piece.column("text"))))
                 yield pa.RecordBatch.from_arrays([piece.column("_id"), pa.array([s.tobytes() for s in made], pa.binary())], names=["_id", "_set"])
 
-    return common.stash(rows.mapInArrow(run, "_id long, _set binary"), "neardups-sets")
+    return rows.mapInArrow(run, "_id long, _set binary")
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -172,7 +172,7 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 
 def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of distinct pairs (a, b) those whose full shingle sets are alike enough, as a work table."""
-    table = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct())
+    table = common.stash(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()), "neardups-sets")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +187,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 30) -> DataFrame:
     """(node, component): the smallest node that each node of links (a, b) reaches.
 
     Each round takes the smallest label among a node and its neighbours, then the label's own label, so that
@@ -195,10 +195,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     both = links.select(F.col("a").alias("_x"), F.col("b").alias("_y")).unionByName(links.select(F.col("b").alias("_x"), F.col("a").alias("_y")))
     labels = common.stash(both.groupBy(F.col("_x").alias("node")).agg(F.least(F.col("node"), F.min("_y")).alias("component")), "neardups-labels")
     for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("node").alias("_y"), "component"), "_y").groupBy(F.col("_x").alias("node")).agg(F.min("component").alias("_near"))
-        step = labels.join(near, "node").select("node", F.least("component", "_near").alias("component"), F.col("component").alias("_old"))
-        jump = labels.select(F.col("node").alias("_k"), F.col("component").alias("_to"))
-        after = step.join(jump, F.col("component") == F.col("_k")).select("node", F.least("component", "_to").alias("component"), "_old")
+        after = labels.withColumn("_old", F.col("component"))
+        for _ in range(2):  # rounds a work table
+            known = after.select("node", "component")
+            near = both.join(known.select(F.col("node").alias("_y"), "component"), "_y").groupBy(F.col("_x").alias("node")).agg(F.min("component").alias("_near"))
+            step = after.join(near, "node").select("node", F.least("component", "_near").alias("component"), "_old")
+            jump = known.select(F.col("node").alias("_k"), F.col("component").alias("_to"))
+            after = step.join(jump, F.col("component") == F.col("_k")).select("node", F.least("component", "_to").alias("component"), "_old")
         after = common.stash(after, "neardups-labels")
         common.discard(labels)
         labels = after.select("node", "component")
@@ -324,9 +327,7 @@ def link(docs: DataFrame) -> DataFrame:
     a null doc_id takes the component of its equals, or null, and is not kept unless its text is empty. No rows give
     no rows. Columns besides doc_id and text are not read. Shingles are compared by 64-bit hashes, whole texts."""
     signed = common.stash(sign(docs), "neardups-signed")
-    classes = common.stash(
-        signed.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node")), "neardups-classes"
-    )
+    classes = signed.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"))
     nodes = signed.join(classes.select(F.col("node").alias("doc_id"), "set_a", "set_b", "n_shingles"), ["doc_id", "set_a", "set_b", "n_shingles"], "left_semi")
     nodes = common.stash(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sketch", "n_samples").dropDuplicates(["node"]), "neardups-nodes")
     keyed = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))

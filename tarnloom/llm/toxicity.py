@@ -27,7 +27,7 @@ MAX_TOXIC, MAX_CLEAN = 1500, 3000
 THRESHOLD = 0.7
 #: Rows of zeros after each text; windows that begin behind the first of them are no windows.
 _GAP = max(WIDTHS)
-_SLICE = 2 << 20
+_SLICE = 1 << 20
 
 
 def buckets_of(words: common.Words) -> tuple[np.ndarray, np.ndarray]:
