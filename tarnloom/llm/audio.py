@@ -78,8 +78,8 @@ def samples_of(pcm: bytes | None) -> np.ndarray:
 
 
 def fingerprints(recordings: DataFrame) -> DataFrame:
-    """(id, ints): the packed integers (uint32, little-endian) of each recording (id, pcm). Arrow hands tasks up to
-    spark.sql.execution.arrow.maxRecordsPerBatch recordings at once; long ones want a smaller number."""
+    """(id, ints): the packed integers (uint32, little-endian) of each recording (id, pcm)."""
+    common.bound_batches(recordings.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,6 +167,7 @@ def search(vectors: DataFrame, every: int = 100, start: int = 10 * HOP + 17, gai
     their members, so a group of copies adds rows in proportion to its size. A null or short vector gives a
     recording without integers: its class is its own vec_id and it matches nothing. Null vec_ids keep null classes
     if their sound is unique. Rows repeat as they come; no rows give no rows; other columns are not read."""
+    common.bound_batches(vectors.sparkSession)
     prints = common.stash(_of_vectors(vectors), "audio-prints")
     classes = common.stash(prints.where(F.length("ints") > 0).groupBy("ints").agg(F.min("id").alias("class_id"), F.min(F.when(F.col("id") % every == 0, F.col("id"))).alias("query")), "audio-classes")
     asked = vectors.join(classes.where("query is not null").select(F.col("query").alias("vec_id")), "vec_id", "left_semi").dropDuplicates(["vec_id"])

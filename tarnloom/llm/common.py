@@ -53,6 +53,19 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Bytes that Spark hands to a Python task at once; a longer row stands alone.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Bounds Arrow batches by bytes, as rows differ in size by orders of magnitude; a smaller bound of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+    return spark
+
+
 # ---------------------------------------------------------------- columns
 
 

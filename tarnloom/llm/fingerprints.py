@@ -136,7 +136,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     document is its own next. No rows give no rows. Other columns are not read.
 
     One shuffle deals the texts into ranges of doc_id; the first row of a range goes to the range before it too."""
-    spark = docs.sparkSession
+    spark = common.bound_batches(docs.sparkSession)
     largest = 2**63 - 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.null_as_empty("text").alias("text"))
     order = F.coalesce("doc_id", F.lit(largest))

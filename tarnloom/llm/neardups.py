@@ -326,6 +326,7 @@ def link(docs: DataFrame) -> DataFrame:
     links with nothing, so it is kept. Equal sets link, however many there are. Rows with one doc_id are one node;
     a null doc_id takes the component of its equals, or null, and is not kept unless its text is empty. No rows give
     no rows. Columns besides doc_id and text are not read. Shingles are compared by 64-bit hashes, whole texts."""
+    common.bound_batches(docs.sparkSession)
     signed = common.stash(sign(docs), "neardups-signed")
     classes = signed.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"))
     nodes = signed.join(classes.select(F.col("node").alias("doc_id"), "set_a", "set_b", "n_shingles"), ["doc_id", "set_a", "set_b", "n_shingles"], "left_semi")

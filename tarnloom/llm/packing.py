@@ -60,7 +60,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, length: int = SEQUE
     Columns besides doc_id and text are ignored, whatever their names. A text of any length is cut into as many
     windows as it needs. Rows are packed in the order of the table's partitions; the token table is written once,
     so a retried task cuts the same windows."""
-    spark = docs.sparkSession
+    spark = common.bound_batches(docs.sparkSession)
     table = common.stash(tokenise(docs, tokenizer_path or tokens.default_path(), end_id), "packing-ids")
     totals = sorted((r["part"], r["total"]) for r in table.groupBy("part").agg(F.max(F.col("local_start") + F.col("n")).alias("total")).collect())
     bases, at = {}, 0  # one entry an input partition

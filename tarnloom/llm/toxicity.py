@@ -168,6 +168,8 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame) -> Network:
     """Fits on the sample. A first fit leaves every fifth row out, which sets the thresholds by language."""
 
+    common.bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in common.slices(batch, "text", _SLICE):
@@ -214,7 +216,7 @@ def score(docs: DataFrame, net: Network, carry: list[str] | None = None) -> Data
     labelled rows of one kind the score is the share of toxic ones (0 without any). Rows repeat as they come; no
     rows give no rows; other columns are not read."""
     carry = ["doc_id"] if carry is None else carry
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    shared = common.bound_batches(docs.sparkSession).sparkContext.broadcast(net)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row"), F.col("lang").cast("string").alias("_lang"), common.null_as_empty("text").alias("_text"))
 
     @F.arrow_udf("double")

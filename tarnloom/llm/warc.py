@@ -169,5 +169,5 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 for k in range(0, len(rows), 500):
                     yield pa.RecordBatch.from_pylist(rows[k : k + 500], schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = common.bound_batches(spark).read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInArrow(run, _RECORDS)
