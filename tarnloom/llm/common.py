@@ -37,9 +37,11 @@ def work_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a work table and returns the table: it cuts the lineage and outlives lost executors."""
+def stash(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """Writes df as a work table and returns the table: it cuts the lineage and outlives lost executors. A small one
+    (a few bytes for each of some of the documents) gets no more files than there are cores."""
     spark = df.sparkSession
+    df = df.coalesce(spark.sparkContext.defaultParallelism) if small else df
     path = work_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -53,11 +53,11 @@ def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[int, ...
         key.alias("_key"),
         (F.conv(F.substring(key, 1, 3), 16, 10).cast("int") % RANGES).alias("_range"),
     )
-    ranges = common.stash(rows.groupBy("_src", "_range").agg(F.sum("size").alias("_range_size")), "mixing-ranges")
+    ranges = common.stash(rows.groupBy("_src", "_range").agg(F.sum("size").alias("_range_size")), "mixing-ranges", small=True)
     plan = targets(ranges.groupBy("_src").agg(F.sum("_range_size").alias("source_size")), weights, max_epochs)
     earlier = Window.partitionBy("_src").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("_before", F.coalesce(F.sum("_range_size").over(earlier), F.lit(0))).join(plan, "_src")
-    ranges = common.stash(ranges.select("_src", "_range", "_before", "source_size", "target"), "mixing-plan")
+    ranges = common.stash(ranges.select("_src", "_range", "_before", "source_size", "target"), "mixing-plan", small=True)
     within = Window.partitionBy("_src", "_range").orderBy("_key", "size").rowsBetween(Window.unboundedPreceding, -1)
     size, source_size = F.col("size"), F.col("source_size")
     quota = F.round("target").cast("long")

@@ -182,7 +182,7 @@ def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     left = table.select(F.col("_id").alias("a"), F.col("_set").alias("_x"))
     right = table.select(F.col("_id").alias("b"), F.col("_set").alias("_y"))
     found = pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(alike, "a long, b long")
-    out = common.stash(found.distinct(), "neardups-links")
+    out = common.stash(found.distinct(), "neardups-links", small=True)
     common.discard(table)
     return out
 
@@ -193,7 +193,7 @@ def components(links: DataFrame, most_rounds: int = 30) -> DataFrame:
     Each round takes the smallest label among a node and its neighbours, then the label's own label, so that
     chains shorten quickly; links and labels stay distributed."""
     both = links.select(F.col("a").alias("_x"), F.col("b").alias("_y")).unionByName(links.select(F.col("b").alias("_x"), F.col("a").alias("_y")))
-    labels = common.stash(both.groupBy(F.col("_x").alias("node")).agg(F.least(F.col("node"), F.min("_y")).alias("component")), "neardups-labels")
+    labels = common.stash(both.groupBy(F.col("_x").alias("node")).agg(F.least(F.col("node"), F.min("_y")).alias("component")), "neardups-labels", small=True)
     for _ in range(most_rounds):
         after = labels.withColumn("_old", F.col("component"))
         for _ in range(2):  # rounds a work table
@@ -202,7 +202,7 @@ def components(links: DataFrame, most_rounds: int = 30) -> DataFrame:
             step = after.join(near, "node").select("node", F.least("component", "_near").alias("component"), "_old")
             jump = known.select(F.col("node").alias("_k"), F.col("component").alias("_to"))
             after = step.join(jump, F.col("component") == F.col("_k")).select("node", F.least("component", "_to").alias("component"), "_old")
-        after = common.stash(after, "neardups-labels")
+        after = common.stash(after, "neardups-labels", small=True)
         common.discard(labels)
         labels = after.select("node", "component")
         if after.where("component < _old").isEmpty():
@@ -239,7 +239,7 @@ def _across(banded: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFr
     rows = common.stash(sketched.mapInArrow(_close_rows, _BLOCK_SCHEMA), "neardups-close")
     sets = _sets(docs, rows.select(F.col("node").alias("_id")).distinct()).dropDuplicates(["_id"]).withColumnRenamed("_id", "node")
     found = dealt(rows.join(sets, "node").select(*_BLOCK_ROW, "_set")).mapInArrow(_links, "a long, b long")
-    return common.stash(found.distinct(), "neardups-more")
+    return common.stash(found.distinct(), "neardups-more", small=True)
 
 
 _BLOCK_KEY = ("key", "_i", "_k", "_j")
@@ -345,7 +345,7 @@ def link(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         merged = more.join(labels.select(F.col("node").alias("a"), F.col("component").alias("_a")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("_b")), "b", "left")
         merged = merged.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).distinct()
-        top = components(common.stash(merged, "neardups-merged")).select(F.col("node").alias("_c"), F.col("component").alias("_top"))
+        top = components(common.stash(merged, "neardups-merged", small=True)).select(F.col("node").alias("_c"), F.col("component").alias("_top"))
         everyone = labels.unionByName(top.select(F.col("_c").alias("node"), F.col("_c").alias("component")).join(labels.select("node"), "node", "left_anti"))
         labels = everyone.join(top, F.col("component") == F.col("_c"), "left").select("node", F.coalesce("_top", "component").alias("component"))
     ends = classes.join(labels, "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("_component"))
