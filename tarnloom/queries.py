@@ -413,15 +413,16 @@ def dedup_diversify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, those without a vector too: only full text finds them."""
     points = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding")
-    return fulltext.documents(_chunks(spark, sf_dir)).join(points, "row_id")
+    return fulltext.documents(_chunks(spark, sf_dir)).join(points, "row_id", "left")
 
 
 @query()
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composed of queries with SQL twins; held against a plain Python version in the tests."""
     docs = _with_vectors(spark, sf_dir)
-    vectors_ = docs.where("row_id % 100 = 0").select(F.col("row_id").alias("query_id"), F.concat_ws(" ", F.slice(F.split("content", r"\s+"), 3, 2)).alias("query"), F.col("embedding").alias("vector"))
+    vectors_ = docs.where("row_id % 100 = 0 and embedding is not null").select(F.col("row_id").alias("query_id"), F.concat_ws(" ", F.slice(F.split("content", r"\s+"), 3, 2)).alias("query"), F.col("embedding").alias("vector"))
     found = retrieval.retrieve(docs, vectors_, fulltext.build(docs), limit=10)
     return found.select("query_id", "rank", "doc_key", "file_path", F.round("score", 9).alias("score"))
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tarnloom import queries as queries_
 from tarnloom.operators import context, fulltext, ranking, rendering, vectors
 from tarnloom.plans import retrieval
 
@@ -144,3 +145,14 @@ def test_byte_cap_against_a_loop(spark, cap):
         output += "\n" + s
     frame = spark.createDataFrame([(0, k, *r) for k, r in enumerate(rows, 1)], "query_id int, rank int, file_path string, start_line int, content string")
     assert rendering.render(frame, cap).first().output == output
+
+
+def test_hybrid_query_finds_documents_without_a_vector(spark, tmp_path):
+    rows = [(k, f"some words number{k} here", "en", "web", 20) for k in range(12)]
+    rows[0] = (0, "a b needle haystack", "en", "web", 20)
+    rows[9] = (9, "the needle, a haystack: no vector", "en", "web", 20)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, [1.0, float(k)]) for k in range(6)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = queries_.QUERIES["hybrid_retrieve"](spark, str(tmp_path)).collect()
+    assert {r.query_id for r in found} == {0}
+    assert "web/9.txt" in {r.file_path for r in found}
