@@ -1,8 +1,9 @@
 """Document fingerprints: closed syncmers over code points.
 
 A k-mer is an anchor if the smallest hash of its inner s-mers lies at its first or its last one, which depends on
-the k-mer alone. A fingerprint lists the anchors with the smallest hashes and their positions, in text order;
-two fingerprints are alike by the share of anchors, among the smallest of both, that match and lie in one order.
+the k-mer alone. A fingerprint lists the anchors with hashes up to BOUND, or the ANCHORS smallest if these are more, and
+their positions, in text order; two fingerprints are alike by the share of anchors, among the hashes up to which both
+are complete, that match and lie in one order.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from pyspark.sql import DataFrame, functions as F
 from . import common
 
 K, S = 24, 8
-#: For texts of fewer than 2 * SHORT code points there are anchors of this finer size too; those of fewer than SHORT have only these.
+#: For texts of fewer than 2 * SHORT code points there are anchors of this finer size too.
 FINE_K, FINE_S = 8, 4
 SHORT = 160
-#: Anchors in a fingerprint.
-ANCHORS = 64
+#: Anchors of a scale in a fingerprint, at least (all, if there are fewer), and the hash up to which every anchor stays: a
+#: quarter of all.
+ANCHORS, BOUND = 64, 1 << 30
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,15 +75,16 @@ def _windows_at(inner: np.ndarray, at: np.ndarray, k: int, s: int) -> np.ndarray
 
 
 def sketch(points: np.ndarray, size: int = ANCHORS) -> np.ndarray:
-    """(hash, position) as uint32 pairs in text order: of each scale the anchors with the smallest hashes, each hash
-    once. The hash's lowest bit is 1 for fine anchors."""
+    """(hash, position) as uint32 pairs in text order: of each scale the anchors with hashes up to BOUND and at
+    least the `size` smallest, each hash once. The hash's lowest bit is 1 for fine anchors."""
     parts = []
     for fine in (0, 1):
-        if len(points) >= 2 * SHORT if fine else len(points) < SHORT:
+        if fine and len(points) >= 2 * SHORT:
             continue
         at, h = anchors(points, *((FINE_K, FINE_S) if fine else (K, S)))
         h, first = np.unique(h >> np.uint64(32) & np.uint64(0xFFFFFFFE) | np.uint64(fine), return_index=True)
-        h, at = h[:size], at[first[:size]]
+        n = max(size, int(np.searchsorted(h, BOUND, "right")))
+        h, at = h[:n], at[first[:n]]
         order = np.argsort(at, kind="stable")
         parts.append(np.stack([h[order], np.minimum(at[order], 2**32 - 1)], axis=1).astype(np.uint32))
     return np.concatenate(parts)
@@ -96,17 +99,18 @@ def unpack(fingerprint: str) -> np.ndarray:
 
 
 def likeness(a: np.ndarray, b: np.ndarray, size: int = ANCHORS) -> float:
-    """Of the `size` smallest hashes of both, the share that both hold in one order (the longest rising run of
-    positions). Fine anchors are compared where both have them, the others elsewhere; 1 for two empty fingerprints."""
+    """Of both's hashes up to where each is complete (all, if a sketch has fewer than `size`), the share that both
+    hold in one order (the longest rising run of positions). Fine anchors are compared where both have them, the others elsewhere; 1 for two empty fingerprints."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     fine = bool((a[:, 0] & 1).any() and (b[:, 0] & 1).any())
     a, b = a[(a[:, 0] & 1) == fine], b[(b[:, 0] & 1) == fine]
     if not len(a) or not len(b):
         return 0.0
-    union = np.union1d(a[:, 0], b[:, 0])[:size]
-    both, i, j = np.intersect1d(a[:, 0], b[:, 0], return_indices=True)
-    i, j = i[both <= union[-1]], j[both <= union[-1]]
+    last = min(max(BOUND, int(x[:, 0].max())) if len(x) >= size else 2**32 for x in (a, b))
+    a, b = a[a[:, 0] <= last], b[b[:, 0] <= last]
+    union = np.union1d(a[:, 0], b[:, 0])
+    _, i, j = np.intersect1d(a[:, 0], b[:, 0], return_indices=True)
     if not len(i):
         return 0.0
     places, tails = b[j[np.argsort(i)], 1], []
@@ -132,7 +136,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     The next document is that with the next larger doc_id (after the last: the first); rows with one doc_id follow
     each other by text, null doc_ids come last. A null text is empty; an empty text has an empty fingerprint, which
     is like another empty one (1) and unlike any other (0); a text of under eight code points is one
-    anchor. An only
+    anchor of each scale. An only
     document is its own next. No rows give no rows. Other columns are not read.
 
     One shuffle deals the texts into ranges of doc_id; the first row of a range goes to the range before it too."""

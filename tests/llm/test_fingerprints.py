@@ -52,3 +52,30 @@ def test_anchors_have_their_smallest_part_at_an_edge():
 def test_edits_are_nearer_than_strangers(docs):
     rows = P.fingerprint_edits(docs).where("n_chars > 200").collect()
     assert np.mean([r.near_edited > r.near_next + 0.05 for r in rows]) > 0.95
+
+
+def test_long_texts_keep_more_anchors():
+    """A passage of 300 code points that two long texts share, or that one has changed, is seen."""
+    rng = np.random.default_rng(5)
+    a, b, passage = (rng.integers(97, 123, n).astype(np.uint32) for n in (60000, 60000, 300))
+    shared = np.concatenate([b[:30000], passage, b[30000:]])
+    one = np.concatenate([a[:20000], passage, a[20000:]])
+    assert P.likeness(P.sketch(one), P.sketch(shared)) > 0
+    changed = a.copy()
+    changed[40000:40300] = passage
+    assert P.pack(P.sketch(changed)) != P.pack(P.sketch(a)) and 0.98 < P.likeness(P.sketch(a), P.sketch(changed)) < 1
+    assert len(P.sketch(a)) > 1000
+
+
+def test_likeness_of_long_texts_is_near_that_of_all_anchors():
+    rng = np.random.default_rng(6)
+    a = rng.integers(97, 123, 40000).astype(np.uint32)
+    for kept in (8000, 20000, 32000):
+        b = np.concatenate([a[:kept], rng.integers(97, 123, 40000 - kept).astype(np.uint32)])
+        want = kept / (80000 - kept)
+        assert abs(P.likeness(P.sketch(a), P.sketch(b)) - want) < 0.03
+
+
+def test_texts_of_all_lengths_share_a_scale():
+    text = "".join(np.random.default_rng(7).choice(list("abcdefgh "), 159))
+    assert P.likeness(P.sketch(P.points_of(text)), P.sketch(P.points_of(f"{text}  {text}"))) > 0.5
