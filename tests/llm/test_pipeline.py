@@ -67,3 +67,13 @@ def test_no_import_guards(module):
     import inspect
 
     assert not re.search(r"except\s+(ImportError|ModuleNotFoundError)", inspect.getsource(importlib.import_module(f"tarnloom.llm.{module}")))
+
+
+def test_toxicity_stage_uses_the_thresholds_by_language(spark, sf, docs, monkeypatch):
+    net = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    langs = sorted({r["lang"] for r in docs.select("lang").distinct().collect() if r["lang"]})
+    net.thresholds = {langs[0]: 0.0, langs[1]: 1.1}
+    monkeypatch.setattr(toxicity, "train", lambda *_: net)
+    kept = corpus_pipeline.toxicity_stage(spark, docs, sf).collect()
+    assert not any(r.lang == langs[0] for r in kept)
+    assert sum(r.lang == langs[1] for r in kept) == docs.where(docs.lang == langs[1]).count()
