@@ -72,11 +72,12 @@ def mix(docs: DataFrame, carry: list[str] | None = None, weights: tuple[int, ...
 
 
 def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The mixture as documents: a row for each whole repetition and one with the first words of a part."""
+    """The mixture as documents: a row for each whole repetition and one with a part: its text up to the
+    last word taken, as it stands."""
     size, taken = F.col("size"), F.col("taken")
     copies = F.when(size > 0, F.ceil(taken / size)).otherwise(0).cast("int")
     rows = mixed.where(taken > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
     kept = F.least(size, taken - (F.col("_copy") - 1) * size)
-    part = F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(common.WORD_PATTERN), F.lit(0)), 1, F.greatest(kept, F.lit(1)).cast("int")), " ")
+    part = F.array_join(F.slice(F.regexp_extract_all(F.col("_row.text"), F.lit(rf"[\x20\x09-\x0D]*{common.WORD_PATTERN}"), F.lit(0)), 1, F.greatest(kept, F.lit(1)).cast("int")), "")
     text = F.when(kept < size, part).otherwise(F.col("_row.text"))
     return rows.select(*[(text if c == "text" else F.col(f"_row.`{c}`")).alias(c) for c in columns])

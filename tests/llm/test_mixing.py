@@ -78,3 +78,9 @@ def test_repeat_takes_as_many_words(odd_docs):
 def test_main_path_is_native(odd_docs):
     plan = mixing.mix(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_a_part_keeps_its_text_as_it_stands(spark):
+    text = "  one\n\ttwo  three\r\nfour five\n"
+    mixed = spark.createDataFrame([((1, text), 5, 3)], "_row struct<doc_id: long, text: string>, size long, taken long")
+    assert [r.text for r in mixing.repeat(mixed, ["doc_id", "text"]).collect()] == ["  one\n\ttwo  three"]
