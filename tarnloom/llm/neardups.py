@@ -2,8 +2,8 @@
 
 One pass over the texts gives each document a key of its shingle set, band keys of MinHash samples, and an odd sketch:
 the parity bitmap of one MinHash sample for each of BINS ranges of hashes. The XOR population count of two sketches
-tells how many samples differ, which is precise where most agree. Documents with equal sets are one node. Nodes that
-share a band are compared with the band's smallest node first; a pair whose sketches differ too much for the threshold
+tells how many samples differ, which is precise where most agree. Documents with equal sets are one node, named by the
+set's hash; nodes of one doc_id are linked. Nodes that share a band are compared with the band's smallest node first; a pair whose sketches differ too much for the threshold
 drops out, the others are confirmed on the full shingle sets. Links become components by min-label propagation. A
 band that then still joins several components is compared in full across them, in blocks of bounded size that hold
 the shingle sets, so that no link between its nodes is lost and only links that join components leave a block.
@@ -29,7 +29,7 @@ BINS, BITS = 512, 2048
 #: A pair drops out if fewer samples agree than expected at the threshold, less so many standard deviations and samples.
 DEVIATIONS, SLACK = 5.0, 4.0
 #: Nodes, and shingles, of a band in a block.
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 18
+BLOCK, BLOCK_SHINGLES = 256, 1 << 18
 MOST_IDS = 1 << 20
 _SLICE = 1 << 20
 _rng = np.random.Generator(np.random.PCG64(75))
@@ -101,11 +101,18 @@ def least_agreeing(shingles):
     return t * samples - DEVIATIONS * np.sqrt(t * (1 - t) * samples * (1 - samples / np.maximum(union, 1))) - SLACK
 
 
-_SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, sketch array<long>, n_samples int"
+def node_of(one: np.ndarray) -> int:
+    """A set's 64-bit name, as a signed number."""
+    a = np.bitwise_xor.reduce(common.mix64(one + np.uint64(1)))
+    b = np.add.reduce(common.mix64(one ^ np.uint64(0xA0761D6478BD642F)))
+    return int(common.mix64(np.array([a], np.uint64) ^ common.mix64(np.array([b + np.uint64(len(one))], np.uint64))).view(np.int64)[0])
+
+
+_SIGNED = "doc_id long, n_shingles long, node long, bands array<long>, sketch array<long>, n_samples int"
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit key of the set, band keys and odd sketch (null for an empty set)."""
+    """doc_id, n_shingles, node, band keys and odd sketch (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,20 +120,19 @@ def sign(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(common.Words(*common.text_buffers(piece.column("text"))))
                 sizes = np.array([len(s) for s in sets])
                 full = np.flatnonzero(sizes)
-                key_a, key_b = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
+                nodes: list = [None] * len(sets)
                 bands: list = [None] * len(sets)
                 sketches: list = [None] * len(sets)
                 samples = np.zeros(len(sets), np.int32)
                 if len(full):
                     keys = band_keys([sets[i] for i in full])
                     for j, i in enumerate(full):
-                        key_a[i] = np.bitwise_xor.reduce(common.mix64(sets[i] + np.uint64(1))) ^ np.uint64(sizes[i])
-                        key_b[i] = np.add.reduce(common.mix64(sets[i] ^ np.uint64(0xA0761D6478BD642F)))
+                        nodes[i] = node_of(sets[i])
                         sk, samples[i] = odd_sketch(sets[i])
                         bands[i], sketches[i] = common.signed(keys[j]), common.signed(sk)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(common.signed(key_a)), pa.array(common.signed(key_b)), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(samples)],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "sketch", "n_samples"],
+                    [piece.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64())), pa.array(samples)],
+                    names=["doc_id", "n_shingles", "node", "bands", "sketch", "n_samples"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.null_as_empty("text").alias("text"))
@@ -144,20 +150,22 @@ def _close(a: dict, b: dict):
     return sizes & (agree >= least)
 
 
-def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(_id, _set): the shingle sets of the documents in ids, made again from their texts.
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, _set) of nodes (node, doc_id): shingle sets, made again from the texts with these doc_ids. Where texts
+    share a doc_id, the sets of its other texts come along.
 
     Up to MOST_IDS ids are broadcast (8 bytes each), so that no text moves; more are joined by a shuffle."""
+    ids = nodes.select(F.col("doc_id").alias("_id")).distinct()
     ids = F.broadcast(ids) if ids.limit(MOST_IDS + 1).count() <= MOST_IDS else ids
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), common.null_as_empty("text").alias("text")).join(ids, "_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in common.slices(batch, "text", _SLICE):
-                made = shingle_sets(common.Words(*common.text_buffers(piece.column("text"))))
-                yield pa.RecordBatch.from_arrays([piece.column("_id"), pa.array([s.tobytes() for s in made], pa.binary())], names=["_id", "_set"])
+                made = [x for x in shingle_sets(common.Words(*common.text_buffers(piece.column("text")))) if len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(x) for x in made], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], names=["node", "_set"])
 
-    return rows.mapInArrow(run, "_id long, _set binary")
+    return rows.select("text").mapInArrow(run, "node long, _set binary")
 
 
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
@@ -170,17 +178,17 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of distinct pairs (a, b) those whose full shingle sets are alike enough, as a work table."""
-    table = common.stash(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()), "neardups-sets")
+def confirm(pairs: DataFrame, ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of distinct pairs (a, b) of nodes those whose full shingle sets are alike enough, as a work table; ids: (node, doc_id)."""
+    table = common.stash(_sets(docs, ids.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")), "neardups-sets")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column("_x"), batch.column("_y"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = table.select(F.col("_id").alias("a"), F.col("_set").alias("_x"))
-    right = table.select(F.col("_id").alias("b"), F.col("_set").alias("_y"))
+    left = table.select(F.col("node").alias("a"), F.col("_set").alias("_x"))
+    right = table.select(F.col("node").alias("b"), F.col("_set").alias("_y"))
     found = pairs.join(left, "a").join(right, "b").select("a", "b", "_x", "_y").mapInArrow(alike, "a long, b long")
     out = common.stash(found.distinct(), "neardups-links", small=True)
     common.discard(table)
@@ -237,7 +245,7 @@ def _across(banded: DataFrame, labels: DataFrame, nodes: DataFrame, docs: DataFr
     dealt = lambda df: df.repartition(parts, *_BLOCK_KEY).sortWithinPartitions(*_BLOCK_KEY, "_side", "node")
     sketched = dealt(rows.join(nodes.select("node", "n_shingles", "sketch", "n_samples"), "node").select(*_BLOCK_ROW, "n_shingles", "sketch", "n_samples"))
     rows = common.stash(sketched.mapInArrow(_close_rows, _BLOCK_SCHEMA), "neardups-close")
-    sets = _sets(docs, rows.select(F.col("node").alias("_id")).distinct()).dropDuplicates(["_id"]).withColumnRenamed("_id", "node")
+    sets = _sets(docs, nodes.select("node", "doc_id").join(rows.select("node").distinct(), "node", "left_semi")).dropDuplicates(["node"])
     found = dealt(rows.join(sets, "node").select(*_BLOCK_ROW, "_set")).mapInArrow(_links, "a long, b long")
     return common.stash(found.distinct(), "neardups-more", small=True)
 
@@ -323,14 +331,15 @@ def link(docs: DataFrame) -> DataFrame:
 
     Words are runs of anything but space, tab, line feed, vertical tab, form feed and carriage return, A-Z folded. A
     document of fewer than five words is one shingle, all its words; a null, empty or blank text has no shingles and
-    links with nothing, so it is kept. Equal sets link, however many there are. Rows with one doc_id are one node;
-    a null doc_id takes the component of its equals, or null, and is not kept unless its text is empty. No rows give
-    no rows. Columns besides doc_id and text are not read. Shingles are compared by 64-bit hashes, whole texts."""
+    links with nothing, so it is kept. Equal sets link, however many there are. Rows with one doc_id link, whatever
+    their texts; a null doc_id takes the component of its equals, or null, and is not kept unless its text is empty. No
+    rows give no rows. Columns besides doc_id and text are not read. Shingles and sets are compared by 64-bit hashes,
+    whole texts."""
     common.bound_batches(docs.sparkSession)
     signed = common.stash(sign(docs), "neardups-signed")
-    classes = signed.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node"))
-    nodes = signed.join(classes.select(F.col("node").alias("doc_id"), "set_a", "set_b", "n_shingles"), ["doc_id", "set_a", "set_b", "n_shingles"], "left_semi")
-    nodes = common.stash(nodes.select(F.col("doc_id").alias("node"), "n_shingles", "bands", "sketch", "n_samples").dropDuplicates(["node"]), "neardups-nodes")
+    classes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    nodes = signed.join(classes, ["node", "doc_id"], "left_semi")  # a class of null ids alone is no node
+    nodes = common.stash(nodes.select("node", "doc_id", "n_shingles", "bands", "sketch", "n_samples").dropDuplicates(["node"]), "neardups-nodes")
     keyed = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("key", "_first")
     banded = common.stash(keyed.join(shared, "key"), "neardups-banded")
@@ -339,7 +348,8 @@ def link(docs: DataFrame) -> DataFrame:
     for side in ("a", "b"):
         star = star.join(nodes.select(F.col("node").alias(side), F.struct(*parts).alias(f"_{side}")), side)
     fits = _close(*({p: F.col(f"_{side}.{p}") for p in parts} for side in ("a", "b")))
-    links = confirm(common.stash(star.where(fits).select("a", "b"), "neardups-star"), docs)
+    links = confirm(common.stash(star.where(fits).select("a", "b"), "neardups-star"), nodes.select("node", "doc_id"), docs)
+    links = links.unionByName(_same_id(signed))
     labels = components(links)
     more = _across(banded.select("key", "node", "n_shingles"), labels, nodes, docs)
     if not more.isEmpty():
@@ -348,18 +358,34 @@ def link(docs: DataFrame) -> DataFrame:
         top = components(common.stash(merged, "neardups-merged", small=True)).select(F.col("node").alias("_c"), F.col("component").alias("_top"))
         everyone = labels.unionByName(top.select(F.col("_c").alias("node"), F.col("_c").alias("component")).join(labels.select("node"), "node", "left_anti"))
         labels = everyone.join(top, F.col("component") == F.col("_c"), "left").select("node", F.coalesce("_top", "component").alias("component"))
-    ends = classes.join(labels, "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("_component"))
-    out = signed.join(ends, ["set_a", "set_b", "n_shingles"], "left")
+    joined = labels.join(classes, "node").groupBy("component").agg(F.min("doc_id").alias("_component"))
+    ends = classes.join(labels, "node", "left").join(joined, "component", "left").select("node", F.coalesce("_component", "doc_id").alias("_component"))
+    out = signed.select("doc_id", "n_shingles", "node").join(ends, "node", "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("_component"))
     kept = F.when(F.col("n_shingles") == 0, True).otherwise(F.coalesce(F.col("doc_id") == component, F.lit(False)))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
 
 
+def _same_id(signed: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of each doc_id that has several."""
+    own = signed.where("node is not null and doc_id is not null").select("doc_id", "node")
+    several = own.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_most")).where("a < _most")
+    return own.join(several, "doc_id").where("node > a").select("a", F.col("node").alias("b")).distinct()
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose doc_id stands for its component, once each; rows without words
-    all stay if their doc_id is null, else once a doc_id. A null doc_id with words goes."""
+    """The rows of docs, with all their columns, whose doc_id stands for its component, once each (of several rows
+    with it, that with the smallest hash of its columns); rows without words all stay if their doc_id is null, else
+    once a doc_id. A null doc_id with words goes."""
     found = link(docs).where("kept")
-    named = found.where("doc_id is not null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    out = docs.join(named, docs["doc_id"].cast("long") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    named = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_n"))
+    named = common.stash(named, "neardups-kept", small=True)
+    of = lambda ids: docs.join(ids, docs["doc_id"].cast("long") == F.col("_kept_id"), "left_semi")
+    out = of(named.where("_n = 1"))
+    twice = named.where("_n > 1")
+    if not twice.isEmpty():
+        rows = of(twice).withColumn("_hash", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+        first = rows.groupBy("doc_id").agg(F.min("_hash").alias("_hash"))
+        out = out.unionByName(rows.join(first, ["doc_id", "_hash"], "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
     blank = docs.where(docs["doc_id"].isNull() & ~F.coalesce(docs["text"], F.lit("")).rlike(common.WORD_PATTERN))
     return out.unionByName(blank)

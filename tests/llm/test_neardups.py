@@ -16,7 +16,7 @@ def shingles(text):
 
 
 def brute(rows):
-    """Components by all pairs; rows with one doc_id are one node, null ids follow their equals."""
+    """Components by all pairs; rows with one doc_id link, null ids follow their equals."""
     sets = [(i, shingles(t)) for i, t in rows]
     root = {i: i for i, _ in sets if i is not None}
 
@@ -84,7 +84,8 @@ def test_blocks_of_a_band(spark, monkeypatch):
     banded = spark.createDataFrame([(7, k, 116) for k in range(40)], "key long, node long, n_shingles long")
     labels = spark.createDataFrame([(k, k % 7) for k in range(40)], "node long, component long")
 
-    nodes = N.sign(docs).withColumnRenamed("doc_id", "node")
+    nodes = N.sign(docs).drop("node").withColumn("node", N.F.col("doc_id"))
+    monkeypatch.setattr(N, "_sets", lambda docs, nodes, made=N._sets: made(docs, nodes).join(N.sign(docs).select("node", "doc_id"), "node").select(N.F.col("doc_id").alias("node"), "_set"))
 
     def joined(links):
         root = list(range(7))
@@ -99,6 +100,21 @@ def test_blocks_of_a_band(spark, monkeypatch):
         assert joined([tuple(r) for r in N._across(banded, labels, nodes, docs).collect()]) == want
 
 
+def test_one_id_with_several_texts_links_them(spark):
+    a = " ".join(f"a{k}" for k in range(60))
+    b = " ".join(f"b{k}" for k in range(60))
+    rows = [(5, a), (5, b), (6, a + " tail"), (7, b + " tail"), (8, "quite another text that is alone here"), (5, b), (9, "")]
+    found = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string")
+        got = sorted((tuple(r) for r in N.link(docs).collect()), key=str)
+        assert got == brute(rows)
+        assert {r[0]: r[2] for r in got} == {5: 5, 6: 5, 7: 5, 8: 8, 9: 9}
+        found.append([tuple(r) for r in N.keep_one(docs).orderBy("doc_id").collect()])
+        assert [r[0] for r in found[-1]] == [5, 8, 9]
+    assert found[0] == found[1]  # the same text of id 5 each time
+
+
 def test_odd_sketches_estimate_similarity():
     rng = np.random.default_rng(7)
     for n in (20, 150, 600, 5000):
