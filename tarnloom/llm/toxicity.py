@@ -18,13 +18,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
-TABLES, BUCKETS, PART = 5, 1 << 17, 6
+TABLES, BUCKETS, PART = 5, 1 << 18, 6
 #: Bytes of a short and a long stem, and of an ending.
 STEM, LONG_STEM, ENDING = 4, 7, 4
 WIDTHS, FILTERS = (1, 2, 3), 8
 #: The classifier is fitted on at most so many labelled rows: the toxic and the clean with the smallest hashes of their ids.
-MAX_TOXIC, MAX_CLEAN = 1500, 3000
+#: Their texts have at most LONGEST bytes, so that what the driver holds is bounded too.
+MAX_TOXIC, MAX_CLEAN, LONGEST = 1500, 3000, 1 << 16
 THRESHOLD = 0.7
+#: Texts that know nothing in the log odds that embeddings start with; steps of a fit, at least.
+PRIOR, LEAST_STEPS = 5.0, 1200
 #: Rows of zeros after each text; windows that begin behind the first of them are no windows.
 _GAP = max(WIDTHS)
 _SLICE = 1 << 20
@@ -93,8 +96,23 @@ def _batches(order: np.ndarray, texts: list[np.ndarray], batch: int, words: int
         at += n
 
 
+def log_odds(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """(TABLES, BUCKETS): how much likelier toxic texts hold a bucket than clean ones, in logs. PRIOR texts that know
+    nothing come first, and of the toxic ones with a bucket one does not count, so that no text's own words name it."""
+    share, out = labels.mean(), np.zeros((TABLES, BUCKETS), np.float32)
+    for t in range(TABLES):
+        counts = np.zeros((2, BUCKETS))  # texts with a bucket: clean, toxic
+        for text, label in zip(texts, labels, strict=True):
+            counts[int(label), np.unique(text[:, t])] += 1
+        clean, toxic = counts[0], np.maximum(counts[1] - 1, 0)
+        out[t] = np.log((toxic + PRIOR * share) / (clean + PRIOR * (1 - share)) * (1 - share) / share)
+    return out
+
+
 def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int = 8, batch: int = 12, rate: float = 0.02) -> Network:
-    """texts: bucket rows of each text without gaps. Adam for filters, AdaGrad for the embedding rows that occur."""
+    """texts: bucket rows of each text without gaps. Adam for filters, AdaGrad for the embedding rows that occur. An
+    embedding's first number starts as the log odds of its bucket. Few texts are gone over more often, LEAST_STEPS steps
+    in all."""
     net = Network()
     if not len(labels) or labels.min() == labels.max():
         net.constant = float(labels.mean()) if len(labels) else 0.0
@@ -102,6 +120,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int
     rng = np.random.default_rng(seed)
     dim = TABLES * PART
     net.tables = rng.standard_normal((TABLES, BUCKETS + 1, PART), np.float32) * np.float32(0.05)
+    net.tables[:, :-1, 0] = log_odds(texts, labels)
     net.tables[:, -1] = 0
     net.filters = [rng.normal(0, (w * dim) ** -0.5, (w, dim, FILTERS)).astype(np.float32) for w in WIDTHS]
     net.bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
@@ -110,7 +129,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int
     params = [*net.filters, *net.bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params] + [(np.zeros_like(net.out), np.zeros_like(net.out)), (np.zeros(1), np.zeros(1))]
     step, gap = 0, np.full((_GAP, TABLES), -1, np.int32)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS * batch // len(labels)))):
         order = rng.permutation(len(labels))
         for chosen in _batches(order, texts, batch):
             rows = np.concatenate([p for i in chosen for p in (texts[i], gap)])
@@ -156,13 +175,15 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """At most MAX_TOXIC toxic and MAX_CLEAN clean labelled documents whose crc32(doc_id) mod 3 is not 1."""
+    """At most MAX_TOXIC toxic and MAX_CLEAN clean labelled documents whose crc32(doc_id) mod 3 is not 1, of at most
+    LONGEST bytes; where ids repeat, rows beyond as many go by the hash of their texts."""
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).dropna()
     known = known.where(common.crc_mod("_id", 3) != 1).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     order = [F.crc32(F.concat(F.lit("fit:"), F.col("_id").cast("string"))), F.col("_id")]
     chosen = known.where("_toxic = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(known.where("_toxic = 0").orderBy(*order).limit(MAX_CLEAN))
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), common.null_as_empty("text").alias("text"), F.col("lang").cast("string").alias("_lang"))
-    return rows.join(F.broadcast(chosen), "_id")  # at most MAX_TOXIC + MAX_CLEAN rows of two numbers
+    rows = rows.where(F.octet_length("text") <= LONGEST).join(F.broadcast(chosen), "_id")  # at most MAX_TOXIC + MAX_CLEAN rows of two numbers
+    return rows.orderBy(*order, F.xxhash64("text"), "text", "_lang").limit(MAX_TOXIC + MAX_CLEAN)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network:

@@ -1,9 +1,12 @@
+import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tarnloom.llm import queries, toxicity
+from tarnloom.llm import common, queries, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -18,9 +21,40 @@ def test_held_out_accuracy(spark, scored):
     rows = scored.where("held_out").join(labels, "doc_id").collect()
     right = sum(r.predicted == r.toxic for r in rows) / len(rows)
     assert len(rows) > 500 and right > 0.98
+    toxic = [r for r in rows if r.toxic]
+    assert sum(r.predicted for r in toxic) >= 0.88 * len(toxic)  # of 144 these labels call toxic, 7 hold no word that only toxic texts hold
     assert all(zlib.crc32(str(r.doc_id).encode()) % 3 == 1 and 0 <= r.score <= 1 for r in rows)
 
 
+def test_small_sample_finds_most(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = queries.op5_toxicity(spark, "/root/testdata/sf0.01").where("held_out").join(labels, "doc_id").collect()
+    toxic = [r for r in rows if r.toxic]
+    assert sum(r.predicted for r in toxic) >= 0.8 * len(toxic)
+    assert sum(r.predicted for r in rows if not r.toxic) <= 0.02 * len(rows)
+
+
+def test_score_is_that_of_a_plain_version(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["vile", "kind", "Ünder", "x", "wordy", "longerword"], rng.integers(1, 30))) + "  1!" for _ in range(60)]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, int("vile" in t)) for k, t in enumerate(texts)], "doc_id long, toxic int")
+    net = toxicity.train(docs, labels)
+    got = {r._row.doc_id: r.score for r in toxicity.score(docs, net).collect()}
+    for k, text in enumerate(texts):
+        words = re.findall(r"[A-Za-z\x80-\U0010ffff]+", text)
+        x = []
+        for w in words:
+            rows, _ = toxicity.buckets_of(common.Words(*common.text_buffers(pa.array([w])), within=common.LETTERS))
+            x.append(np.concatenate([net.tables[t][rows[0, t]] for t in range(toxicity.TABLES)]).astype(float))
+        best = []
+        for f, b in zip(net.filters, net.bias, strict=True):
+            x_ = [*x, *[np.zeros(f.shape[1])] * (len(f) - 1)]  # a window may reach behind the last word
+            best.append(np.max([sum(x_[i + j] @ f[j] for j in range(len(f))) for i in range(len(x) + toxicity._GAP - (toxicity._GAP - 1) - 1 + 1) if i + len(f) <= len(x_)], axis=0) + b)
+        z = np.maximum(np.concatenate(best), 0) @ net.out + net.out_bias
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     texts = [(k, f"plain words number {k} " + ("vile" if k % 2 else "kind")) for k in range(60)]
     docs = spark.createDataFrame([(i, t, "en") for i, t in texts], "doc_id long, text string, lang string")
