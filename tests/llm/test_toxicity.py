@@ -49,8 +49,8 @@ def test_score_is_that_of_a_plain_version(spark):
             x.append(np.concatenate([net.tables[t][rows[0, t]] for t in range(toxicity.TABLES)]).astype(float))
         best = []
         for f, b in zip(net.filters, net.bias, strict=True):
-            x_ = [*x, *[np.zeros(f.shape[1])] * (len(f) - 1)]  # a window may reach behind the last word
-            best.append(np.max([sum(x_[i + j] @ f[j] for j in range(len(f))) for i in range(len(x) + toxicity._GAP - (toxicity._GAP - 1) - 1 + 1) if i + len(f) <= len(x_)], axis=0) + b)
+            padded = [*x, *[np.zeros(f.shape[1])] * toxicity._GAP]  # windows begin at each word and behind the last
+            best.append(np.max([sum(padded[i + j] @ f[j] for j in range(len(f))) for i in range(len(x) + 1)], axis=0) + b)
         z = np.maximum(np.concatenate(best), 0) @ net.out + net.out_bias
         assert got[k] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
 
