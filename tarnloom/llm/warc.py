@@ -27,9 +27,8 @@ _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of SHA-1: eight groups of five hex digits, four letters each."""
-    digest = F.sha1(payload)
+def base32(digest: Column) -> Column:
+    """Upper-case base32 of a SHA-1 in hex: eight groups of five hex digits, four letters each."""
     letters = F.lit(_BASE32)
     parts = []
     for k in range(8):
@@ -46,14 +45,13 @@ def with_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
     Only payloads that occur more than once are looked up; what they refer to is written first, so that Spark knows
     its size when it chooses how to join."""
     rows = pages.select(F.col("page_id").cast("long").alias("_id"), F.col("url").cast("string").alias("url"), common.null_as_empty("html").alias("html"))
-    keyed = rows.withColumn("digest", base32_sha1(F.col("html")))
-    light = keyed.where(F.octet_length("html") >= least).select("_id", "digest")
-    most = light.groupBy("digest").agg(F.max("_id").alias("_largest"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    revisits = light.join(most, "digest").where(F.col("_id").isNull() | (F.col("_id") < F.col("_largest")))
-    revisits = revisits.where(F.col("_largest").isNotNull()).distinct()
-    revisits = common.stash(revisits.select(F.col("_id").alias("_of"), F.col("digest").alias("_same"), F.col("_largest").alias("refers_to")), "warc-revisits")
-    fits = F.col("_id").eqNullSafe(F.col("_of")) & (F.col("digest") == F.col("_same"))
-    return keyed.join(revisits, fits, "left").drop("_of", "_same")
+    keyed = rows.withColumn("_sha", F.sha1("html"))
+    light = keyed.where(F.octet_length("html") >= least).select("_id", "_sha")
+    most = light.groupBy("_sha").agg(F.max("_id").alias("_largest"), F.count("*").alias("_n")).where("_n > 1 and _largest is not null").drop("_n")
+    revisits = light.join(most, "_sha").where(F.col("_id").isNull() | (F.col("_id") < F.col("_largest"))).distinct()
+    revisits = common.stash(revisits.select(F.col("_id").alias("_of"), F.col("_sha").alias("_same"), F.col("_largest").alias("refers_to")), "warc-revisits")
+    found = keyed.join(revisits, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_sha") == F.col("_same")), "left")
+    return found.select("_id", "url", "html", base32(F.col("_sha")).alias("digest"), "refers_to")
 
 
 def _header(*lines: Column | str) -> Column:
