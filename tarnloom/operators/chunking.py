@@ -127,7 +127,8 @@ def chunk_python(content: str, max_lines: int = MAX_LINES, max_chars: int = MAX_
     """Chunks of Python source along its definitions; raises SyntaxError (or ValueError) where it is none.
 
     A file of few lines is one chunk. A definition within both limits is a chunk with its name, kind, enclosing
-    classes, docstring and the file's first imports; a larger one is cut into windows that keep the enclosing names.
+    classes, docstring and the file's first imports; a larger one is cut into windows that keep the enclosing names, but
+    a decorated one is a chunk from behind its decorators to its end, however large.
     What lies between definitions becomes chunks of its own if it says anything."""
     lines = content.splitlines()
     if len(lines) <= SMALL_FILE:
@@ -145,6 +146,10 @@ def chunk_python(content: str, max_lines: int = MAX_LINES, max_chars: int = MAX_
         covered[a:b] = True
         part = "\n".join(lines[a:b])
         if b - a > max_lines or len(part) > max_chars:
+            if node.decorator_list and b - node.lineno + 1 >= MIN_LINES:  # what is decorated stays whole
+                whole = "\n".join(lines[node.lineno - 1 : b])
+                out.append(Piece(node.lineno, b, whole, node.name, "class" if isinstance(node, ast.ClassDef) else "function", parents, _docstring(node, lines), imports))
+                continue
             inner = [*parents, node.name] if isinstance(node, ast.ClassDef) else parents
             out += [Piece(a + 1 + s, a + e, "\n".join(lines[a + s : a + e]), parents=inner, imports=imports) for s, e in Lines(lines[a:b]).windows(max_lines, max_chars)]
             continue

@@ -89,7 +89,24 @@ def embed(rows: DataFrame, embedder: Embedder, column: str = "content", task: st
     return asked.mapInArrow(run, f"{fields}, embedding array<float>, embed_error string")
 
 
-def embed_query(embedder: Embedder, query: str, model: str = "nomic-embed-text") -> list[float] | None:
-    """The vector of one query, or None if the model fails."""
+class EmbeddingError(RuntimeError):
+    """A model failed on texts that had to be embedded."""
+
+
+def embed_documents(embedder: Embedder, texts: list[str], model: str = "nomic-embed-text", raise_on_error: bool = True) -> list[list[float] | None]:
+    """The vectors of a few texts, each behind the model's prefix; where the model fails an EmbeddingError, or, without
+    raise_on_error, None."""
+    prefix = text.TASK_PREFIXES.get(model, {}).get("search_document", "")
+    found = embed_all(embedder, [prefix + t[: text.MAX_EMBED_CHARS] for t in texts])
+    if raise_on_error and (failed := [(k, e) for k, (v, e) in enumerate(found) if v is None]):
+        raise EmbeddingError(f"{len(failed)} of {len(texts)} texts failed, the first at {failed[0][0]}: {failed[0][1]}")
+    return [v for v, _ in found]
+
+
+def embed_query(embedder: Embedder, query: str, model: str = "nomic-embed-text", raise_on_error: bool = False) -> list[float] | None:
+    """The vector of one query; if the model fails None, or, with raise_on_error, an EmbeddingError."""
     prefix = text.TASK_PREFIXES.get(model, {}).get("search_query", "")
-    return embed_all(embedder, [prefix + query[: text.MAX_EMBED_CHARS]])[0][0]
+    vector, error = embed_all(embedder, [prefix + query[: text.MAX_EMBED_CHARS]])[0]
+    if vector is None and raise_on_error:
+        raise EmbeddingError(error)
+    return vector

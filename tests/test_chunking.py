@@ -134,3 +134,10 @@ def test_small_files_are_one_chunk():
 def test_null_content(spark):
     (r,) = C.chunk_files(spark.createDataFrame([("a.go", None)], "path string, content string")).collect()
     assert (r.start_line, r.end_line, r.content, r.language, r.content_hash) == (1, 0, "", "go", None)
+
+
+def test_a_large_decorated_definition_is_one_named_chunk():
+    source = "import x\n\n@first\n@second(1)\ndef big(a):\n" + "".join(f"    y{k} = {k}\n" for k in range(200)) + "\nz = 1\n"
+    got = C.chunk_python(source)
+    assert [(p.start, p.end, p.name, p.kind) for p in got if p.name] == [(5, 205, "big", "function")]
+    assert not any(p.name is None and p.end - p.start > 10 for p in got)

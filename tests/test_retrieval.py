@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnloom import queries as queries_
-from tarnloom.operators import context, fulltext, ranking, rendering, vectors
+from tarnloom.operators import context, embedding, fulltext, ranking, rendering, vectors
 from tarnloom.plans import retrieval
 
 
@@ -18,7 +18,7 @@ def test_nearest_against_numpy(spark):
     asked = [(q, rng.normal(size=8)) for q in range(7)] + [(7, x[3])]
     queries = spark.createDataFrame([(q, v.tolist()) for q, v in asked], "query_id int, vector array<double>")
     got = {}
-    for r in vectors.nearest_of_each(points, queries, 5, block=3).collect():
+    for r in vectors.nearest_of_each(points, queries, 5, held=3 * 64).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
     for q, v in asked:
         s = np.round((x @ v) / np.where((n := np.linalg.norm(x, axis=1)) > 0, n, 1) / np.linalg.norm(v), 12)
@@ -156,3 +156,39 @@ def test_hybrid_query_finds_documents_without_a_vector(spark, tmp_path):
     found = queries_.QUERIES["hybrid_retrieve"](spark, str(tmp_path)).collect()
     assert {r.query_id for r in found} == {0}
     assert "web/9.txt" in {r.file_path for r in found}
+
+
+def test_natural_end_against_a_walk():
+    """The rules a line at a time."""
+
+    def walk(lines, last):
+        for k in range(last + 1, len(lines)):
+            if all("".join(lines[: k + 1]).count(a) <= "".join(lines[: k + 1]).count(b) for a, b in context.PAIRS):
+                return k
+            indent = lambda x: len(x) - len(x.lstrip())
+            if k > last + 2 and lines[k].strip() and not lines[k].lstrip().startswith("#") and indent(lines[k]) <= (indent(lines[0]) if lines[0].strip() else 0):
+                return k - 1
+        return None
+
+    rng = np.random.default_rng(8)
+    for _ in range(500):
+        lines = [" " * rng.integers(0, 4) + "".join(rng.choice(list("ab(){}[]# "), rng.integers(0, 5))) for _ in range(rng.integers(1, 14))]
+        last = int(rng.integers(0, len(lines)))
+        assert context.natural_end(lines, last) == walk(lines, last)
+
+
+def test_documents_that_fail_raise():
+    class Failing:
+        dimension = 2
+
+        def embed(self, texts):
+            if any("bad" in t for t in texts):
+                raise ValueError("no")
+            return np.ones((len(texts), 2))
+
+    with pytest.raises(embedding.EmbeddingError, match="1 of 2"):
+        embedding.embed_documents(Failing(), ["good", "bad"])
+    assert embedding.embed_documents(Failing(), ["good", "bad"], raise_on_error=False) == [[1, 1], None]
+    assert embedding.embed_query(Failing(), "bad") is None
+    with pytest.raises(embedding.EmbeddingError):
+        embedding.embed_query(Failing(), "bad", raise_on_error=True)
