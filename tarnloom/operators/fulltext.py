@@ -1,6 +1,6 @@
 """Full-text search: an inverted index over seven columns and BM25.
 
-The index is two tables: tokens, a row for each token (or postings, a row for each term, document and column with its
+The index is two tables: tokens, a row for each token (or stored postings, a row for each term, document and column with its
 positions), and lengths, a row for each document with its number of tokens. Searches join the terms of a batch of
 queries with them; nothing else of the documents is touched before the best ones are known.
 """
@@ -17,6 +17,10 @@ K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 #: Terms of a batch of queries that are broadcast; more are joined by a shuffle.
 MOST_TERMS = 100_000
+#: Terms that a scan of stored postings is asked for; beyond, their buckets alone.
+PUSHED_TERMS = 200
+#: Folders of stored postings, by the term's hash.
+BUCKETS = 32
 #: Indexed columns; those that are True are cut into code tokens first.
 COLUMNS = {"doc_id": False, "file_path": False, "content": True, "symbol_name": True, "symbol_type": False, "parent_context": True, "language": False}
 
@@ -25,9 +29,10 @@ COLUMNS = {"doc_id": False, "file_path": False, "content": True, "symbol_name":
 class Index:
     """tokens (term, doc_id, collection, dl, col, pos) and lengths (doc_id, collection, dl); stemmed says how terms were
     made. Tokens carry their document's length, so that a search joins no other table. postings has a row for each
-    term, document and column, with its positions: the form to store or cache, which searches then read instead."""
+    term, document and column, with its positions; an index of sources.postings has them stored, by bucket of terms,
+    and no tokens."""
 
-    tokens: DataFrame
+    tokens: DataFrame | None
     lengths: DataFrame
     stemmed: bool
     stored: DataFrame | None = None
@@ -38,13 +43,25 @@ class Index:
             return self.stored
         return self.tokens.groupBy("term", "doc_id", "collection", "dl", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
-    def matches(self, terms: DataFrame) -> DataFrame:
-        """terms (with a column term) joined with the places of their term."""
+    def matches(self, terms: DataFrame, known: list[str] | None = None) -> DataFrame:
+        """terms (with a column term) joined with the places of their term; of stored postings only the buckets of the
+        terms are read, if these are known."""
         if self.stored is not None:
-            return terms.join(self.stored, "term").withColumn("pos", F.explode("positions")).drop("positions")
+            stored = self.stored
+            if known is not None:
+                known = sorted(set(known))
+                own = terms.sparkSession.createDataFrame([(t,) for t in known], "term string").select(bucket(F.col("term")).alias("b")).distinct()
+                stored = stored.where(F.col("bucket").isin([r["b"] for r in own.collect()]))  # BUCKETS numbers at most
+                stored = stored.where(F.col("term").isin(known)) if len(known) <= PUSHED_TERMS else stored
+            return terms.join(stored, "term").withColumn("pos", F.explode("positions")).drop("positions")
         return terms.join(self.tokens, "term")
 
 
+def bucket(term: Column) -> Column:
+    """Which of the BUCKETS parts of stored postings holds a term."""
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
 def _tokens(column: str, as_code: bool) -> Column:
     return text.code_terms(F.col(column)) if as_code else text.plain_tokens(F.col(column))
 
@@ -88,13 +105,16 @@ def scores(index: Index, queries: DataFrame, match: str = "all", collections: bo
     if match not in ("all", "any"):
         raise ValueError(f"match is all or any, not {match}")
     asked = phrases(queries, index.stemmed)
-    if asked.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
-        asked = F.broadcast(asked)  # then tokens that no query asks for leave before any shuffle
-    hits = index.matches(asked).select("query_id", "n_phrases", "phrase", "n_terms", "i", "doc_id", "collection", "dl", "col", "pos")
+    rows = asked.limit(MOST_TERMS + 1).collect()
+    few = len(rows) <= MOST_TERMS
+    if few:  # then tokens that no query asks for leave before any shuffle, and the queries are made once
+        asked = F.broadcast(queries.sparkSession.createDataFrame(rows, asked.schema))
+    hits = index.matches(asked, [r["term"] for r in rows] if few else None).select("query_id", "n_phrases", "phrase", "n_terms", "i", "doc_id", "collection", "dl", "col", "pos")
     whole = ["query_id", "n_phrases", "phrase", "n_terms", "doc_id", "collection", "dl"]
     places = hits.groupBy(*whole, "col", (F.col("pos") - F.col("i")).alias("_at")).agg(F.count("*").alias("_n")).where("_n = n_terms")
     tf = places.groupBy(*whole).agg(F.count("*").alias("tf"))
     df = tf.groupBy("query_id", "phrase").agg(F.count("*").alias("df"))
+    df = F.broadcast(df) if few else df  # a row for each phrase; a join by it would gather a frequent one in one task
     tf = tf.join(df, ["query_id", "phrase"]).crossJoin(F.broadcast(statistics(index)))  # one row
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tarnloom import schema
 from tarnloom.operators import chunking, embedding, fulltext, rendering, upkeep
 from tarnloom.plans import retrieval
-from tarnloom.sources import files as sources, store
+from tarnloom.sources import files as sources, postings, store, work
 
 
 class Engine:
@@ -19,25 +19,37 @@ class Engine:
         self.embedder = embedder or embedding.HashEmbedder()
         self.model, self.cap, self.stem = model, cap, stem
         self.store = store.ChunkStore(spark, f"{self.path}/chunks", self.embedder.dimension)
-        self._indexes: dict[str, fulltext.Index] = {}
+        self.postings = postings.PostingStore(spark, f"{self.path}/postings", stem)
 
     # ------------------------------------------------------------ indexing
 
     def index(self, files: DataFrame | None = None, collection: str = schema.DEFAULT_COLLECTION, deleted: list[str] | None = None, replace_files: bool = False) -> dict:
         """Deletes, then chunks, embeds and stores files (path, content, content_hash); texts that no model takes are
-        counted as failed and not stored. The full-text index is made anew when it is next needed."""
+        counted as failed and not stored. The full-text index follows, chunk by chunk."""
         if files is None and not deleted:
             raise ValueError("neither files nor deletions")
-        self._indexes.clear()
-        out = {"deleted": self.store.delete(deleted, collection) if deleted else 0, "indexed": 0, "failed": 0}
+        out = {"deleted": 0, "indexed": 0, "failed": 0}
+        if deleted:
+            gone = self.spark.createDataFrame([(p,) for p in deleted], "file_path string")
+            self.postings.delete(fulltext.documents(self.store.read(collection).join(gone.distinct(), "file_path", "left_semi")))
+            out["deleted"] = self.store.delete(deleted, collection)
         if files is not None:
             rows = files.where((F.col("path") != "") & ~sources.is_blank(F.col("content")))
             chunks = embedding.embed(chunking.chunk_files(rows), self.embedder, model=self.model)
-            kept = f"{self.path}/work"
-            chunks.write.mode("overwrite").parquet(kept)  # embedded once, read for both outcomes
+            kept = work.work_path(self.spark, "engine-chunks")
+            chunks.write.parquet(kept)  # embedded once, read for both outcomes
             chunks = self.spark.read.schema(chunks.schema).parquet(kept)
+            good = chunks.where("embedding is not null")
             out["failed"] = chunks.where("embedding is null").count()
-            out["indexed"] = self.store.upsert(chunks.where("embedding is not null"), collection, replace_files)
+            lacking = self.postings.is_empty()  # then full_text builds it from the store
+            if replace_files and not lacking:
+                named = upkeep.with_ids(good)
+                self.postings.delete(fulltext.documents(self.store.stale(named, named, collection)))
+            out["indexed"] = self.store.upsert(good, collection, replace_files)
+            if not lacking:
+                self.postings.replace(fulltext.documents(good.withColumn("collection", F.lit(collection))))
+            target, fs = work.folder(self.spark, kept)
+            fs.delete(target, True)
         return out
 
     def index_directory(self, root: str, collection: str = schema.DEFAULT_COLLECTION) -> dict:
@@ -60,16 +72,21 @@ class Engine:
     def _documents(self, collection: str) -> DataFrame:
         return fulltext.documents(self.store.read(collection))
 
-    def full_text(self, collection: str) -> fulltext.Index:
-        if collection not in self._indexes:
-            made = fulltext.build(self._documents(collection), self.stem)
-            self._indexes[collection] = fulltext.Index(made.tokens, made.lengths.cache(), made.stemmed, made.postings.cache())
-        return self._indexes[collection]
+    def full_text(self) -> fulltext.Index:
+        """The index of all collections, built from the store where there is none."""
+        if self.postings.is_empty():
+            self.rebuild()
+        return self.postings.index()
+
+    def rebuild(self) -> None:
+        """The full-text index anew from the store."""
+        self.postings.clear()
+        self.postings.replace(fulltext.documents(self.store.read()))
 
     def retrieve(self, query: str, limit: int = 20, collection: str = schema.DEFAULT_COLLECTION, files: DataFrame | None = None, **options) -> DataFrame:
         vector = embedding.embed_query(self.embedder, query, self.model)
         asked = self.spark.createDataFrame([(0, query, vector)], "query_id int, query string, vector array<double>")
-        return retrieval.retrieve(self._documents(collection), asked, self.full_text(collection), files, limit, **options)
+        return retrieval.retrieve(self._documents(collection), asked, self.full_text(), files, limit, collection=collection, **options)
 
     def query(self, query: str, limit: int = 20, collection: str = schema.DEFAULT_COLLECTION, **options) -> dict:
         """The formatted results and how many there are, those beyond the byte limit included."""
@@ -102,7 +119,7 @@ class Engine:
         return upkeep.statistics(self.store.read(collection)).first().asDict()
 
     def clean(self, collection: str | None = None) -> None:
-        self._indexes.clear()
+        self.postings.clear(collection)
         self.store.clear(collection)
 
 

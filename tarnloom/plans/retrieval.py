@@ -31,21 +31,24 @@ def retrieve(
     path_pattern: str | None = None,
     per_file: int = ranking.PER_FILE,
     prefilter: bool = False,
+    collection: str | None = None,
 ) -> DataFrame:
     """The best `limit` chunks of each query (query_id, query, vector) from documents with embedding, by rank.
 
-    Both searches fetch OVERFETCH times the limit. Vector hits are filtered after that cut (before it with
+    Chunks of two collections are two chunks, whatever their paths; with collection, docs hold that one alone and the
+    text search keeps to it, though the index, and so its statistics, may span all. Both searches fetch OVERFETCH times the limit. Vector hits are filtered after that cut (before it with
     prefilter), text hits before it. A query without vector hits left has no results; without hybrid the vector order
     stands and cut-off chunks stay as they are."""
     fetch = OVERFETCH * limit
+    docs = docs.withColumn("_key", F.concat_ws(":", "doc_id", "collection"))
     points = post_filter(docs, language, symbol_type, path_pattern) if prefilter else docs
-    near = vectors.nearest_of_each(points, queries, fetch, key="doc_id").join(docs, "doc_id")
+    near = vectors.nearest_of_each(points, queries, fetch, key="_key").join(docs, "_key")
     near = post_filter(near, language, symbol_type, path_pattern)
     if not hybrid or index is None:
-        return ranking.diversify(near, limit, per_file)
+        return ranking.diversify(near, limit, per_file, key="_key").drop("_key")
     asked = queries.withColumn("query", expansion.expand(F.col("query"))) if expand else queries
-    found = fulltext.search(index, docs, asked, fetch, match, None, language, symbol_type, path_pattern)
+    found = fulltext.search(index, docs, asked, fetch, match, collection, language, symbol_type, path_pattern)
     found = found.join(near.select("query_id").distinct(), "query_id", "left_semi")
-    fused = ranking.fuse(near, found).join(docs, "doc_key")
-    best = ranking.diversify(fused, limit, per_file)
+    fused = ranking.fuse(near, found, key="_key").join(docs, "_key")
+    best = ranking.diversify(fused, limit, per_file, key="_key").drop("_key")
     return context.expand(best, files) if files is not None else best.withColumn("expanded", F.lit(False))

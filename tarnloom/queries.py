@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tarnloom.functions import text
 from tarnloom.operators import chunking, context, embedding, expansion, fulltext, ranking, rendering, upkeep, vectors
 from tarnloom.plans import retrieval
-from tarnloom.sources import files as sources
+from tarnloom.sources import files as sources, postings, work
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -307,9 +307,22 @@ _SCORES_SQL = f"""
                FROM tf JOIN df USING (query_id, phrase) JOIN lengths USING (doc_id), stats GROUP BY ALL)"""
 
 
+_indexes: dict[tuple, str] = {}
+
+
 def _index(spark: SparkSession, sf_dir: str, stem: bool = False) -> tuple[DataFrame, fulltext.Index]:
+    """All documents and their stored index, which the first query of a session builds; a table whose files have
+    changed gets another."""
     docs = fulltext.documents(_chunks(spark, sf_dir))
-    return docs, fulltext.build(docs, stem)
+    target, fs = work.folder(spark, f"{sf_dir}/documents.parquet")
+    status = fs.getFileStatus(target)
+    files = [(s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in (fs.listStatus(target) if status.isDirectory() else [status])]
+    key = spark.sparkContext.applicationId, sf_dir, stem, tuple(sorted(files))
+    if key not in _indexes:
+        path = work.work_path(spark, "postings")
+        postings.PostingStore(spark, path, stem).replace(docs)
+        _indexes[key] = path
+    return docs, postings.PostingStore(spark, _indexes[key], stem).index()
 
 
 def _asked(spark: SparkSession) -> DataFrame:
@@ -335,8 +348,8 @@ def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_INDEX_SQL} SELECT term, count(DISTINCT doc_id) AS n_docs, count(*) AS n FROM each GROUP BY term")
 def postings_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    postings = _index(spark, sf_dir)[1].postings
-    per_doc = postings.groupBy("term", "doc_id").agg(F.sum(F.size("positions")).alias("n"))
+    stored = _index(spark, sf_dir)[1].postings
+    per_doc = stored.groupBy("term", "doc_id").agg(F.sum(F.size("positions")).alias("n"))
     return per_doc.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n"))
 
 
@@ -420,7 +433,8 @@ def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composed of queries with SQL twins; held against a plain Python version in the tests."""
     docs = _with_vectors(spark, sf_dir)
     vectors_ = docs.where("row_id % 100 = 0 and embedding is not null").select(F.col("row_id").alias("query_id"), F.concat_ws(" ", F.slice(F.split("content", r"\s+"), 3, 2)).alias("query"), F.col("embedding").alias("vector"))
-    found = retrieval.retrieve(docs, vectors_, fulltext.build(docs), limit=10)
+    vectors_ = spark.createDataFrame(vectors_.collect(), vectors_.schema)  # one in a hundred vectors
+    found = retrieval.retrieve(docs, vectors_, _index(spark, sf_dir, stem=True)[1], limit=10)
     return found.select("query_id", "rank", "doc_key", "file_path", F.round("score", 9).alias("score"))
 
 
