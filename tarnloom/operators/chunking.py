@@ -7,7 +7,6 @@ window ends depends on where the one before it ended, so a file is one loop; fil
 
 from __future__ import annotations
 
-import ast
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tarnloom import schema
 from tarnloom.functions import text
+from tarnloom.operators.definitions import READERS, Definition
 
 MAX_LINES, MAX_CHARS, MIN_LINES, OVERLAP = 150, 6000, 3, 5
 SMALL_FILE = 30
@@ -93,29 +93,14 @@ def chunk_lines(content: str, max_lines: int = MAX_LINES, max_chars: int = MAX_C
 # ---------------------------------------------------------------- syntax-aware chunks
 
 
-def _symbols(body: list[ast.stmt], parents: list[str], lines: list[str]) -> Iterator[tuple[ast.stmt, list[str]]]:
+def _symbols(found: list[Definition], parents: list[str], lines: list[str]) -> Iterator[tuple[Definition, list[str]]]:
     """Definitions of three lines or more, outermost first; those within the limits (here in bytes) are not looked into."""
-    for node in body:
-        if isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
-            first = min([node.lineno, *(d.lineno for d in node.decorator_list)])
-            if node.end_lineno - first + 1 >= MIN_LINES:
-                yield node, parents
-                if node.end_lineno - first + 1 <= MAX_LINES and len("\n".join(lines[first - 1 : node.end_lineno]).encode()) <= MAX_CHARS:
-                    continue
-            inner = [*parents, node.name] if isinstance(node, ast.ClassDef) else parents
-            yield from _symbols(node.body, inner, lines)
-        else:
-            for part in ("body", "orelse", "finalbody", "handlers"):
-                yield from _symbols([x for x in getattr(node, part, []) if isinstance(x, (ast.stmt, ast.excepthandler))], parents, lines)
-
-
-def _docstring(node: ast.stmt, lines: list[str]) -> str | None:
-    first = node.body[0]
-    if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str):
-        a, b = first.value, first.value.end_lineno
-        raw = "\n".join(lines[a.lineno - 1 : b]).strip()
-        return raw[:MAX_DOCSTRING]
-    return None
+    for d in found:
+        if d.last - d.first + 1 >= MIN_LINES:
+            yield d, parents
+            if d.last - d.first + 1 <= MAX_LINES and len("\n".join(lines[d.first - 1 : d.last]).encode()) <= MAX_CHARS:
+                continue
+        yield from _symbols(d.inner, [*parents, d.name] if d.encloses else parents, lines)
 
 
 def is_meaningful(lines: list[str]) -> bool:
@@ -123,8 +108,8 @@ def is_meaningful(lines: list[str]) -> bool:
     return sum(bool(s) and not s.startswith("#") for s in map(str.strip, lines)) >= 2
 
 
-def chunk_python(content: str, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS) -> list[Piece]:
-    """Chunks of Python source along its definitions; raises SyntaxError (or ValueError) where it is none.
+def chunk_source(content: str, language: str, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS) -> list[Piece]:
+    """Chunks of source code along its definitions; raises SyntaxError (or ValueError) where it does not parse.
 
     A file of few lines is one chunk. A definition within both limits is a chunk with its name, kind, enclosing
     classes, docstring and the file's first imports; a larger one is cut into windows that keep the enclosing names, but
@@ -133,28 +118,24 @@ def chunk_python(content: str, max_lines: int = MAX_LINES, max_chars: int = MAX_
     lines = content.splitlines()
     if len(lines) <= SMALL_FILE:
         return [Piece(1, len(lines), content)]
-    tree = ast.parse(content)
-    found = [("\n".join(lines[n.lineno - 1 : n.end_lineno])) for n in tree.body if isinstance(n, (ast.Import, ast.ImportFrom))]
+    definitions, found = READERS[language](content, lines)
     imports = "\n".join(found[:MAX_IMPORTS]) or None
     covered = np.zeros(len(lines) + 1, bool)
     covered[-1] = True
     out = []
-    for node, parents in _symbols(tree.body, [], lines):
-        a, b = min([node.lineno, *(d.lineno for d in node.decorator_list)]) - 1, node.end_lineno
+    for d, parents in _symbols(definitions, [], lines):
+        a, b = d.first - 1, d.last
         if covered[a:b].all():
             continue
         covered[a:b] = True
-        part = "\n".join(lines[a:b])
-        if b - a > max_lines or len(part) > max_chars:
-            if node.decorator_list and b - node.lineno + 1 >= MIN_LINES:  # what is decorated stays whole
-                whole = "\n".join(lines[node.lineno - 1 : b])
-                out.append(Piece(node.lineno, b, whole, node.name, "class" if isinstance(node, ast.ClassDef) else "function", parents, _docstring(node, lines), imports))
-                continue
-            inner = [*parents, node.name] if isinstance(node, ast.ClassDef) else parents
+        part, doc = "\n".join(lines[a:b]), d.docstring[:MAX_DOCSTRING] if d.docstring else None
+        if b - a <= max_lines and len(part) <= max_chars:
+            out.append(Piece(a + 1, b, part, d.name, d.kind, parents, doc, imports))
+        elif d.main and b - d.main + 1 >= MIN_LINES:  # what is decorated stays whole
+            out.append(Piece(d.main, b, "\n".join(lines[d.main - 1 : b]), d.name, d.main_kind, parents, doc, imports))
+        else:
+            inner = [*parents, d.name] if d.encloses else parents
             out += [Piece(a + 1 + s, a + e, "\n".join(lines[a + s : a + e]), parents=inner, imports=imports) for s, e in Lines(lines[a:b]).windows(max_lines, max_chars)]
-            continue
-        kind = "decorated" if node.decorator_list else "class" if isinstance(node, ast.ClassDef) else "function"
-        out.append(Piece(a + 1, b, part, node.name, kind, parents, _docstring(node, lines), imports))
     edges = np.flatnonzero(np.diff(np.concatenate([[True], covered]).astype(int)))
     for a, b in zip(edges[::2], edges[1::2], strict=True):
         if is_meaningful(lines[a:b]):
@@ -164,9 +145,9 @@ def chunk_python(content: str, max_lines: int = MAX_LINES, max_chars: int = MAX_
 
 def chunk_file(path: str, content: str, language: str, syntax: bool = True, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS) -> list[Piece]:
     """By syntax where it is known and asked for, else (and for source that does not parse) by lines."""
-    if syntax and language == "python":
+    if syntax and language in READERS:
         try:
-            return chunk_python(content, max_lines, max_chars)
+            return chunk_source(content, language, max_lines, max_chars)
         except (SyntaxError, ValueError, RecursionError):
             pass
     return chunk_lines(content, max_lines, max_chars)

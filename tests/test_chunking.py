@@ -107,7 +107,7 @@ async def later():
 
 
 def test_python_source():
-    got = C.chunk_python(SOURCE)
+    got = C.chunk_source(SOURCE, "python")
     named = {p.name: p for p in got if p.name}
     assert set(named) == {"Outer", "free", "later"}
     assert (named["Outer"].kind, named["free"].kind, named["later"].kind) == ("class", "decorated", "function")
@@ -118,7 +118,7 @@ def test_python_source():
 
 def test_large_definitions_are_cut_and_keep_their_class():
     body = "\n".join(f"    def m{k}(self):\n        a = {k}\n        return a\n" for k in range(60))
-    got = C.chunk_python("class Big:\n" + body)
+    got = C.chunk_source("class Big:\n" + body, "python")
     assert len(got) > 1 and all(p.parents == ["Big"] and p.end - p.start < C.MAX_LINES for p in got)
 
 
@@ -128,7 +128,7 @@ def test_source_that_does_not_parse_is_cut_by_lines(content):
 
 
 def test_small_files_are_one_chunk():
-    assert ranges(C.chunk_python("x" * 9000)) == [(1, 1)] and ranges(C.chunk_python("")) == [(1, 0)]
+    assert ranges(C.chunk_source("x" * 9000, "python")) == [(1, 1)] and ranges(C.chunk_source("", "python")) == [(1, 0)]
 
 
 def test_null_content(spark):
@@ -138,6 +138,94 @@ def test_null_content(spark):
 
 def test_a_large_decorated_definition_is_one_named_chunk():
     source = "import x\n\n@first\n@second(1)\ndef big(a):\n" + "".join(f"    y{k} = {k}\n" for k in range(200)) + "\nz = 1\n"
-    got = C.chunk_python(source)
+    got = C.chunk_source(source, "python")
     assert [(p.start, p.end, p.name, p.kind) for p in got if p.name] == [(5, 205, "big", "function")]
     assert not any(p.name is None and p.end - p.start > 10 for p in got)
+
+
+JAVASCRIPT = '''import { a } from "a";
+const fs = require("fs");
+
+/* class Not { } */
+export class UserView extends View {
+  constructor(x) {
+    this.x = "}" + x;
+  }
+  async getUser(id) {
+    if (id) {
+      return users[id];
+    }
+  }
+}
+
+function plain(a, b) {
+  // }
+  return `${a} }`;
+}
+
+export const arrow = async (x) => {
+  const y = { z: 1 };
+  return y;
+};
+
+app.get("/", (req, res) => {
+  res.send("}");
+  res.end();
+});
+'''
+GO = '''package main
+
+import "fmt"
+
+type Conn struct {
+	dsn string
+	n   int
+}
+
+type Reader interface {
+	Read() error
+	Close() error
+}
+
+func (c *Conn) Open(dsn string) error {
+	c.dsn = dsn
+	return nil
+}
+
+func main() {
+	for i := 0; i < 3; i++ {
+		fmt.Println("{", '{')
+	}
+}
+'''
+RUST = "use std::fmt;\n\npub struct P<'a> {\n    x: &'a str,\n}\n\nimpl<'a> fmt::Display for P<'a> {\n    fn fmt(&self) -> R {\n        ok()\n    }\n}\n\n#[test]\npub fn run(x: u8) -> u8 {\n    match x {\n        _ => x,\n    }\n}\n"
+JAVA = "import java.util.List;\n\n@Service\npublic class Users {\n    private int n;\n\n    public List<User> all(String q) throws E {\n        return repo.all(q);\n    }\n}\n\npublic interface Repo {\n    User one();\n    User two();\n}\n"
+C_ = "#include <stdio.h>\n\nstatic int add(int a, int b)\n{\n    return a + b;\n}\n\nstruct point {\n    int x;\n    int y;\n};\n"
+
+
+@pytest.mark.parametrize(
+    "language, source, want, imports",
+    [
+        ("javascript", JAVASCRIPT, [(5, 14, "UserView", "class"), (16, 19, "plain", "function"), (21, 24, "arrow", "function")], 'import { a } from "a";\nconst fs = require("fs");'),
+        ("go", GO, [(5, 8, "Conn", "struct"), (10, 13, "Reader", "interface"), (15, 18, "Open", "method"), (20, 24, "main", "function")], 'import "fmt"'),
+        ("rust", RUST, [(3, 5, "P", "struct"), (7, 11, "P", "impl"), (13, 18, "run", "function")], "use std::fmt;"),
+        ("java", JAVA, [(3, 10, "Users", "class"), (12, 15, "Repo", "interface")], "import java.util.List;"),
+        ("c", C_, [(3, 6, "add", "function"), (8, 11, "point", "struct")], "#include <stdio.h>"),
+    ],
+)
+def test_sources_with_braces(language, source, want, imports):
+    padded = source + "\n" * 1 + "\n".join(f"// {k}" for k in range(31)) + "\n"
+    got = C.chunk_source(padded, language)
+    assert [(p.start, p.end, p.name, p.kind) for p in got if p.name] == want
+    assert all(p.imports == imports for p in got if p.name)
+
+
+def test_methods_of_a_large_class_are_cut_and_keep_its_name():
+    source = "class Big {\n" + "".join(f"  m{k}() {{\n    return {k};\n  }}\n" for k in range(60)) + "}\n"
+    got = C.chunk_source(source, "javascript")
+    assert len(got) > 1 and all(p.parents == ["Big"] for p in got)
+
+
+@pytest.mark.parametrize("content", ["function f() {\n" * 40, "}\n" * 40])
+def test_braces_that_do_not_match_are_cut_by_lines(content):
+    assert ranges(C.chunk_file("a.js", content, "javascript")) == plain(content)
