@@ -79,3 +79,67 @@ def test_likeness_of_long_texts_is_near_that_of_all_anchors():
 def test_texts_of_all_lengths_share_a_scale():
     text = "".join(np.random.default_rng(7).choice(list("abcdefgh "), 159))
     assert P.likeness(P.sketch(P.points_of(text)), P.sketch(P.points_of(f"{text}  {text}"))) > 0.5
+
+
+def plain_mix(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def plain_sketch(text):
+    """Closed syncmers a k-mer at a time."""
+    c, out = 0x9E3779B97F4A7C15, []
+    x = [plain_mix(ord(t) + 1) for t in text]
+    for fine, (k, s) in enumerate(((P.K, P.S), (P.FINE_K, P.FINE_S))):
+        if fine and len(text) >= 2 * P.SHORT:
+            continue
+        found = {}
+        if 0 < len(x) < k:
+            h = len(x)
+            for v in x:
+                h = plain_mix((h * c + v) % 2**64)
+            found[h >> 32 & 0xFFFFFFFE | fine] = 0
+        inner = [plain_mix(sum(v * pow(c, s - 1 - j, 2**64) for j, v in enumerate(x[i : i + s])) % 2**64) for i in range(len(x) - s + 1)]
+        for i in range(len(x) - k + 1):
+            parts = inner[i : i + k - s + 1]
+            if min(parts) in (parts[0], parts[-1]):
+                h = 0
+                for step in [*range(0, k - s, s), k - s]:
+                    h = (h * c + parts[step]) % 2**64
+                found.setdefault(plain_mix(h) >> 32 & 0xFFFFFFFE | fine, i)
+        kept = sorted(found)
+        kept = kept[: max(P.ANCHORS, sum(h <= P.BOUND for h in kept))]
+        out += sorted(((h, found[h]) for h in kept), key=lambda r: r[1])
+    return out
+
+
+def test_sketch_against_a_plain_version():
+    rng = np.random.default_rng(9)
+    for n in (0, 1, 5, 8, 23, 24, 100, 400, 3000):
+        text = "".join(rng.choice(list("ab \u00e9\U0001f600cdefgh"), n))
+        assert [tuple(r) for r in P.sketch(P.points_of(text)).tolist()] == plain_sketch(text), n
+
+
+def plain_likeness(a, b):
+    """The longest common rising run by a table, over all shared anchors below the hash up to which both are complete."""
+    fine = any(h & 1 for h, _ in a) and any(h & 1 for h, _ in b)
+    a, b = ([(h, p) for h, p in x if (h & 1) == fine] for x in (a, b))
+    last = min(max(P.BOUND, max(h for h, _ in x)) if len(x) >= P.ANCHORS else 2**32 for x in (a, b))
+    a, b = ([h for h, _ in sorted(x, key=lambda r: r[1]) if h <= last] for x in (a, b))
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1] / len(set(a) | set(b))
+
+
+def test_likeness_against_a_plain_version():
+    rng = np.random.default_rng(10)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(300)]
+    for n in (30, 150, 600):
+        a = list(rng.choice(words, n))
+        b = a[n // 3 :] + a[: n // 3]
+        b[n // 2] = "changed"
+        x, y = (P.sketch(P.points_of(" ".join(t))) for t in (a, b))
+        assert P.likeness(x, y) == pytest.approx(plain_likeness(x.tolist(), y.tolist()))

@@ -77,3 +77,12 @@ def test_toxicity_stage_uses_the_thresholds_by_language(spark, sf, docs, monkeyp
     kept = corpus_pipeline.toxicity_stage(spark, docs, sf).collect()
     assert not any(r.lang == langs[0] for r in kept)
     assert sum(r.lang == langs[1] for r in kept) == docs.where(docs.lang == langs[1]).count()
+
+
+def test_empty_tables(spark, no_docs, tmp_path):
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    no_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, no_docs, str(tmp_path))
+        assert out.columns == no_docs.columns and out.collect() == [], name
