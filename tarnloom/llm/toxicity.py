@@ -55,6 +55,20 @@ class Network:
     constant: float | None = None
     thresholds: dict = field(default_factory=dict)
 
+    def __getstate__(self):
+        """Rows of zeros, which most buckets have, stay behind."""
+        if self.tables is None:
+            return self.__dict__
+        used = [np.flatnonzero(t.any(1)) for t in self.tables]
+        return self.__dict__ | {"tables": [(u, t[u]) for u, t in zip(used, self.tables, strict=True)]}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        if self.tables is not None:
+            parts, self.tables = self.tables, np.zeros((TABLES, BUCKETS + 1, PART), np.float32)
+            for t, (used, rows) in enumerate(parts):
+                self.tables[t, used] = rows
+
     def embed(self, rows: np.ndarray) -> np.ndarray:
         return np.concatenate([self.tables[t][rows[:, t]] for t in range(TABLES)], axis=1)
 
@@ -119,7 +133,8 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int
         return net
     rng = np.random.default_rng(seed)
     dim = TABLES * PART
-    net.tables = rng.standard_normal((TABLES, BUCKETS + 1, PART), np.float32) * np.float32(0.05)
+    net.tables = rng.standard_normal((TABLES, BUCKETS + 1, PART), np.float32)
+    net.tables *= np.float32(0.05)
     net.tables[:, :-1, 0] = log_odds(texts, labels)
     net.tables[:, -1] = 0
     net.filters = [rng.normal(0, (w * dim) ** -0.5, (w, dim, FILTERS)).astype(np.float32) for w in WIDTHS]
@@ -171,6 +186,10 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int
                 np.add.at(g, inverse, dx[used][real, t * PART : (t + 1) * PART])
                 squares[t, own] += (g * g).mean(1, keepdims=True)
                 net.tables[t, own] -= rate * 5 * g / np.sqrt(squares[t, own])
+    for t in range(TABLES):  # a word that no text has says nothing
+        unseen = np.ones(BUCKETS + 1, bool)
+        unseen[np.unique(np.concatenate([x[:, t] for x in texts]))] = False
+        net.tables[t, unseen] = 0
     return net
 
 
@@ -200,22 +219,22 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
                 raw = [rows[a:b].astype("<i4").tobytes() for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([piece.column("_id"), piece.column("_lang"), piece.column("_toxic"), pa.array(raw, pa.binary())], names=["_id", "_lang", "_toxic", "rows"])
 
-    got = sample(docs, labels).select("_id", "_lang", "_toxic", "text").mapInArrow(run, "_id long, _lang string, _toxic int, rows binary").collect()
-    got.sort(key=lambda r: (r["_id"], r["rows"]))
-    texts = [np.frombuffer(r["rows"], "<i4").reshape(-1, TABLES) for r in got]
-    labels_ = np.array([r["_toxic"] for r in got], np.float64)
-    kept = np.arange(len(got)) % 5 != 4
+    got = sample(docs, labels).select("_id", "_lang", "_toxic", "text").mapInArrow(run, "_id long, _lang string, _toxic int, rows binary").toArrow()  # in the sample's order
+    texts = [np.frombuffer(x.as_buffer(), "<i4").reshape(-1, TABLES) for x in got.column("rows")]
+    labels_, langs = np.array(got.column("_toxic").to_pylist(), np.float64), got.column("_lang").to_pylist()
+    kept = np.arange(len(texts)) % 5 != 4
     net = fit([t for t, k in zip(texts, kept, strict=True) if k], labels_[kept])
     if net.constant is None:
         gap = np.full((_GAP, TABLES), -1, np.int32)
         by_lang: dict = {}
-        for r, text in ((r, t) for r, t, k in zip(got, texts, kept, strict=True) if not k):
+        for k in np.flatnonzero(~kept).tolist():
+            text = texts[k]
             best, _ = net.maxima(net.embed(np.concatenate([text, gap])), np.zeros(1, np.int64))
             p = 1 / (1 + np.exp(-np.clip(np.maximum(best, 0) @ net.out + net.out_bias, -30, 30)))
-            by_lang.setdefault(r["_lang"] or "", []).append((float(p[0]), r["_toxic"]))
+            by_lang.setdefault(langs[k] or "", []).append((float(p[0]), int(labels_[k])))
+        del net  # before the next one takes as much room
+        net = fit(texts, labels_)
         net.thresholds = {lang: _threshold(pairs) for lang, pairs in by_lang.items()}
-        by_lang, net = net.thresholds, fit(texts, labels_)
-        net.thresholds = by_lang
     return net
 
 
