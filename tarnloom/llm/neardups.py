@@ -349,7 +349,8 @@ def link(docs: DataFrame) -> DataFrame:
         star = star.join(nodes.select(F.col("node").alias(side), F.struct(*parts).alias(f"_{side}")), side)
     fits = _close(*({p: F.col(f"_{side}.{p}") for p in parts} for side in ("a", "b")))
     links = confirm(common.stash(star.where(fits).select("a", "b"), "neardups-star"), nodes.select("node", "doc_id"), docs)
-    links = links.unionByName(_same_id(signed))
+    same = common.stash(_same_id(signed), "neardups-same", small=True)
+    links = links if same.isEmpty() else common.stash(links.unionByName(same), "neardups-links", small=True)
     labels = components(links)
     more = _across(banded.select("key", "node", "n_shingles"), labels, nodes, docs)
     if not more.isEmpty():
