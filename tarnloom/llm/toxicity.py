@@ -5,6 +5,10 @@ first bytes and one by its last, so that two words share a whole embedding only
 that training has not seen still has its stem and its ending. Filters of several widths run over the words, each is max-pooled over
 the whole text, and a logistic layer turns the maxima into a score. Thresholds by language are calibrated on
 training rows that the fit did not see; the score itself knows nothing but the text.
+
+All labelled rows are learned from, in tasks: log odds are counted over all of them, and shards of about SHARD rows are gone
+over side by side from one network; what they make of it is averaged, an embedding over the shards that hold it, and goes
+out again for the next round. Averages are sums of whole numbers, so that the order of tasks does not matter.
 """
 
 from __future__ import annotations
@@ -22,10 +26,13 @@ TABLES, BUCKETS, PART = 5, 1 << 18, 6
 #: Bytes of a short and a long stem, and of an ending.
 STEM, LONG_STEM, ENDING = 4, 7, 4
 WIDTHS, FILTERS = (1, 2, 3), 8
-#: The classifier is fitted on at most so many labelled rows: the toxic and the clean with the smallest hashes of their ids.
-#: Their texts have at most LONGEST bytes, so that what the driver holds is bounded too.
-MAX_TOXIC, MAX_CLEAN, LONGEST = 1500, 3000, 1 << 16
+#: Labelled rows that one task learns from at once, about; words that it holds, at most (a longer text stands alone).
+SHARD, SHARD_WORDS = 4500, 6_000_000
+#: Rounds of averaging where there are several shards, and how often a shard goes over its rows in each.
+ROUNDS, EPOCHS = 2, 2
 THRESHOLD = 0.7
+#: Steps of the scores that thresholds tell apart.
+STEPS = 10_000
 #: Texts that know nothing in the log odds that embeddings start with; steps of a fit, at least.
 PRIOR, LEAST_STEPS = 5.0, 1200
 #: Rows of zeros after each text; windows that begin behind the first of them are no windows.
@@ -33,15 +40,21 @@ _GAP = max(WIDTHS)
 _SLICE = 1 << 20
 
 
+def hashed(words: common.Words) -> np.ndarray:
+    """(words, TABLES) bucket numbers."""
+    out = np.empty((len(words.hash), TABLES), np.int32)
+    for t, h in enumerate((words.hash, words.hash >> np.uint64(30), words.affix(STEM, True), words.affix(LONG_STEM, True), words.affix(ENDING, False))):
+        out[:, t] = (h & np.uint64(BUCKETS - 1)).astype(np.int32)
+    return out
+
+
 def buckets_of(words: common.Words) -> tuple[np.ndarray, np.ndarray]:
     """(rows, TABLES) bucket numbers with _GAP rows of -1 after each text, and where each text starts."""
     counts = words.counts()
     starts = np.zeros(words.n_docs, np.int64)
     starts[1:] = np.cumsum(counts + _GAP)[:-1]
     out = np.full((int(counts.sum()) + _GAP * words.n_docs, TABLES), -1, np.int32)
-    place = np.arange(len(words.hash)) + _GAP * words.doc
-    for t, h in enumerate((words.hash, words.hash >> np.uint64(30), words.affix(STEM, True), words.affix(LONG_STEM, True), words.affix(ENDING, False))):
-        out[place, t] = (h & np.uint64(BUCKETS - 1)).astype(np.int32)
+    out[np.arange(len(words.hash)) + _GAP * words.doc] = hashed(words)
     return out, starts
 
 
@@ -110,44 +123,37 @@ def _batches(order: np.ndarray, texts: list[np.ndarray], batch: int, words: int
         at += n
 
 
-def log_odds(texts: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """(TABLES, BUCKETS): how much likelier toxic texts hold a bucket than clean ones, in logs. PRIOR texts that know
+def log_odds(clean: np.ndarray, toxic: np.ndarray, share: float) -> np.ndarray:
+    """How much likelier toxic texts hold a bucket than clean ones, in logs, from the numbers of both. PRIOR texts that know
     nothing come first, and of the toxic ones with a bucket one does not count, so that no text's own words name it."""
-    share, out = labels.mean(), np.zeros((TABLES, BUCKETS), np.float32)
-    for t in range(TABLES):
-        counts = np.zeros((2, BUCKETS))  # texts with a bucket: clean, toxic
-        for text, label in zip(texts, labels, strict=True):
-            counts[int(label), np.unique(text[:, t])] += 1
-        clean, toxic = counts[0], np.maximum(counts[1] - 1, 0)
-        out[t] = np.log((toxic + PRIOR * share) / (clean + PRIOR * (1 - share)) * (1 - share) / share)
-    return out
+    return np.log((np.maximum(toxic - 1, 0) + PRIOR * share) / (clean + PRIOR * (1 - share)) * (1 - share) / share).astype(np.float32)
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int = 8, batch: int = 12, rate: float = 0.02) -> Network:
-    """texts: bucket rows of each text without gaps. Adam for filters, AdaGrad for the embedding rows that occur. An
-    embedding's first number starts as the log odds of its bucket. Few texts are gone over more often, LEAST_STEPS steps
-    in all."""
-    net = Network()
-    if not len(labels) or labels.min() == labels.max():
-        net.constant = float(labels.mean()) if len(labels) else 0.0
-        return net
-    rng = np.random.default_rng(seed)
-    dim = TABLES * PART
+def start(keys: np.ndarray, odds: np.ndarray, seed: int = 7) -> tuple[Network, np.ndarray, np.random.Generator]:
+    """A network before training, AdaGrad's squares for it, and the generator that drew it. An embedding's first number
+    starts as the log odds of its bucket (table * BUCKETS + bucket), 0 for buckets that no text has."""
+    net, rng, dim = Network(), np.random.default_rng(seed), TABLES * PART
     net.tables = rng.standard_normal((TABLES, BUCKETS + 1, PART), np.float32)
     net.tables *= np.float32(0.05)
-    net.tables[:, :-1, 0] = log_odds(texts, labels)
+    net.tables[:, :-1, 0] = 0
+    net.tables[keys // BUCKETS, keys % BUCKETS, 0] = odds
     net.tables[:, -1] = 0
     net.filters = [rng.normal(0, (w * dim) ** -0.5, (w, dim, FILTERS)).astype(np.float32) for w in WIDTHS]
     net.bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
     net.out, net.out_bias = rng.uniform(0.1, 0.5, len(WIDTHS) * FILTERS) * np.resize([1.0, 1.0, 1.0, -1.0], len(WIDTHS) * FILTERS), -1.0
-    squares = np.full((TABLES, BUCKETS + 1, 1), 1e-4, np.float32)
+    return net, np.full((TABLES, BUCKETS + 1, 1), 1e-4, np.float32), rng
+
+
+def learn(net: Network, squares: np.ndarray, rng: np.random.Generator, vocabulary: np.ndarray, texts: list[np.ndarray], labels: np.ndarray, epochs: int, batch: int = 12, rate: float = 0.02) -> None:
+    """Trains net in place; texts: the words of each as rows of the vocabulary, which holds their buckets. Adam for
+    filters, AdaGrad for the embedding rows that occur."""
     params = [*net.filters, *net.bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params] + [(np.zeros_like(net.out), np.zeros_like(net.out)), (np.zeros(1), np.zeros(1))]
     step, gap = 0, np.full((_GAP, TABLES), -1, np.int32)
-    for _ in range(max(epochs, -(-LEAST_STEPS * batch // len(labels)))):
+    for _ in range(epochs):
         order = rng.permutation(len(labels))
         for chosen in _batches(order, texts, batch):
-            rows = np.concatenate([p for i in chosen for p in (texts[i], gap)])
+            rows = np.concatenate([p for i in chosen for p in (vocabulary[texts[i]], gap)])
             starts = np.cumsum([0, *(len(texts[i]) + _GAP for i in chosen[:-1])])
             x = net.embed(rows)
             best, at = net.maxima(x, starts, where=True)
@@ -157,7 +163,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int
             error = (p - labels[chosen]) * (1 + labels[chosen]) / len(chosen)  # the rarer toxic rows count twice
             grads_out = [hidden.T @ error + 1e-4 * net.out, np.array([error.sum()])]
             back = (error[:, None] * net.out[None, :] * active).astype(np.float32)
-            grads, grads_bias, dx = [], [], np.zeros_like(x)
+            grads, grads_bias, hit, change = [], [], [], []
             for w, (f, where) in enumerate(zip(net.filters, at, strict=True)):
                 g, df = back[:, w * FILTERS : (w + 1) * FILTERS], np.zeros_like(f)
                 for k in range(len(f)):
@@ -165,7 +171,9 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int
                     row = np.minimum(where + k, len(x) - 1)
                     gk = g * inside
                     df[k] = np.einsum("bfd,bf->df", x[row], gk)
-                    np.add.at(dx, row.ravel(), (gk[:, :, None] * f[k].T[None]).reshape(-1, x.shape[1]))
+                    text, filter_ = np.nonzero(gk)
+                    hit.append(row[text, filter_])
+                    change.append(gk[text, filter_, None] * f[k].T[filter_])
                 grads.append(df)
                 grads_bias.append(g.sum(0))
             step += 1
@@ -177,75 +185,195 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 7, epochs: int
             m += 0.1 * (grads_out[1] - m)
             v += 0.01 * (grads_out[1] ** 2 - v)
             net.out_bias -= float((rate * 0.5 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8))[0])
-            used = np.flatnonzero(np.abs(dx).sum(1))
+            used, place = np.unique(np.concatenate(hit), return_inverse=True)
+            dx = np.zeros((len(used), x.shape[1]), np.float32)
+            np.add.at(dx, place, np.concatenate(change))
             for t in range(TABLES):
                 ids = rows[used, t]
                 real = ids >= 0
                 own, inverse = np.unique(ids[real], return_inverse=True)
                 g = np.zeros((len(own), PART), np.float32)
-                np.add.at(g, inverse, dx[used][real, t * PART : (t + 1) * PART])
+                np.add.at(g, inverse, dx[real, t * PART : (t + 1) * PART])
                 squares[t, own] += (g * g).mean(1, keepdims=True)
                 net.tables[t, own] -= rate * 5 * g / np.sqrt(squares[t, own])
-    for t in range(TABLES):  # a word that no text has says nothing
-        unseen = np.ones(BUCKETS + 1, bool)
-        unseen[np.unique(np.concatenate([x[:, t] for x in texts]))] = False
-        net.tables[t, unseen] = 0
-    return net
 
 
-def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """At most MAX_TOXIC toxic and MAX_CLEAN clean labelled documents whose crc32(doc_id) mod 3 is not 1, of at most
-    LONGEST bytes; where ids repeat, rows beyond as many go by the hash of their texts."""
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(_shard, _lang, _toxic, _left, text), a work table: all labelled documents whose crc32(doc_id) mod 3 is not 1, those of
+    a shard together in the order of their ids' hashes. Every fifth or so is left out of the first fit."""
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).dropna()
-    known = known.where(common.crc_mod("_id", 3) != 1).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
-    order = [F.crc32(F.concat(F.lit("fit:"), F.col("_id").cast("string"))), F.col("_id")]
-    chosen = known.where("_toxic = 1").orderBy(*order).limit(MAX_TOXIC).unionByName(known.where("_toxic = 0").orderBy(*order).limit(MAX_CLEAN))
+    known = known.where(common.crc_mod("_id", 3) != 1).groupBy("_id").agg(F.max("_toxic").alias("_toxic")).where("_toxic in (0, 1)")
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), common.null_as_empty("text").alias("text"), F.col("lang").cast("string").alias("_lang"))
-    rows = rows.where(F.octet_length("text") <= LONGEST).join(F.broadcast(chosen), "_id")  # at most MAX_TOXIC + MAX_CLEAN rows of two numbers
-    return rows.orderBy(*order, F.xxhash64("text"), "text", "_lang").limit(MAX_TOXIC + MAX_CLEAN)
-
-
-def train(docs: DataFrame, labels: DataFrame) -> Network:
-    """Fits on the sample. A first fit leaves every fifth row out, which sets the thresholds by language."""
-
-    common.bound_batches(docs.sparkSession)
+    rows = rows.where(F.col("_id").isNotNull() & (common.crc_mod("_id", 3) != 1))  # before the join moves texts
+    shards = max(1, -(-rows.select("_id").join(known, "_id").count() // SHARD))
+    place = lambda what: F.crc32(F.concat(F.lit(what), F.col("_id").cast("string")))
+    rows = rows.join(known, "_id").withColumn("_order", place("fit:")).withColumn("_shard", (place("shard:") % shards).cast("int")).withColumn("_left", place("left:") % 5 == 4)
+    rows = rows.repartition(4 * shards, "_shard").sortWithinPartitions("_shard", "_order", "_id", F.xxhash64("text"), "text", "_lang")
+    return common.stash(rows.select("_shard", "_lang", "_toxic", "_left", "text"), "toxicity-labelled")
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """(shard, part, vocabulary, texts, labels) from a task's rows, the shards one after the other; a shard of more than
+    SHARD_WORDS words comes in parts."""
+    shard, part, held = None, 0, 0
+    places: dict[int, int] = {}
+    vocabulary, texts, labels = [np.zeros((0, TABLES), np.int32)], [], []
+
+    def done():
+        return shard, part, np.concatenate(vocabulary), texts, np.array(labels, np.float64)
+
+    for batch in batches:
+        for piece in common.slices(batch, "text", _SLICE):
+            words = common.Words(*common.text_buffers(piece.column("text")), within=common.LETTERS)
+            own, at, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
+            own, buckets, edges = own.tolist(), hashed(words)[at], np.concatenate([[0], np.cumsum(words.counts())])
+            for k, (number, toxic) in enumerate(zip(piece.column("_shard").to_pylist(), piece.column("_toxic").to_pylist(), strict=True)):
+                size = int(edges[k + 1] - edges[k])
+                if texts and (number != shard or held + size > SHARD_WORDS):
+                    yield done()
+                    part = part + 1 if number == shard else 0
+                    places, vocabulary, texts, labels, held = {}, [np.zeros((0, TABLES), np.int32)], [], [], 0
+                shard = number
+                mine, back = np.unique(inverse[edges[k] : edges[k + 1]], return_inverse=True)
+                known = len(places)
+                ids = np.array([places.setdefault(own[i], len(places)) for i in mine.tolist()], np.int32)
+                vocabulary.append(buckets[mine[ids >= known]])
+                texts.append(ids[back])
+                labels.append(toxic)
+                held += size
+    if texts:
+        yield done()
+
+
+def _counts(rows: DataFrame) -> dict[str, np.ndarray]:
+    """key (table * BUCKETS + bucket) and by toxic and left the number of texts that hold it: n00, n01, n10, n11."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((4, TABLES * BUCKETS), np.int32)
         for batch in batches:
             for piece in common.slices(batch, "text", _SLICE):
                 words = common.Words(*common.text_buffers(piece.column("text")), within=common.LETTERS)
-                rows, starts = buckets_of(words)
-                ends = starts + words.counts()
-                raw = [rows[a:b].astype("<i4").tobytes() for a, b in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([piece.column("_id"), piece.column("_lang"), piece.column("_toxic"), pa.array(raw, pa.binary())], names=["_id", "_lang", "_toxic", "rows"])
-
-    got = sample(docs, labels).select("_id", "_lang", "_toxic", "text").mapInArrow(run, "_id long, _lang string, _toxic int, rows binary").toArrow()  # in the sample's order
-    texts = [np.frombuffer(x.as_buffer(), "<i4").reshape(-1, TABLES) for x in got.column("rows")]
-    labels_, langs = np.array(got.column("_toxic").to_pylist(), np.float64), got.column("_lang").to_pylist()
-    kept = np.arange(len(texts)) % 5 != 4
-    net = fit([t for t, k in zip(texts, kept, strict=True) if k], labels_[kept])
-    if net.constant is None:
-        gap = np.full((_GAP, TABLES), -1, np.int32)
-        by_lang: dict = {}
-        for k in np.flatnonzero(~kept).tolist():
-            text = texts[k]
-            best, _ = net.maxima(net.embed(np.concatenate([text, gap])), np.zeros(1, np.int64))
-            p = 1 / (1 + np.exp(-np.clip(np.maximum(best, 0) @ net.out + net.out_bias, -30, 30)))
-            by_lang.setdefault(langs[k] or "", []).append((float(p[0]), int(labels_[k])))
-        del net  # before the next one takes as much room
-        net = fit(texts, labels_)
-        net.thresholds = {lang: _threshold(pairs) for lang, pairs in by_lang.items()}
+                buckets, edges = hashed(words) + np.arange(TABLES, dtype=np.int32) * BUCKETS, np.concatenate([[0], np.cumsum(words.counts())])
+                kinds = [2 * int(t) + int(left) for t, left in zip(piece.column("_toxic").to_pylist(), piece.column("_left").to_pylist(), strict=True)]
+                for k, kind in enumerate(kinds):
+                    counts[kind, np.unique(buckets[edges[k] : edges[k + 1]])] += 1
+        key = np.flatnonzero(counts.any(0))
+        yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[key].astype(np.int64)) for c in counts)], names=["key", *_KINDS])
+
+    found = rows.select("_toxic", "_left", "text").mapInArrow(run, "key long, " + ", ".join(f"{c} long" for c in _KINDS))
+    return _arrays(found.groupBy(F.col("key").cast("int").alias("key")).agg(*[F.sum(c).cast("int").alias(c) for c in _KINDS]))  # at most TABLES * BUCKETS rows
+
+
+_KINDS = ["n00", "n01", "n10", "n11"]
+#: Numbers are summed in whole parts of this size.
+_UNIT = 2.0**-28
+
+
+def _arrays(df: DataFrame) -> dict[str, np.ndarray]:
+    return {c: x.to_numpy() for c, x in zip(df.columns, df.toArrow().combine_chunks().itercolumns(), strict=True)}
+
+
+def _dense(net: Network) -> np.ndarray:
+    """Filters, biases and the last layer in rows of PART + 1 numbers, zeros behind them."""
+    flat = np.concatenate([*(x.ravel() for x in (*net.filters, *net.bias, net.out)), [net.out_bias]]).astype(np.float64)
+    return np.resize(np.append(flat, np.zeros(-len(flat) % (PART + 1))), (-(-len(flat) // (PART + 1)), PART + 1))
+
+
+def _set_dense(net: Network, rows: np.ndarray) -> None:
+    flat, at = rows.ravel(), 0
+    for x in (*net.filters, *net.bias, net.out):
+        x[...] = flat[at : at + x.size].reshape(x.shape)
+        at += x.size
+    net.out_bias = float(flat[at])
+
+
+def fit(rows: DataFrame, sizes: tuple[int, int], keys: np.ndarray, odds: np.ndarray) -> Network:
+    """The network after all rounds over rows, of which there are sizes (clean, toxic). A single shard goes over its rows
+    eight times in one round, few rows more often: LEAST_STEPS steps in all."""
+    alone = rows.agg(F.max("_shard")).first()[0] == 0
+    epochs = max(8, -(-LEAST_STEPS * 12 // sum(sizes))) if alone else EPOCHS
+    state, names = None, [f"v{k}" for k in range(PART + 1)]
+    for turn in range(1 if alone else ROUNDS):
+        shared = rows.sparkSession.sparkContext.broadcast((keys, odds, state))
+
+        def run(batches: Iterator[pa.RecordBatch], turn=turn, shared=shared) -> Iterator[pa.RecordBatch]:
+            for shard, part, vocabulary, texts, labels in _shards(batches):
+                keys, odds, state = shared.value
+                net, squares, rng = start(keys, odds)
+                if shard or part or turn:
+                    rng = np.random.default_rng([7, turn, shard, part])
+                if state is not None:
+                    _restore(net, squares, *state)
+                learn(net, squares, rng, vocabulary, texts, labels, epochs, rate=0.02 / (1 + turn))
+                used = np.unique(vocabulary + np.arange(TABLES, dtype=np.int32) * BUCKETS) if len(vocabulary) else np.zeros(0, np.int32)
+                t, bucket = used // BUCKETS, used % BUCKETS
+                found = np.concatenate([np.concatenate([net.tables[t, bucket], squares[t, bucket]], axis=1), _dense(net)])
+                key = np.concatenate([used, TABLES * BUCKETS + np.arange(len(found) - len(used))])
+                parts = np.rint(found.astype(np.float64) * (len(labels) / _UNIT)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(np.full(len(key), len(labels), np.int64)), *(pa.array(c) for c in parts.T)], names=["key", "n", *names])
+
+        made = rows.select("_shard", "_toxic", "text").mapInArrow(run, "key int, n long, " + ", ".join(f"{c} long" for c in names))
+        got = _arrays(made.groupBy("key").agg(*[(F.sum(c).cast("double") / F.sum("n") * _UNIT).cast("float").alias(c) for c in names]))  # at most a row for each bucket
+        order = np.argsort(got["key"])
+        state = got["key"][order], np.stack([got[c][order] for c in names], axis=1)
+        del got
+        shared.unpersist()
+    net, squares, _ = start(keys[:0], odds[:0])
+    net.tables[:] = 0  # a word that no text has says nothing
+    _restore(net, squares, *state)
+    return net
+
+
+def _restore(net: Network, squares: np.ndarray, keys: np.ndarray, values: np.ndarray) -> None:
+    n = int(np.searchsorted(keys, TABLES * BUCKETS))
+    t, bucket = keys[:n] // BUCKETS, keys[:n] % BUCKETS
+    net.tables[t, bucket], squares[t, bucket] = values[:n, :PART], values[:n, PART:]
+    _set_dense(net, values[n:])
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Network:
+    """Fits on all labelled rows. A first fit leaves about every fifth out, which sets the thresholds by language."""
+    common.bound_batches(docs.sparkSession)
+    rows = labelled(docs, labels)
+    sizes = {(r["_toxic"] != 0, r["_left"]): r["n"] for r in rows.groupBy("_toxic", "_left").agg(F.count("*").alias("n")).collect()}
+    of = lambda toxic, lefts: sum(sizes.get((toxic, left), 0) for left in lefts)
+    n, kept = ((of(False, x), of(True, x)) for x in ((False, True), (False,)))
+    if not min(n):
+        return Network(constant=n[1] / sum(n) if sum(n) else 0.0)
+    counts = _counts(rows)
+    thresholds = {}
+    if min(kept):
+        odds = log_odds(counts["n00"], counts["n10"], kept[1] / sum(kept))
+        thresholds = calibrate(rows.where("_left"), fit(rows.where("not _left"), kept, counts["key"], odds))
+    odds = log_odds(counts["n00"] + counts["n01"], counts["n10"] + counts["n11"], n[1] / sum(n))
+    net = fit(rows, n, counts["key"], odds)
+    net.thresholds = thresholds
+    common.discard(rows)
     return net
 
 
-def _threshold(pairs: list[tuple[float, int]], least: int = 5) -> float:
-    """Between the two scores whose split makes the fewest errors, nearest to THRESHOLD; THRESHOLD for few rows."""
-    positive = sum(y for _, y in pairs)
-    if positive < least or len(pairs) - positive < least:
+def calibrate(rows: DataFrame, net: Network) -> dict[str, float]:
+    """Thresholds by language from all rows, of which net has seen none; scores count in STEPS steps."""
+    found = score(rows.withColumnRenamed("_lang", "lang"), net, ["lang", "_toxic"])
+    step = F.round(F.col("score") * STEPS).cast("int").alias("step")
+    found = found.groupBy(F.coalesce("_row.lang", F.lit("")).alias("lang"), step).agg(F.count_if(F.col("_row._toxic") == 0).alias("clean"), F.count_if(F.col("_row._toxic") != 0).alias("toxic"))
+    by_lang: dict[str, list[tuple[float, int, int]]] = {}
+    for r in found.orderBy("lang", "step").collect():  # STEPS rows and one a language
+        by_lang.setdefault(r["lang"], []).append((r["step"] / STEPS, r["clean"], r["toxic"]))
+    return {lang: _threshold(steps) for lang, steps in by_lang.items()}
+
+
+def _threshold(steps: list[tuple[float, int, int]], least: int = 5) -> float:
+    """Between the two scores whose split makes the fewest errors, nearest to THRESHOLD, from (score, clean, toxic) in
+    order; THRESHOLD for few rows."""
+    p, clean, toxic = (np.array(x, float) for x in zip(*steps, strict=True))
+    if min(clean.sum(), toxic.sum()) < least:
         return THRESHOLD
-    scores = sorted({0.0, 1.0, *(p for p, _ in pairs)})
-    cuts = [THRESHOLD, *((a + b) / 2 for a, b in zip(scores, scores[1:], strict=False))]
-    return min(cuts, key=lambda c: (sum((p >= c) != y for p, y in pairs), abs(c - THRESHOLD)))
+    edges = np.unique([0.0, 1.0, *p])
+    cuts = np.array([THRESHOLD, *((edges[1:] + edges[:-1]) / 2)])
+    at = np.searchsorted(p, cuts)  # scores from here on are at or above the cut
+    errors = np.append(0, np.cumsum(toxic))[at] + clean.sum() - np.append(0, np.cumsum(clean))[at]
+    return float(cuts[np.lexsort((np.abs(cuts - THRESHOLD), errors))[0]])
 
 
 def score(docs: DataFrame, net: Network, carry: list[str] | None = None) -> DataFrame:

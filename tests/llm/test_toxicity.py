@@ -78,3 +78,30 @@ def test_training_is_repeatable(spark, sf, docs):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     a, b = (toxicity.score(docs, toxicity.train(docs, labels)).agg(F.sum("score")).first()[0] for _ in range(2))
     assert a == b
+
+
+def test_all_labelled_rows_are_learned_from(spark):
+    """Words that only texts of over 64 KB hold count too."""
+    filler = " ".join(f"plain{k % 50}" for k in range(9000))
+    docs = spark.createDataFrame([(k, f"{filler} " + ("vile" if k % 2 else "kind"), "en") for k in range(60)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    net = toxicity.train(docs, labels)
+    vile, kind = (toxicity.score(spark.createDataFrame([(1, f"plain1 plain2 {w}", None)], "doc_id long, text string, lang string"), net).first().score for w in ("vile", "kind"))
+    assert net.constant is None and vile > kind
+
+
+def test_shards_learn_one_network(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD", 60)
+    texts = [f"plain words number {k % 7} " + (f"vile{k % 20 // 2}" if k % 2 else "kind") for k in range(600)]
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(600)], "doc_id long, toxic int")
+    assert toxicity.labelled(docs, labels).agg(F.count("*"), F.countDistinct("_shard")).first()[:] == (sum(zlib.crc32(str(k).encode()) % 3 != 1 for k in range(600)), 7)
+    a, b = ({r._row.doc_id: r.score for r in toxicity.score(docs, toxicity.train(d, labels)).collect()} for d in (docs, docs.repartition(3)))
+    assert a == b
+    assert all((a[k] >= 0.7) == k % 2 for k in range(600))
+
+
+def test_thresholds_make_the_fewest_errors():
+    assert toxicity._threshold([(0.1, 9, 0), (0.4, 3, 1), (0.5, 0, 9)]) == pytest.approx(0.45)
+    assert toxicity._threshold([(0.1, 9, 0), (0.9, 0, 9)]) == toxicity.THRESHOLD
+    assert toxicity._threshold([(0.1, 9, 0), (0.4, 0, 4)]) == toxicity.THRESHOLD
