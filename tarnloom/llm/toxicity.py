@@ -7,7 +7,7 @@ the whole text, and a logistic layer turns the maxima into a score. Thresholds b
 training rows that the fit did not see; the score itself knows nothing but the text.
 
 All labelled rows are learned from, in tasks: log odds are counted over all of them, and shards of about SHARD rows are gone
-over side by side from one network; what they make of it is averaged, an embedding over the shards that hold it, and goes
+over side by side from one network; what they make of it is averaged, an embedding over the shards that change it, and goes
 out again for the next round. Averages are sums of whole numbers, so that the order of tasks does not matter.
 """
 
@@ -144,9 +144,10 @@ def start(keys: np.ndarray, odds: np.ndarray, seed: int = 7) -> tuple[Network, n
     return net, np.full((TABLES, BUCKETS + 1, 1), 1e-4, np.float32), rng
 
 
-def learn(net: Network, squares: np.ndarray, rng: np.random.Generator, vocabulary: np.ndarray, texts: list[np.ndarray], labels: np.ndarray, epochs: int, batch: int = 12, rate: float = 0.02) -> None:
+def learn(net: Network, squares: np.ndarray, rng: np.random.Generator, vocabulary: np.ndarray, texts: list[np.ndarray], labels: np.ndarray, epochs: int, batch: int = 12, rate: float = 0.02) -> np.ndarray:
     """Trains net in place; texts: the words of each as rows of the vocabulary, which holds their buckets. Adam for
-    filters, AdaGrad for the embedding rows that occur."""
+    filters, AdaGrad for the embedding rows that occur; gives the keys of those that it has changed."""
+    changed = np.zeros((TABLES, BUCKETS), bool)
     params = [*net.filters, *net.bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params] + [(np.zeros_like(net.out), np.zeros_like(net.out)), (np.zeros(1), np.zeros(1))]
     step, gap = 0, np.full((_GAP, TABLES), -1, np.int32)
@@ -196,6 +197,8 @@ def learn(net: Network, squares: np.ndarray, rng: np.random.Generator, vocabular
                 np.add.at(g, inverse, dx[real, t * PART : (t + 1) * PART])
                 squares[t, own] += (g * g).mean(1, keepdims=True)
                 net.tables[t, own] -= rate * 5 * g / np.sqrt(squares[t, own])
+                changed[t, own] = True
+    return np.flatnonzero(changed)
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -207,7 +210,7 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = rows.where(F.col("_id").isNotNull() & (common.crc_mod("_id", 3) != 1))  # before the join moves texts
     shards = max(1, -(-rows.select("_id").join(known, "_id").count() // SHARD))
     place = lambda what: F.crc32(F.concat(F.lit(what), F.col("_id").cast("string")))
-    rows = rows.join(known, "_id").withColumn("_order", place("fit:")).withColumn("_shard", (place("shard:") % shards).cast("int")).withColumn("_left", place("left:") % 5 == 4)
+    rows = rows.join(known.hint("merge"), "_id").withColumn("_order", place("fit:")).withColumn("_shard", (place("shard:") % shards).cast("int")).withColumn("_left", place("left:") % 5 == 4)
     rows = rows.repartition(4 * shards, "_shard").sortWithinPartitions("_shard", "_order", "_id", F.xxhash64("text"), "text", "_lang")
     return common.stash(rows.select("_shard", "_lang", "_toxic", "_left", "text"), "toxicity-labelled")
 
@@ -288,7 +291,7 @@ def _set_dense(net: Network, rows: np.ndarray) -> None:
 
 
 def fit(rows: DataFrame, sizes: tuple[int, int], keys: np.ndarray, odds: np.ndarray) -> Network:
-    """The network after all rounds over rows, of which there are sizes (clean, toxic). A single shard goes over its rows
+    """The network after all rounds over rows, of which there are sizes (clean, toxic); keys are in order. A single shard goes over its rows
     eight times in one round, few rows more often: LEAST_STEPS steps in all."""
     alone = rows.agg(F.max("_shard")).first()[0] == 0
     epochs = max(8, -(-LEAST_STEPS * 12 // sum(sizes))) if alone else EPOCHS
@@ -297,26 +300,38 @@ def fit(rows: DataFrame, sizes: tuple[int, int], keys: np.ndarray, odds: np.ndar
         shared = rows.sparkSession.sparkContext.broadcast((keys, odds, state))
 
         def run(batches: Iterator[pa.RecordBatch], turn=turn, shared=shared) -> Iterator[pa.RecordBatch]:
+            keys, odds, state = shared.value
+            found: list[np.ndarray] = [np.zeros((0, PART + 3), np.int64)]  # key, texts, whole parts
             for shard, part, vocabulary, texts, labels in _shards(batches):
-                keys, odds, state = shared.value
                 net, squares, rng = start(keys, odds)
                 if shard or part or turn:
                     rng = np.random.default_rng([7, turn, shard, part])
                 if state is not None:
                     _restore(net, squares, *state)
-                learn(net, squares, rng, vocabulary, texts, labels, epochs, rate=0.02 / (1 + turn))
-                used = np.unique(vocabulary + np.arange(TABLES, dtype=np.int32) * BUCKETS) if len(vocabulary) else np.zeros(0, np.int32)
+                used = learn(net, squares, rng, vocabulary, texts, labels, epochs, rate=0.02 / (1 + turn))
                 t, bucket = used // BUCKETS, used % BUCKETS
-                found = np.concatenate([np.concatenate([net.tables[t, bucket], squares[t, bucket]], axis=1), _dense(net)])
-                key = np.concatenate([used, TABLES * BUCKETS + np.arange(len(found) - len(used))])
-                parts = np.rint(found.astype(np.float64) * (len(labels) / _UNIT)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(np.full(len(key), len(labels), np.int64)), *(pa.array(c) for c in parts.T)], names=["key", "n", *names])
+                values = np.concatenate([np.concatenate([net.tables[t, bucket], squares[t, bucket]], axis=1), _dense(net)]).astype(np.float64)
+                key = np.concatenate([used, TABLES * BUCKETS + np.arange(len(values) - len(used))])
+                found.append(np.column_stack([key, np.full(len(key), len(labels)), np.rint(values * (len(labels) / _UNIT)).astype(np.int64)]))
+                del net, squares
+                both = np.concatenate(found)
+                both = both[np.argsort(both[:, 0])]
+                own, first = np.unique(both[:, 0], return_index=True)
+                found = [np.add.reduceat(both, first, axis=0)]
+                found[0][:, 0] = own
+            yield pa.RecordBatch.from_arrays([pa.array(found[0][:, 0].astype(np.int32)), *(pa.array(c) for c in found[0][:, 1:].T)], names=["key", "n", *names])
 
         made = rows.select("_shard", "_toxic", "text").mapInArrow(run, "key int, n long, " + ", ".join(f"{c} long" for c in names))
         got = _arrays(made.groupBy("key").agg(*[(F.sum(c).cast("double") / F.sum("n") * _UNIT).cast("float").alias(c) for c in names]))  # at most a row for each bucket
-        order = np.argsort(got["key"])
-        state = got["key"][order], np.stack([got[c][order] for c in names], axis=1)
-        del got
+        if state is None:
+            net, squares, _ = start(keys, odds)
+            t, bucket = keys // BUCKETS, keys % BUCKETS
+            state = keys, np.concatenate([net.tables[t, bucket], squares[t, bucket]], axis=1), _dense(net)
+            del net, squares
+        changed, values = got["key"], np.stack([got.pop(c) for c in names], axis=1)
+        layers = changed >= TABLES * BUCKETS
+        state[1][np.searchsorted(keys, changed[~layers])] = values[~layers]
+        state[2][changed[layers] - TABLES * BUCKETS] = values[layers]
         shared.unpersist()
     net, squares, _ = start(keys[:0], odds[:0])
     net.tables[:] = 0  # a word that no text has says nothing
@@ -324,11 +339,10 @@ def fit(rows: DataFrame, sizes: tuple[int, int], keys: np.ndarray, odds: np.ndar
     return net
 
 
-def _restore(net: Network, squares: np.ndarray, keys: np.ndarray, values: np.ndarray) -> None:
-    n = int(np.searchsorted(keys, TABLES * BUCKETS))
-    t, bucket = keys[:n] // BUCKETS, keys[:n] % BUCKETS
-    net.tables[t, bucket], squares[t, bucket] = values[:n, :PART], values[:n, PART:]
-    _set_dense(net, values[n:])
+def _restore(net: Network, squares: np.ndarray, keys: np.ndarray, values: np.ndarray, dense: np.ndarray) -> None:
+    t, bucket = keys // BUCKETS, keys % BUCKETS
+    net.tables[t, bucket], squares[t, bucket] = values[:, :PART], values[:, PART:]
+    _set_dense(net, dense)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Network:
@@ -341,10 +355,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Network:
     if not min(n):
         return Network(constant=n[1] / sum(n) if sum(n) else 0.0)
     counts = _counts(rows)
+    order = np.argsort(counts["key"])
+    counts = {c: x[order] for c, x in counts.items()}
     thresholds = {}
     if min(kept):
-        odds = log_odds(counts["n00"], counts["n10"], kept[1] / sum(kept))
-        thresholds = calibrate(rows.where("_left"), fit(rows.where("not _left"), kept, counts["key"], odds))
+        there = counts["n00"] + counts["n10"] > 0
+        odds = log_odds(counts["n00"][there], counts["n10"][there], kept[1] / sum(kept))
+        thresholds = calibrate(rows.where("_left"), fit(rows.where("not _left"), kept, counts["key"][there], odds))
     odds = log_odds(counts["n00"] + counts["n01"], counts["n10"] + counts["n11"], n[1] / sum(n))
     net = fit(rows, n, counts["key"], odds)
     net.thresholds = thresholds
