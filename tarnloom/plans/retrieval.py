@@ -20,7 +20,7 @@ def post_filter(hits: DataFrame, language: str | None = None, symbol_type: str |
 def retrieve(
     docs: DataFrame,
     queries: DataFrame,
-    index: fulltext.Index | None = None,
+    index: fulltext.Index | fulltext.Scan | None = None,
     files: DataFrame | None = None,
     limit: int = 20,
     hybrid: bool = True,

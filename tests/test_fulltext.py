@@ -112,3 +112,26 @@ def test_expansion(spark):
 def test_related_terms(spark):
     got = {r.term: r.related for r in expansion.related_terms(spark.createDataFrame([("AUTH",), ("fn",), ("zz",)], "term string")).collect()}
     assert got["AUTH"] == sorted(expansion.RELATED["auth"]) and got["fn"] == ["func", "function", "method"] and got["zz"] == []
+
+
+def test_scan_is_the_index_and_shuffles_no_tokens(spark):
+    docs = documents(spark, CORPUS * 3)
+    queries = [*GOLDEN, "user_by id", "password user", "python function"]
+    asked = spark.createDataFrame([(q, q) for q in queries], "query_id string, query string")
+    seen = lambda found: [(r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in found.orderBy("query_id", "rank").collect()]
+    for stem in (True, False):
+        index = fulltext.build(docs, stem)
+        for filters in ({}, {"match": "any"}, {"match": "any", "language": "python"}, {"path_like": "%.PY"}, {"collection": "d"}):
+            assert seen(fulltext.search(fulltext.Scan(docs.repartition(3), stem), docs, asked, 4, **filters)) == seen(fulltext.search(index, docs, asked, 4, **filters))
+
+
+def test_hybrid_queries_write_less_than_their_tables(spark):
+    """Without a stored index and without shuffled tokens."""
+    import os
+
+    from tarnloom import queries as registered
+
+    root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    registered.QUERIES["hybrid_plain"](spark, "/root/testdata/sf0.001").collect()
+    assert not [x for x in set(os.listdir(root)) - before if x.startswith("postings")]
