@@ -8,8 +8,13 @@ every word what goes to words that training has not seen. These are spelled: the
 further byte by the bytes before it, with interpolated counts over the corpus's uncommon words.
 
 The HEAD most frequent words are broadcast, all others come by a join of the documents' other words with the table of
-counts; both have the same formula, so HEAD moves work and no score. The gate (embeddings, attention, output) is
-trained on a bounded sample of whole training documents, which also starts the experts.
+counts; both have the same formula, so HEAD moves work and no score.
+
+Everything is learned from all training documents, in tasks. Experts start from CELLS sums of word counts, to which each
+document adds its own by the signs of hashed projections; EM splits the cells, and a round over all documents sets the
+experts by which they are counted. The gate (embeddings, attention, output) goes over every window of every training
+document: tasks learn side by side from one gate, what they make of it is averaged, an embedding over the tasks that
+change it, and goes out again.
 """
 
 from __future__ import annotations
@@ -28,10 +33,22 @@ from . import common, tokens
 HEAD = 1 << 17
 EXPERTS, DIM, HEADS = 8, 32, 2
 WINDOW, STRIDE = 64, 48
-#: Training documents for the gate, whole: at most so many, those with the smallest hashes of their ids.
+#: Documents that sampled() gives, whole; nothing is learned from them.
 SAMPLE = 2500
-#: Words with fewer occurrences in the sample tell how unseen words are spelled, wherever they occur in the corpus.
-UNCOMMON = 10
+#: Common words choose a document's expert: those with so many occurrences that also make up this share of all words. The
+#: others tell how unseen words are spelled.
+UNCOMMON, COMMON = 10, 1e-5
+#: Rounds over all documents that set the experts after their start; words that a task assigns at once, and how far the
+#: experts then move.
+ROUNDS, STEP, RATE = 1, 40_000, 0.1
+#: Bits of a document's cell.
+CELL_BITS = 6
+CELLS = 1 << CELL_BITS
+#: Windows that the gate learns from, repeats included: corpora of fewer are gone over again, PASSES times at most. In one
+#: pass, one document of FIRST_PART or so is learned from before the others.
+LEAST_WINDOWS, PASSES, FIRST_PART = 140_000, 3, 8
+#: Pieces whose embeddings travel in one row.
+_CHUNK = 512
 #: Counts of the whole corpus's distribution that each expert's starts from.
 SMOOTH, SMOOTH_FIRST = 1000.0, 300.0
 #: Bits of the hash of the four bytes before a byte; with two bytes they are taken as they are.
@@ -162,14 +179,14 @@ def best_experts(values: np.ndarray, counts: np.ndarray, prior: np.ndarray) -> n
     return total.argmax(1)
 
 
-def count(docs: DataFrame, known: Lookup, logs: np.ndarray, prior: np.ndarray, common_: np.ndarray) -> DataFrame:
+def count(docs: DataFrame, known: Lookup, logs: np.ndarray, prior: np.ndarray) -> DataFrame:
     """(kind, key, n, shares) over docs: words with the share of each expert in 255ths, a byte each, and of uncommon
-    words first two bytes, and bytes after two and after four others. known: words of the sample, with their log
-    probabilities by expert; common_: whether they are common there."""
-    shared = docs.sparkSession.sparkContext.broadcast((known, np.vstack([logs, np.zeros((1, EXPERTS), logs.dtype)]), prior, np.append(common_, False)))
+    words first two bytes, and bytes after two and after four others. known: the common words, with their log
+    probabilities by expert."""
+    shared = docs.sparkSession.sparkContext.broadcast((known, np.vstack([logs, np.zeros((1, EXPERTS), logs.dtype)]), prior))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, logs, prior, common_ = shared.value
+        known, logs, prior = shared.value
         found: list[list[tuple[np.ndarray, np.ndarray]]] = [[], [], [], []]
 
         def put(kind: int, keys: np.ndarray) -> None:
@@ -190,7 +207,7 @@ def count(docs: DataFrame, known: Lookup, logs: np.ndarray, prior: np.ndarray, c
                 own = expert[t.words.doc]
                 put(_WORD, t.ids << np.uint64(3) | own)
                 put(_WORD, _END << np.uint64(3) | expert)
-                odd = np.flatnonzero(~common_[place])
+                odd = np.flatnonzero(place < 0)
                 first, _, gram = t.bytes_of(odd)
                 put(_FIRST, first.astype(np.uint64) << np.uint64(3) | own[odd])
                 gram, n = np.unique(gram, return_counts=True)
@@ -231,50 +248,61 @@ class Gate:
         }
         self.past = np.tri(WINDOW, dtype=np.float32)
 
-    def forward(self, x: np.ndarray):
-        """x: (windows, WINDOW, DIM) vectors of what was read; (windows, WINDOW, EXPERTS) weights, and what backward needs."""
+    def folded(self) -> np.ndarray:
+        """Queries, keys, what each head's values add to the output, and the residual's, by one product."""
         p, size = self.p, DIM // HEADS
-        x = x + p["pos"]
-        q, k, v = x @ (p["q"] * np.float32(size**-0.5)), x @ p["k"], x @ p["v"]
-        weights, c = [], np.empty_like(x)
-        for h in range(0, DIM, size):
-            a = q[:, :, h : h + size] @ k[:, :, h : h + size].transpose(0, 2, 1)
-            np.exp(np.clip(a, -40, 40, out=a), out=a)  # a word sees itself, so no sum is empty
-            a *= self.past
-            a /= a.sum(2, keepdims=True)
-            np.matmul(a, v[:, :, h : h + size], out=c[:, :, h : h + size])
-            weights.append(a)
-        y = x + c @ p["o"]
-        z = y @ p["u"] + p["b"]
+        heads = [p["v"][:, h : h + size] @ (p["o"][h : h + size] @ p["u"]) for h in range(0, DIM, size)]
+        return np.concatenate([p["q"] * size**-0.5, p["k"], *heads, p["u"]], axis=1).astype(p["q"].dtype, copy=False)
+
+    def forward(self, x: np.ndarray, folded: np.ndarray | None = None):
+        """x: (windows, WINDOW, DIM) vectors of what was read; (windows, WINDOW, EXPERTS) weights, and what backward needs."""
+        size = DIM // HEADS
+        w = self.folded() if folded is None else folded
+        x = x + self.p["pos"]
+        m = (x.reshape(-1, DIM) @ w).reshape(*x.shape[:2], -1)
+        z, heads = m[:, :, -EXPERTS:] + self.p["b"], []
+        for h in range(HEADS):
+            q, k = (m[:, :, at : at + size] for at in (h * size, DIM + h * size))
+            v = np.ones((*x.shape[:2], EXPERTS + 1), x.dtype)  # a one behind them: the sum of the weights
+            v[:, :, :EXPERTS] = m[:, :, 2 * DIM + h * EXPERTS : 2 * DIM + (h + 1) * EXPERTS]
+            e = q @ k.transpose(0, 2, 1)
+            np.exp(np.clip(e, -40, 40, out=e), out=e)  # a word sees itself, so no sum is empty
+            e *= self.past
+            c = e @ v
+            total = c[:, :, EXPERTS:]
+            c = c[:, :, :EXPERTS] / total
+            z += c
+            heads.append((q, k, v, e, total, c))
         np.exp(np.clip(z, -30, 30, out=z), out=z)
         z /= z.sum(2, keepdims=True)
-        return z, (x, q, k, v, weights, c, y)
+        return z, (x, w, heads)
 
     def gradients(self, vectors: np.ndarray, given: np.ndarray, counted: np.ndarray) -> tuple[float, dict, np.ndarray]:
         """Mean log likelihood, its gradients by the parameters and by the vectors read; given: what each expert gives
         the word that comes, counted: whether it counts."""
         p, size = self.p, DIM // HEADS
-        z, (x, q, k, v, weights, c, y) = self.forward(vectors)
+        z, (x, w, heads) = self.forward(vectors)
         mix = z * given
         total = np.maximum(mix.sum(2, keepdims=True), _DEAD)
         n = max(counted.sum(), 1)
         dz = (mix / total - z) * (counted / n)[:, :, None]
-        flat = lambda m: m.reshape(-1, m.shape[2])
-        g = {"u": flat(y).T @ flat(dz), "b": dz.sum((0, 1))}
-        dy = dz @ p["u"].T
-        dc = dy @ p["o"].T
-        g["o"] = flat(c).T @ flat(dy)
-        dq, dk, dv = np.empty_like(x), np.empty_like(x), np.empty_like(x)
-        for h, a in zip(range(0, DIM, size), weights, strict=True):
-            own = slice(h, h + size)
-            da = dc[:, :, own] @ v[:, :, own].transpose(0, 2, 1)
-            dv[:, :, own] = a.transpose(0, 2, 1) @ dc[:, :, own]
-            ds = a * (da - (da * a).sum(2, keepdims=True))
-            dq[:, :, own], dk[:, :, own] = ds @ k[:, :, own], ds.transpose(0, 2, 1) @ q[:, :, own]
-        dq *= np.float32(size**-0.5)
-        g["q"], g["k"], g["v"] = (flat(x).T @ flat(d) for d in (dq, dk, dv))
-        dx = dy + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-        g["pos"] = dx.sum(0)
+        dm = np.empty((*x.shape[:2], w.shape[1]), x.dtype)
+        dm[:, :, -EXPERTS:] = dz
+        for h, (q, k, v, e, sums, c) in enumerate(heads):
+            by = np.concatenate([dz, -(dz * c).sum(2, keepdims=True)], axis=2) / sums
+            ds = by @ v.transpose(0, 2, 1)
+            ds *= e
+            np.matmul(ds, k, out=dm[:, :, h * size : (h + 1) * size])
+            np.matmul(ds.transpose(0, 2, 1), q, out=dm[:, :, DIM + h * size : DIM + (h + 1) * size])
+            np.matmul(e.transpose(0, 2, 1), by[:, :, :EXPERTS], out=dm[:, :, 2 * DIM + h * EXPERTS : 2 * DIM + (h + 1) * EXPERTS])
+        flat = dm.reshape(-1, w.shape[1])
+        dw, dx = x.reshape(-1, DIM).T @ flat, (flat @ w.T).reshape(x.shape)
+        g = {"q": dw[:, :DIM] * size**-0.5, "k": dw[:, DIM : 2 * DIM], "u": dw[:, -EXPERTS:].copy(), "b": dz.sum((0, 1)), "pos": dx.sum(0), "v": np.empty_like(p["v"]), "o": np.empty_like(p["o"])}
+        for h in range(HEADS):
+            own, by = slice(h * size, (h + 1) * size), dw[:, 2 * DIM + h * EXPERTS : 2 * DIM + (h + 1) * EXPERTS]
+            g["v"][:, own] = by @ (p["o"][own] @ p["u"]).T
+            g["o"][own] = p["v"][:, own].T @ by @ p["u"].T
+            g["u"] += (p["v"][:, own] @ p["o"][own]).T @ by
         return float((np.log(total[:, :, 0]) * counted).sum() / n), g, dx
 
     def update(self, g: dict, pieces: np.ndarray, grad: np.ndarray, state: dict, rate: float) -> None:
@@ -290,14 +318,14 @@ class Gate:
         self.p["emb"][pieces] += rate * 5 * grad / np.sqrt(squares[pieces])
 
 
-def windows(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(starts: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows over texts that lie between starts: (first word of the window, its text's end, first word that it scores)."""
     sizes = np.diff(starts)
-    n = 1 + np.maximum(0, -(-(sizes - WINDOW) // STRIDE))
+    n = 1 + np.maximum(0, -(-(sizes - WINDOW) // stride))
     text = np.repeat(np.arange(len(sizes)), n)
     k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    begin = starts[:-1][text] + k * STRIDE
-    return begin, starts[1:][text], np.where(k == 0, begin, begin + WINDOW - STRIDE)
+    begin = starts[:-1][text] + k * stride
+    return begin, starts[1:][text], np.where(k == 0, begin, begin + WINDOW - stride)
 
 
 def sequences(words: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -314,35 +342,65 @@ def sequences(words: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarr
 
 
 def _sum_by(groups: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct groups, sums of their rows)."""
-    order = np.argsort(groups, kind="stable")
-    own, first = np.unique(groups[order], return_index=True)
-    return own, np.add.reduceat(values[order], first, axis=0)
-
-
-def train_gate(pieces: int, prior: np.ndarray, spelled: list[list[int]], before: np.ndarray, starts: np.ndarray, given: np.ndarray, come: np.ndarray, epochs: int = 3, batch: int = 128, rate: float = 0.01) -> Gate:
-    """spelled: the subword ids of each word that before (what is read) and come hold; given: what each expert gives it."""
-    rng, gate, state = np.random.default_rng(3), Gate(pieces, prior), {}
-    if len(starts) < 2:
-        return gate
-    sizes = np.array([len(s) for s in spelled])
-    flat, first = np.concatenate([np.asarray(s, np.int64) for s in spelled]), np.cumsum(sizes) - sizes
-    begin, stop, _ = windows(starts)
-    for epoch in range(epochs):
-        for part in np.array_split(rng.permutation(len(begin)), max(1, len(begin) // batch)):
-            at = begin[part][:, None] + np.arange(WINDOW)
-            inside = (at < stop[part][:, None]).astype(np.float32)
-            at = np.minimum(at, len(before) - 1)
-            own, inverse = np.unique(before[at], return_inverse=True)
-            n = sizes[own]
-            ids = flat[np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            scale = n.astype(np.float32)[:, None] ** -0.5
-            vectors = np.add.reduceat(gate.p["emb"][ids], np.cumsum(n) - n, axis=0) * scale
-            _, g, dx = gate.gradients(vectors[inverse.reshape(at.shape)], given[come[at]], inside)
-            _, by_word = _sum_by(inverse.ravel(), dx.reshape(-1, DIM))
-            used, grad = _sum_by(ids, np.repeat(by_word * scale, n, axis=0))
-            gate.update(g, used, grad, state, rate / (1 + epoch))
-    return gate
+    """(distinct groups, sums of their rows); groups are numbers below 2**16 (which sort faster) or any others."""
+    order = np.argsort(groups.astype(np.uint16) if len(groups) and groups.max() < 1 << 16 else groups, kind="stable")
+    groups = groups[order]
+    first = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])[: len(groups)])
+    return groups[first], np.add.reduceat(values[order], first, axis=0)
+
+
+def learn(gate: Gate, state: dict, flat: np.ndarray, first: np.ndarray, sizes: np.ndarray, words: np.ndarray, before: np.ndarray, starts: np.ndarray, given: np.ndarray, rng: np.random.Generator, rate: float, batch: int = 128) -> np.ndarray:
+    """Goes over all words of the texts between starts, in windows side by side; before: what is read, by the words whose subword ids
+    are flat[first : first + sizes]; words: the rows of given, what each expert gives the word that comes. Gives how
+    often each piece's embedding has changed."""
+    used = np.zeros(len(gate.p["emb"]), np.int64)
+    begin, stop, _ = windows(starts, WINDOW)
+    row = np.zeros(len(sizes), np.int64)  # of a word among the batch's
+    for part in np.array_split(rng.permutation(len(begin)), max(1, len(begin) // batch)):
+        at = begin[part][:, None] + np.arange(WINDOW)
+        inside = (at < stop[part][:, None]).astype(np.float32)
+        at = np.minimum(at, len(before) - 1)
+        read = before[at]
+        row[read] = 1
+        own = np.flatnonzero(row)
+        row[own] = np.arange(len(own))
+        inverse = row[read]
+        row[own] = 0
+        n = sizes[own]
+        ids = flat[np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        scale = n.astype(np.float32)[:, None] ** -0.5
+        vectors = np.add.reduceat(gate.p["emb"][ids], np.cumsum(n) - n, axis=0) * scale
+        _, g, dx = gate.gradients(vectors[inverse], given[words[at]], inside)
+        _, by_word = _sum_by(inverse.ravel(), dx.reshape(-1, DIM))
+        pieces, grad = _sum_by(ids, np.repeat(by_word * scale, n, axis=0))
+        gate.update(g, pieces, grad, state, rate)
+        used[pieces] += 1
+    return used
+
+
+class Spelled:
+    """Subword ids of words; those of head words are kept."""
+
+    def __init__(self, head: int, pieces: int, path: str):
+        self.path, self.end = path, pieces - 1
+        self.flat, self.first, self.sizes = np.zeros(0, np.int64), np.zeros(head, np.int64), np.zeros(head, np.int64)
+
+    def of(self, t: Text, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, numbers) of words, by where they are and their places in the head, and of the end behind them."""
+        new = np.flatnonzero(place >= 0)
+        new = new[self.sizes[place[new]] == 0]
+        odd = np.flatnonzero(place < 0)
+        found = t.spelled(at[np.concatenate([new, odd])], self.path)
+        n = np.array([len(s) for s in found], np.int64)
+        ids, begin, a = np.fromiter((i for s in found for i in s), np.int64, n.sum()), np.cumsum(n) - n, len(new)
+        kept = int(n[:a].sum())
+        self.first[place[new]], self.sizes[place[new]] = len(self.flat) + begin[:a], n[:a]
+        self.flat = np.concatenate([self.flat, ids[:kept]])
+        first, sizes = np.empty(len(at) + 1, np.int64), np.empty(len(at) + 1, np.int64)
+        first[:-1], sizes[:-1] = self.first[place], self.sizes[place]
+        first[odd], sizes[odd] = len(self.flat) + begin[a:] - kept, n[a:]
+        first[-1], sizes[-1] = len(self.flat) + len(ids) - kept, 1
+        return np.concatenate([self.flat, ids[kept:], [self.end]]), first, sizes
 
 
 @dataclass
@@ -352,7 +410,7 @@ class Model:
     table: np.ndarray  # (head words, EXPERTS)
     bases: np.ndarray  # by head word: log10 of its count and 0.1
     first: np.ndarray  # (2**16, EXPERTS): that a word is unseen and begins with two bytes
-    speller: Speller
+    speller: Speller | None  # not needed to learn
     gate: Gate
 
     def __getstate__(self):
@@ -380,6 +438,19 @@ class Model:
         kept[new], made[new] = rows[: len(new)], True
         return np.concatenate([kept, emb[-1:], rows[len(new) :]]), words
 
+    def lesson(self, t: Text, spelled: Spelled) -> tuple[np.ndarray, ...]:
+        """Of texts what learn() wants: subword ids with their starts and numbers by word, the words that come, what has
+        been read before each, where texts start, and what each expert gives a word. Words that are not broadcast count as
+        unseen ones here."""
+        own, at, inverse = np.unique(t.ids, return_index=True, return_inverse=True)
+        place, end = self.head.find(own), self.head.find(np.array([_END], np.uint64))[0]
+        flat, first, sizes = spelled.of(t, at, place)
+        given = np.empty((len(own) + 1, EXPERTS), np.float32)
+        given[:-1][place >= 0], given[:-1][place < 0] = self.table[place[place >= 0]], self.first[t.bytes_of(at[place < 0])[0]]
+        given[-1] = self.table[end] if end >= 0 else self.first[_STOP << 8]
+        words, starts, before = sequences(inverse, t.counts, len(own))
+        return flat, first, sizes, words, before, starts, given
+
     def score(self, t: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each text log10 of the probability of its head words, and of the others: hash, text, weights of the
         experts in 255ths, and log10 of the probability that an unseen word comes and is spelled like that."""
@@ -388,13 +459,13 @@ class Model:
         _, starts, before = sequences(words, t.counts, len(self.table))
         come, _, _ = sequences(place.astype(np.int64), t.counts, int(self.head.find(np.array([_END], np.uint64))[0]))
         odd_at = np.flatnonzero(come < 0)
-        value, z_odd = np.zeros(len(come)), np.zeros((len(odd_at), EXPERTS), np.float32)
+        value, z_odd, folded = np.zeros(len(come)), np.zeros((len(odd_at), EXPERTS), np.float32), self.gate.folded()
         begin, stop, own = windows(starts)
         steps = np.arange(WINDOW)
         for a in range(0, len(begin), 128):
             at = begin[a : a + 128, None] + steps
             scored = (at < stop[a : a + 128, None]) & (at >= own[a : a + 128, None])
-            z, _ = self.gate.forward(rows[before[np.minimum(at, len(before) - 1)]])
+            z, _ = self.gate.forward(rows[before[np.minimum(at, len(before) - 1)]], folded)
             z, at = z[scored], at[scored]
             what = come[at]
             head = what >= 0
@@ -415,38 +486,9 @@ class Model:
         return np.add.reduceat(value, starts[:-1]), hashes, text, weights, spelling
 
 
-@dataclass
-class Sample:
-    """Texts as words, by their places among the distinct ones; of these the hash, subword ids and first two bytes."""
-
-    own: np.ndarray
-    words: np.ndarray
-    counts: np.ndarray
-    spelled: list[list[int]]
-    first: np.ndarray
-
-    @classmethod
-    def of(cls, texts: pa.Array, path: str) -> Sample:
-        """A slice at a time, as what Words holds is many times the text."""
-        ids, counts, own, spelled, first = [], [], np.zeros(0, np.uint64), [], np.zeros(0, np.int64)
-        for piece in common.slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", _SLICE):
-            t = Text(piece.column("text"))
-            ids.append(t.ids)
-            counts.append(t.counts)
-            found, at = np.unique(t.ids, return_index=True)
-            fresh = ~np.isin(found, own)
-            own = np.concatenate([own, found[fresh]])
-            spelled += t.spelled(at[fresh], path)
-            first = np.concatenate([first, t.bytes_of(at[fresh])[0]])
-        order = np.argsort(own)
-        own = own[order]
-        words = np.searchsorted(own, np.concatenate([np.zeros(0, np.uint64), *ids]))
-        return cls(own, words, np.concatenate([np.zeros(0, np.int64), *counts]), [spelled[k] for k in order.tolist()], first[order])
-
-
 def sampled(docs: DataFrame) -> pa.Array:
     """The texts of the SAMPLE training documents with the smallest hashes of their ids (of those with one id, all that
-    fit, by their texts' hashes)."""
+    fit, by their texts' hashes), to look at; no model, count or threshold comes from them."""
     rows = training(docs).select(F.col("doc_id").cast("long").alias("_id"), common.null_as_empty("text").alias("text"))
     order = [F.crc32(F.concat(F.lit("lm:"), F.coalesce(F.col("_id").cast("string"), F.lit("")))), F.col("_id")]
     chosen = F.broadcast(rows.select("_id").distinct().orderBy(*order).limit(SAMPLE).withColumnRenamed("_id", "_chosen"))  # at most SAMPLE numbers
@@ -454,28 +496,141 @@ def sampled(docs: DataFrame) -> pa.Array:
     return rows.select("text").toArrow().column("text").combine_chunks()
 
 
-def split_sample(words: np.ndarray, counts: np.ndarray, kinds: int, seed: int = 11, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
-    """EM for a mixture of unigram experts over whole texts: log probabilities (words, EXPERTS) and log prior. Only the
-    common words count (the log of the others is 0), as a text's own rare words would tie it to where it began."""
-    rng = np.random.default_rng(seed)
-    n, text = len(counts), np.repeat(np.arange(len(counts)), counts)
-    r = rng.dirichlet(np.full(EXPERTS, 0.3), n)
-    times = np.bincount(words, minlength=kinds)
-    often = times >= UNCOMMON
-    text, words = text[often[words]], words[often[words]]
-    share = (times + 0.01)[:, None]
-    share = share / max(share.sum(), 1)
+def cells_of(t: Text) -> np.ndarray:
+    """The cell of each text: the signs of its words' sums of hashed signs."""
+    bits = np.arange(CELL_BITS, dtype=np.uint64)
+    signs = 1 - 2 * (common.mix64(t.ids)[:, None] >> bits & np.uint64(1)).astype(np.int32)
+    sums, full = np.zeros((len(t.counts), CELL_BITS), np.int64), np.flatnonzero(t.counts)
+    if len(full):
+        sums[full] = np.add.reduceat(signs, (np.cumsum(t.counts) - t.counts)[full], axis=0)
+    return ((sums > 0) << np.arange(CELL_BITS)).sum(1)
+
+
+def cells(docs: DataFrame) -> DataFrame:
+    """(key, n, c0, c1, ...): of words their number, in all and by the cell of their texts, and for the end the number of
+    words of any kind, and that of texts by cell. A run of at least MERGE_WORDS words, or all of a task, passes on what makes
+    up COMMON of it, so that each word that makes up COMMON of the corpus is passed on by some run."""
+    names = [f"c{k}" for k in range(CELLS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # words, their cells, the texts by cell
+
+        def counted(runs: int) -> pa.RecordBatch:
+            ids, cell = (np.concatenate(x) for x in list(zip(*held[:runs], strict=True))[:2])
+            own, inverse, n = np.unique(ids, return_inverse=True, return_counts=True)
+            often = n >= COMMON * len(ids)
+            place = np.cumsum(often) - 1
+            mine = often[inverse]
+            by = np.bincount(place[inverse[mine]] * CELLS + cell[mine], minlength=int(often.sum()) * CELLS).reshape(-1, CELLS)
+            by = np.vstack([by, sum(x for _, _, x in held[:runs])])
+            key, n = np.append(own[often], _END), np.append(n[often], len(ids))
+            del held[:runs]
+            return pa.RecordBatch.from_arrays([pa.array(common.signed(key)), pa.array(n), *(pa.array(np.ascontiguousarray(c)) for c in by.T)], names=["key", "n", *names])
+
+        for batch in batches:
+            for piece in common.slices(batch, "text", _SLICE):
+                t = Text(piece.column("text"))
+                cell = cells_of(t)
+                held.append((t.ids, cell[t.words.doc].astype(np.uint8), np.bincount(cell, minlength=CELLS)))
+                sizes = np.cumsum([len(x) for x, _, _ in held])
+                if sizes[-1] >= 2 * MERGE_WORDS:
+                    yield counted(int(np.searchsorted(sizes, MERGE_WORDS)) + 1)
+        if held:
+            yield counted(len(held))
+
+    rows = docs.select(common.null_as_empty("text").alias("text")).mapInArrow(run, "key long, n long, " + ", ".join(f"{c} long" for c in names))
+    return rows.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
+
+
+def _logs(found: np.ndarray, smooth: float = SMOOTH) -> np.ndarray:
+    """Log probabilities (words, EXPERTS) from the words' numbers by expert."""
+    share = found.sum(1, keepdims=True) + 0.01
+    return np.log((found + smooth * share / max(share.sum(), 1)) / (found.sum(0) + smooth)).astype(np.float32)
+
+
+def _prior(texts: np.ndarray) -> np.ndarray:
+    return np.log((texts + 1) / (texts.sum() + EXPERTS))
+
+
+def split_cells(found: np.ndarray, texts: np.ndarray, seed: int = 11, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """EM for a mixture of unigram experts over the mean texts of cells, from words' numbers (words, CELLS) and texts by
+    cell: log probabilities (words, EXPERTS) and log prior."""
+    r = np.random.default_rng(seed).dirichlet(np.full(EXPERTS, 0.3), CELLS)
+    means = found / np.maximum(texts, 1)
     for k in range(rounds + 1):
-        found = np.stack([np.bincount(words, r[text, e], kinds) for e in range(EXPERTS)], axis=1)
-        logs = np.where(often[:, None], np.log((found + SMOOTH * share) / (found.sum(0) + SMOOTH)), 0).astype(np.float32)
-        prior = np.log((r.sum(0) + 1) / (n + EXPERTS))
+        logs, prior = _logs(found @ r), _prior(texts @ r)
         if k < rounds:
-            total = np.stack([np.bincount(text, logs[words, e], n) for e in range(EXPERTS)], axis=1) + prior
-            r = np.exp(total - total.max(1, keepdims=True, initial=-np.inf))
+            total = means.T @ logs + prior
+            r = np.exp(total - total.max(1, keepdims=True))
             r /= r.sum(1, keepdims=True)
     return logs, prior
 
 
+def assigned(docs: DataFrame, known: Lookup, logs: np.ndarray, prior: np.ndarray) -> DataFrame:
+    """(place, n0, n1, ...): the number of each known word by the expert of its text; that of unknown ones and of texts in
+    the places behind. Within a task EM goes on: STEP words or so are assigned, then the experts move by RATE towards them.
+    Known words without log probabilities choose no expert."""
+    shared = docs.sparkSession.sparkContext.broadcast((known, np.vstack([logs, np.zeros((1, EXPERTS), logs.dtype)]), prior))
+    names = [f"n{k}" for k in range(EXPERTS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, logs, prior = shared.value
+        logs, none = logs.copy(), len(logs) - 1
+        found, active = np.zeros((none + 2, EXPERTS), np.int64), np.flatnonzero(logs.any(1))
+        words, texts = np.exp(logs[active]) * np.exp(prior) * (STEP / RATE), np.zeros(EXPERTS)
+        for batch in batches:
+            for piece in common.slices(batch, "text", _SLICE):
+                t = Text(piece.column("text"))
+                place = known.find(t.ids)
+                place[place < 0] = none
+                edges = np.concatenate([[0], np.cumsum(t.counts)])
+                i = 0
+                while i < len(t.counts):
+                    j = max(i + 1, int(np.searchsorted(edges, edges[i] + STEP, "right")) - 1)
+                    own, counts = place[edges[i] : edges[j]], t.counts[i:j]
+                    expert = best_experts(logs[own], counts, prior)
+                    new = np.bincount(own.astype(np.int64) * EXPERTS + np.repeat(expert, counts), minlength=(none + 1) * EXPERTS).reshape(-1, EXPERTS)
+                    texts += np.bincount(expert, minlength=EXPERTS)
+                    found[:-1] += new
+                    words += new[active] - RATE * words
+                    logs[active] = _logs(words)
+                    i = j
+        found[-1] = texts
+        there = np.flatnonzero(found.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(there), *(pa.array(np.ascontiguousarray(c)) for c in found[there].T)], names=["place", *names])
+
+    rows = docs.select(common.null_as_empty("text").alias("text")).mapInArrow(run, "place long, " + ", ".join(f"{c} long" for c in names))
+    return rows.groupBy("place").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def _got(df: DataFrame) -> dict[str, np.ndarray]:
+    return {c: x.to_numpy() for c, x in zip(df.columns, df.toArrow().combine_chunks().itercolumns(), strict=True)}
+
+
+def split(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the common words' hashes, their log probabilities by expert, log prior) from all documents."""
+    found = common.stash(cells(docs), "lm-cells", small=True)
+    end = found.where(F.col("key") == int(_END)).first()
+    if end is None:
+        return np.zeros(0, np.uint64), np.zeros((0, EXPERTS), np.float32), _prior(np.zeros(EXPERTS))
+    least = max(UNCOMMON, COMMON * end["n"])
+    words = found.where(F.col("key") != int(_END))
+    start = _got(words.where(F.col("n") >= least).orderBy("key"))  # 1 / COMMON rows at most
+    own = np.sort(_got(words.select("key"))["key"].view(np.uint64))
+    logs = np.zeros((len(own), EXPERTS), np.float32)
+    by_cell = np.stack([start[f"c{k}"] for k in range(CELLS)], axis=1).astype(np.float64)
+    logs[np.searchsorted(own, start["key"].view(np.uint64))], prior = split_cells(by_cell, np.array([end[f"c{k}"] for k in range(CELLS)], np.float64))
+    for _ in range(ROUNDS):
+        got = _got(assigned(docs, Lookup(own), logs, prior))
+        by = np.zeros((len(own) + 2, EXPERTS))
+        by[got["place"]] = np.stack([got[f"n{k}"] for k in range(EXPERTS)], axis=1)
+        often, texts = by[: len(own)].sum(1) >= least, by[-1]
+        own, by = own[often], by[: len(own)][often]
+        logs, prior = _logs(by), _prior(texts)
+    common.discard(found)
+    return own, logs, prior
+
+
 @dataclass
 class Corpus:
     """What the counts over all training documents come to."""
@@ -517,30 +672,101 @@ def _head(words: DataFrame) -> DataFrame:
     return words.where(step >= least)
 
 
+def taught(docs: DataFrame, model: Model, squares: np.ndarray, rate: float, turn: int) -> tuple[dict, np.ndarray, np.ndarray] | None:
+    """(layers, embeddings, AdaGrad's squares) of the gate after all documents, averaged over tasks: layers by the windows
+    that a task has gone over, an embedding by how often it changed there; None without documents."""
+    shared = docs.sparkSession.sparkContext.broadcast((model, squares))
+    layers, shapes = [k for k in model.gate.p if k != "emb"], {k: x.shape for k, x in model.gate.p.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, squares = shared.value
+        task = TaskContext.get().partitionId()
+        gate, state, rng = Gate(1, model.gate.p["b"]), {"emb": squares.copy()}, np.random.default_rng([3, turn, task])
+        gate.p = {k: x.copy() for k, x in model.gate.p.items()}
+        spelled, used, n = Spelled(len(model.table), len(squares), model.tokenizer_path), np.zeros(len(squares), np.int64), 0
+        for batch in batches:
+            for piece in common.slices(batch, "text", _SLICE):
+                flat, first, sizes, words, before, starts, given = model.lesson(Text(piece.column("text")), spelled)
+                used += learn(gate, state, flat, first, sizes, words, before, starts, given, rng, rate)
+                n += len(words)
+        if n:
+            ids = np.flatnonzero(used)
+            rows = np.column_stack([used[ids], state["emb"][ids], gate.p["emb"][ids]]).astype(np.float32)
+            cuts = np.unique(ids // _CHUNK, return_index=True)
+            parts = [(int(c), i, r) for c, i, r in zip(cuts[0], np.split(ids, cuts[1][1:]), np.split(rows, cuts[1][1:]), strict=True)]
+            parts.append((-1, np.array([n]), np.concatenate([gate.p[k].ravel() for k in layers])))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([c for c, _, _ in parts], pa.int32()), pa.array([task] * len(parts), pa.int32()), *(pa.array([x.astype(kind).tobytes() for x in column], pa.binary()) for column, kind in zip(list(zip(*parts, strict=True))[1:], ("<i4", "<f4"), strict=True))],
+                names=["chunk", "task", "ids", "rows"],
+            )
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, ids, rows in zip(batch.column("chunk").to_pylist(), batch.column("ids").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                ids, rows = np.frombuffer(ids, "<i4"), np.frombuffer(rows, "<f4").astype(np.float64)
+                if chunk < 0:
+                    n = float(ids[0])
+                    sums[chunk] = sums.get(chunk, 0.0) + np.append(n, rows * n)
+                    continue
+                rows = rows.reshape(len(ids), DIM + 2)
+                mine = sums.setdefault(chunk, np.zeros((_CHUNK, DIM + 2)))
+                mine[ids % _CHUNK, 0] += rows[:, 0]
+                mine[ids % _CHUNK, 1:] += rows[:, 1:] * rows[:, :1]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "sums"])
+
+    rows = docs.select(common.null_as_empty("text").alias("text")).mapInArrow(run, "chunk int, task int, ids binary, rows binary")
+    rows = rows.repartition("chunk").sortWithinPartitions("chunk", "task").select("chunk", "ids", "rows").mapInArrow(merged, "chunk int, sums binary")
+    found = {r["chunk"]: np.frombuffer(r["sums"]) for r in rows.collect()}  # a row for each chunk of pieces
+    shared.unpersist()
+    if not found:
+        return None
+    flat, at, out = found.pop(-1), 1, {}
+    for k in layers:
+        size = int(np.prod(shapes[k]))
+        out[k] = (flat[at : at + size] / flat[0]).reshape(shapes[k]).astype(np.float32)
+        at += size
+    emb, squares = model.gate.p["emb"].copy(), squares.copy()
+    for chunk, sums in found.items():
+        sums = sums.reshape(-1, DIM + 2)
+        mine = np.flatnonzero(sums[:, 0])
+        mean = sums[mine, 1:] / sums[mine, :1]
+        squares[chunk * _CHUNK + mine], emb[chunk * _CHUNK + mine] = mean[:, :1], mean[:, 1:]
+    return out, emb, squares
+
+
+def teach(docs: DataFrame, model: Model, tokens_: int) -> None:
+    """Trains the model's gate in place on all windows of all documents: in one pass, of which a part of the documents comes
+    first so that all tasks go on from one gate; where these are fewer than LEAST_WINDOWS, in up to PASSES passes."""
+    passes = min(PASSES, max(1, LEAST_WINDOWS * WINDOW // max(tokens_, 1)))
+    early = F.crc32(F.concat(F.lit("gate:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) % FIRST_PART == 0
+    squares = np.full((len(model.gate.p["emb"]), 1), 1e-8, np.float32)
+    for turn, part in enumerate([docs] * passes if passes > 1 else [docs.where(early), docs.where(~early)]):
+        made = taught(part, model, squares, 0.01 / (1 + turn), turn)
+        if made is not None:
+            layers, emb, squares = made
+            model.gate.p = model.gate.p | layers | {"emb": emb}
+
+
 def fit(docs: DataFrame, path: str) -> tuple[Model, Corpus, DataFrame]:
     """The model, and the table of all words' counts."""
-    spark = docs.sparkSession
-    t = Sample.of(sampled(docs), path)
-    logs, prior = split_sample(t.words, t.counts, len(t.own))
-    counts = common.stash(count(training(docs), Lookup(t.own), logs, prior, np.bincount(t.words, minlength=len(t.own)) >= UNCOMMON), "lm-counts")
+    rows = training(docs)
+    words, logs, prior = split(rows)
+    counts = common.stash(count(rows, Lookup(words), logs, prior), "lm-counts")
     corpus, unseen = _statistics(counts.where(F.col("kind") == _WORD))
-    got = lambda df: {c: x.to_numpy() for c, x in zip(df.columns, df.toArrow().combine_chunks().itercolumns(), strict=True)}
-    top = got(_head(counts.where(F.col("kind") == _WORD)).select("key", "n", "shares"))
+    top = _got(_head(counts.where(F.col("kind") == _WORD)).select("key", "n", "shares"))
     head = Lookup(top["key"].view(np.uint64))
     n = top["n"].astype(np.float64)
     table = corpus.share(n, unpack(top["shares"])).astype(np.float32)
-    kind = lambda k: got(counts.where(F.col("kind") == k).select("key", "n", "shares"))  # noqa: E731  at most 2**16, 2**24 and 2**(8 + CONTEXT_BITS) keys
+    kind = lambda k: _got(counts.where(F.col("kind") == k).select("key", "n", "shares"))  # noqa: E731  at most 2**16, 2**24 and 2**(8 + CONTEXT_BITS) keys
     firsts, first = kind(_FIRST), np.zeros((1 << 16, EXPERTS))
     first[firsts["key"]] = firsts["n"][:, None] * unpack(firsts["shares"])
     share = first.sum(1, keepdims=True) + 0.02
     first = unseen * (first + SMOOTH_FIRST * share / share.sum()) / (first.sum(0) + SMOOTH_FIRST)
-    far, near = ((x["key"].view(np.uint64), x["n"].astype(np.float64)) for x in map(kind, (_FAR, _NEAR)))
-    place, end = head.find(t.own), head.find(np.array([_END], np.uint64))
-    come = np.concatenate([np.where((place >= 0)[:, None], table[place] if len(table) else 0.0, first[t.first]), table[end] if end[0] >= 0 else first[[_STOP << 8]]]).astype(np.float32)
-    sequence, starts, before = sequences(t.words, t.counts, len(t.own))
-    pieces = tokens.encoder(path).n_vocab
-    gate = train_gate(pieces, prior, [*t.spelled, [pieces - 1]], before, starts, come, sequence)
-    model = Model(path, head, table, np.log10(n + 0.1), first.astype(np.float32), Speller(far, near), gate)
+    gate = Gate(tokens.encoder(path).n_vocab, prior)
+    model = Model(path, head, table, np.log10(n + 0.1), first.astype(np.float32), None, gate)
+    teach(rows, model, corpus.tokens)
+    model.speller = Speller(*((x["key"].view(np.uint64), x["n"].astype(np.float64)) for x in map(kind, (_FAR, _NEAR))))
     return model, corpus, counts
 
 

@@ -202,3 +202,30 @@ def test_model_beats_the_base_where_languages_mix(spark):
     rows = [(k, " ".join(rng.choice(tongues[k % 4], 80))) for k in range(400)]
     got = lm.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
+def test_no_model_count_or_threshold_comes_from_a_sample(spark, monkeypatch):
+    """Two documents in SAMPLE, or all: the scores are the same, as experts, common words and gate come from all documents."""
+    rng = np.random.default_rng(7)
+    tongues = [[f"{c}{k}{c}" for k in range(40)] for c in "abcd"]
+    docs = spark.createDataFrame([(k, " ".join(rng.choice(tongues[k % 4], 80))) for k in range(200)], "doc_id long, text string").coalesce(2).persist()
+    one = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    monkeypatch.setattr(lm, "SAMPLE", 2)
+    assert {r.doc_id: r.score for r in lm.score(docs).collect()} == pytest.approx(one, rel=1e-6)
+
+
+def test_common_words_are_counted_over_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(lm, "COMMON", 0.05)
+    rows = [(k, "often " * 30 + " ".join(f"w{k}x{j}" for j in range(20)) + (" seldom" * 9 if k == 3 else " nine" * (k < 9))) for k in range(40)]
+    words, logs, prior = lm.split(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert words.tolist() == lm.Text(pa.array(["often"])).ids.tolist()
+    assert np.exp(prior).sum() == pytest.approx(1) and logs.shape == (1, lm.EXPERTS)
+
+
+def test_the_gate_goes_over_every_word_of_every_document():
+    starts = np.array([0, 1, 65, 72, 400, 464])
+    begin, stop, own = lm.windows(starts, lm.WINDOW)
+    seen = np.zeros(464, int)
+    for b, s in zip(begin, stop, strict=True):
+        seen[b : min(b + lm.WINDOW, s)] += 1
+    assert (seen == 1).all() and (own == begin).all()
