@@ -45,10 +45,11 @@ ROUNDS, STEP, RATE = 1, 40_000, 0.1
 CELL_BITS = 6
 CELLS = 1 << CELL_BITS
 #: Windows that the gate learns from, repeats included: corpora of fewer are gone over again, PASSES times at most. In one
-#: pass, one document of FIRST_PART or so is learned from before the others.
-LEAST_WINDOWS, PASSES, FIRST_PART = 140_000, 3, 8
+#: pass, documents come in parts that end at these shares of the last number. Learning rates of the passes or parts.
+LEAST_WINDOWS, PASSES, PARTS = 140_000, 3, (1, 3, 6, 10)
+RATES = (0.01, 0.01, 0.005, 0.003)
 #: Pieces whose embeddings travel in one row.
-_CHUNK = 512
+_CHUNK = 32
 #: Counts of the whole corpus's distribution that each expert's starts from.
 SMOOTH, SMOOTH_FIRST = 1000.0, 300.0
 #: Bits of the hash of the four bytes before a byte; with two bytes they are taken as they are.
@@ -60,6 +61,8 @@ _FOLD = np.frombuffer(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91,
 _END, _STOP = np.uint64(1), 1
 _WORD, _FAR, _NEAR, _FIRST = range(4)  # kinds of what is counted
 _DEAD = 1e-30
+#: Pieces that are added for all words at once.
+_EACH = 16
 
 
 def training(docs: DataFrame) -> DataFrame:
@@ -363,13 +366,20 @@ def learn(gate: Gate, state: dict, flat: np.ndarray, first: np.ndarray, sizes: n
         read = before[at]
         row[read] = 1
         own = np.flatnonzero(row)
+        own = own[np.argsort(-sizes[own], kind="stable")]  # so that words with a k-th piece come first
         row[own] = np.arange(len(own))
         inverse = row[read]
         row[own] = 0
         n = sizes[own]
         ids = flat[np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         scale = n.astype(np.float32)[:, None] ** -0.5
-        vectors = np.add.reduceat(gate.p["emb"][ids], np.cumsum(n) - n, axis=0) * scale
+        vectors = gate.p["emb"][flat[first[own]]]
+        for k in range(1, min(int(n[0]), _EACH)):
+            m = int(np.searchsorted(-n, -k))
+            vectors[:m] += gate.p["emb"][flat[first[own[:m]] + k]]
+        for j in range(int(np.searchsorted(-n, -_EACH))):  # the rest of long words
+            vectors[j] += gate.p["emb"][flat[first[own[j]] + _EACH : first[own[j]] + n[j]]].sum(0)
+        vectors *= scale
         _, g, dx = gate.gradients(vectors[inverse], given[words[at]], inside)
         _, by_word = _sum_by(inverse.ravel(), dx.reshape(-1, DIM))
         pieces, grad = _sum_by(ids, np.repeat(by_word * scale, n, axis=0))
@@ -552,18 +562,22 @@ def _prior(texts: np.ndarray) -> np.ndarray:
     return np.log((texts + 1) / (texts.sum() + EXPERTS))
 
 
-def split_cells(found: np.ndarray, texts: np.ndarray, seed: int = 11, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
+def split_cells(found: np.ndarray, texts: np.ndarray, starts: int = 12, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """EM for a mixture of unigram experts over the mean texts of cells, from words' numbers (words, CELLS) and texts by
-    cell: log probabilities (words, EXPERTS) and log prior."""
-    r = np.random.default_rng(seed).dirichlet(np.full(EXPERTS, 0.3), CELLS)
-    means = found / np.maximum(texts, 1)
-    for k in range(rounds + 1):
-        logs, prior = _logs(found @ r), _prior(texts @ r)
-        if k < rounds:
+    cell: log probabilities (words, EXPERTS) and log prior, of several random starts the likeliest."""
+    means, best = found / np.maximum(texts, 1), (-np.inf, None, None)
+    for seed in range(starts):
+        r = np.random.default_rng(seed).dirichlet(np.full(EXPERTS, 0.3), CELLS)
+        for _ in range(rounds + 1):
+            logs, prior = _logs(found @ r), _prior(texts @ r)
             total = means.T @ logs + prior
-            r = np.exp(total - total.max(1, keepdims=True))
+            top = total.max(1, keepdims=True)
+            r = np.exp(total - top)
+            fit_ = float(texts @ (top[:, 0] + np.log(r.sum(1))))
             r /= r.sum(1, keepdims=True)
-    return logs, prior
+        if fit_ > best[0]:
+            best = fit_, logs, prior
+    return best[1], best[2]
 
 
 def assigned(docs: DataFrame, known: Lookup, logs: np.ndarray, prior: np.ndarray) -> DataFrame:
@@ -736,13 +750,13 @@ def taught(docs: DataFrame, model: Model, squares: np.ndarray, rate: float, turn
 
 
 def teach(docs: DataFrame, model: Model, tokens_: int) -> None:
-    """Trains the model's gate in place on all windows of all documents: in one pass, of which a part of the documents comes
-    first so that all tasks go on from one gate; where these are fewer than LEAST_WINDOWS, in up to PASSES passes."""
+    """Trains the model's gate in place on all words of all documents: in one pass, whose documents come in PARTS, so that
+    the tasks go on from one gate; where there are fewer than LEAST_WINDOWS, in up to PASSES passes."""
     passes = min(PASSES, max(1, LEAST_WINDOWS * WINDOW // max(tokens_, 1)))
-    early = F.crc32(F.concat(F.lit("gate:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) % FIRST_PART == 0
+    place = F.crc32(F.concat(F.lit("gate:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) % PARTS[-1]
     squares = np.full((len(model.gate.p["emb"]), 1), 1e-8, np.float32)
-    for turn, part in enumerate([docs] * passes if passes > 1 else [docs.where(early), docs.where(~early)]):
-        made = taught(part, model, squares, 0.01 / (1 + turn), turn)
+    for turn, part in enumerate([docs] * passes if passes > 1 else [docs.where((place >= a) & (place < b)) for a, b in zip((0, *PARTS), PARTS)]):  # noqa: B905
+        made = taught(part, model, squares, RATES[turn], turn)
         if made is not None:
             layers, emb, squares = made
             model.gate.p = model.gate.p | layers | {"emb": emb}

@@ -229,3 +229,18 @@ def test_the_gate_goes_over_every_word_of_every_document():
     for b, s in zip(begin, stop, strict=True):
         seen[b : min(b + lm.WINDOW, s)] += 1
     assert (seen == 1).all() and (own == begin).all()
+
+
+def test_learning_reads_a_word_as_the_sum_of_its_pieces(monkeypatch):
+    """One step of learn() from pieces, also of words with many, is that from their sums."""
+    rng, made = np.random.default_rng(8), []
+    sizes = np.array([1, 40, 3, 17, 16, 1])
+    first, flat = np.cumsum(sizes) - sizes, rng.integers(0, 50, sizes.sum())
+    gate = lm.Gate(50, np.zeros(lm.EXPERTS))
+    emb, real = gate.p["emb"].copy(), lm.Gate.gradients
+    monkeypatch.setattr(lm.Gate, "gradients", lambda self, v, *a: made.append(v) or real(self, v, *a))
+    before, given = np.array([5, 0, 1, 2, 3, 4]), rng.random((6, lm.EXPERTS)).astype(np.float32)
+    used = lm.learn(gate, {}, flat, first, sizes, np.arange(6), before, np.array([0, 6]), given, rng, 0.01)
+    want = np.array([emb[flat[a : a + n]].sum(0) / n**0.5 for a, n in zip(first[before], sizes[before], strict=True)])
+    assert np.allclose(made[0][0, :6], want, atol=1e-5)
+    assert (used > 0).tolist() == np.isin(np.arange(50), flat).tolist() and not np.allclose(gate.p["emb"][flat], emb[flat])
