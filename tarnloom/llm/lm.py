@@ -63,6 +63,8 @@ _WORD, _FAR, _NEAR, _FIRST = range(4)  # kinds of what is counted
 _DEAD = 1e-30
 #: Pieces that are added for all words at once.
 _EACH = 16
+#: Words that are encoded at once.
+_JOINED = 512
 
 
 def training(docs: DataFrame) -> DataFrame:
@@ -109,10 +111,23 @@ class Text:
         self.data, self.ids = _FOLD[data], self.words.hash >> np.uint64(3)
         self.counts = self.words.counts()
 
-    def spelled(self, at: np.ndarray, path: str) -> list[list[int]]:
-        """The subword ids of words."""
-        enc, raw = tokens.encoder(path), self.data.tobytes()
-        return [enc.encode_ordinary(" " + raw[i:j].decode("utf-8", "replace")) for i, j in zip(self.words.start[at].tolist(), self.words.end[at].tolist(), strict=True)]
+    def spelled(self, at: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+        """The subword ids of words, one after the other, and how many each has. Words are encoded _JOINED at once, as no id
+        crosses a space; those with white space of their own one by one."""
+        enc, leads, raw = tokens.encoder(path), tokens.leads(path), self.data.tobytes()
+        words = [raw[i:j] for i, j in zip(self.words.start[at].tolist(), self.words.end[at].tolist(), strict=True)]
+        ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(0, len(words), _JOINED):
+            some = words[k : k + _JOINED]
+            text = (b" " + b" ".join(some)).decode("utf-8", "replace")
+            found = enc.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.int64)
+            begin = np.flatnonzero(leads[found])
+            if len(begin) != len(some) or len(text.split()) != len(some):
+                each = [enc.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in some]
+                found, begin = np.array([i for x in each for i in x], np.int64), np.cumsum([0, *(len(x) for x in each[:-1])])
+            ids.append(found)
+            sizes.append(np.diff(begin, append=len(found)))
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def bytes_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of words: the first two bytes (a stop stands behind a word's last); then for each further byte, the stop
@@ -239,6 +254,11 @@ def unpack(shares: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(shares, "<i8").view(np.uint8).reshape(-1, EXPERTS) / 255
 
 
+def _over_experts(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, which stays; a product is faster than sum() for so few."""
+    return (x.reshape(-1, EXPERTS) @ np.ones((EXPERTS, 1), x.dtype)).reshape(*x.shape[:-1], 1)
+
+
 class Gate:
     """Causal attention of several heads with a residual; its output weighs the experts."""
 
@@ -257,27 +277,28 @@ class Gate:
         heads = [p["v"][:, h : h + size] @ (p["o"][h : h + size] @ p["u"]) for h in range(0, DIM, size)]
         return np.concatenate([p["q"] * size**-0.5, p["k"], *heads, p["u"]], axis=1).astype(p["q"].dtype, copy=False)
 
-    def forward(self, x: np.ndarray, folded: np.ndarray | None = None):
-        """x: (windows, WINDOW, DIM) vectors of what was read; (windows, WINDOW, EXPERTS) weights, and what backward needs."""
+    def forward(self, x: np.ndarray, folded: np.ndarray | None = None, skip: int = 0):
+        """x: (windows, WINDOW, DIM) vectors of what was read; (windows, WINDOW - skip, EXPERTS) weights of all words but the
+        first `skip`, which are only looked back at, and what backward needs."""
         size = DIM // HEADS
         w = self.folded() if folded is None else folded
         x = x + self.p["pos"]
         m = (x.reshape(-1, DIM) @ w).reshape(*x.shape[:2], -1)
-        z, heads = m[:, :, -EXPERTS:] + self.p["b"], []
+        z, heads = m[:, skip:, -EXPERTS:] + self.p["b"], []
         for h in range(HEADS):
-            q, k = (m[:, :, at : at + size] for at in (h * size, DIM + h * size))
+            q, k = m[:, skip:, h * size : (h + 1) * size], m[:, :, DIM + h * size : DIM + (h + 1) * size]
             v = np.ones((*x.shape[:2], EXPERTS + 1), x.dtype)  # a one behind them: the sum of the weights
             v[:, :, :EXPERTS] = m[:, :, 2 * DIM + h * EXPERTS : 2 * DIM + (h + 1) * EXPERTS]
             e = q @ k.transpose(0, 2, 1)
             np.exp(np.clip(e, -40, 40, out=e), out=e)  # a word sees itself, so no sum is empty
-            e *= self.past
+            e *= self.past[skip:]
             c = e @ v
             total = c[:, :, EXPERTS:]
             c = c[:, :, :EXPERTS] / total
             z += c
             heads.append((q, k, v, e, total, c))
         np.exp(np.clip(z, -30, 30, out=z), out=z)
-        z /= z.sum(2, keepdims=True)
+        z /= _over_experts(z)
         return z, (x, w, heads)
 
     def gradients(self, vectors: np.ndarray, given: np.ndarray, counted: np.ndarray) -> tuple[float, dict, np.ndarray]:
@@ -286,13 +307,13 @@ class Gate:
         p, size = self.p, DIM // HEADS
         z, (x, w, heads) = self.forward(vectors)
         mix = z * given
-        total = np.maximum(mix.sum(2, keepdims=True), _DEAD)
+        total = np.maximum(_over_experts(mix), _DEAD)
         n = max(counted.sum(), 1)
         dz = (mix / total - z) * (counted / n)[:, :, None]
         dm = np.empty((*x.shape[:2], w.shape[1]), x.dtype)
         dm[:, :, -EXPERTS:] = dz
         for h, (q, k, v, e, sums, c) in enumerate(heads):
-            by = np.concatenate([dz, -(dz * c).sum(2, keepdims=True)], axis=2) / sums
+            by = np.concatenate([dz, -_over_experts(dz * c)], axis=2) / sums
             ds = by @ v.transpose(0, 2, 1)
             ds *= e
             np.matmul(ds, k, out=dm[:, :, h * size : (h + 1) * size])
@@ -349,7 +370,19 @@ def _sum_by(groups: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     order = np.argsort(groups.astype(np.uint16) if len(groups) and groups.max() < 1 << 16 else groups, kind="stable")
     groups = groups[order]
     first = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])[: len(groups)])
-    return groups[first], np.add.reduceat(values[order], first, axis=0)
+    return groups[first], np.add.reduceat(values.take(order, axis=0), first, axis=0)
+
+
+def _of_pieces(emb: np.ndarray, flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the embeddings of each word's ids, flat[first : first + n]; the longest words come first."""
+    out = emb.take(flat[first], axis=0)
+    if len(n):
+        for k in range(1, min(int(n[0]), _EACH)):
+            m = int(np.searchsorted(-n, -k))
+            out[:m] += emb.take(flat[first[:m] + k], axis=0)
+        for j in range(int(np.searchsorted(-n, -_EACH))):  # the rest of long words
+            out[j] += emb[flat[first[j] + _EACH : first[j] + n[j]]].sum(0)
+    return out
 
 
 def learn(gate: Gate, state: dict, flat: np.ndarray, first: np.ndarray, sizes: np.ndarray, words: np.ndarray, before: np.ndarray, starts: np.ndarray, given: np.ndarray, rng: np.random.Generator, rate: float, batch: int = 128) -> np.ndarray:
@@ -373,14 +406,9 @@ def learn(gate: Gate, state: dict, flat: np.ndarray, first: np.ndarray, sizes: n
         n = sizes[own]
         ids = flat[np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         scale = n.astype(np.float32)[:, None] ** -0.5
-        vectors = gate.p["emb"][flat[first[own]]]
-        for k in range(1, min(int(n[0]), _EACH)):
-            m = int(np.searchsorted(-n, -k))
-            vectors[:m] += gate.p["emb"][flat[first[own[:m]] + k]]
-        for j in range(int(np.searchsorted(-n, -_EACH))):  # the rest of long words
-            vectors[j] += gate.p["emb"][flat[first[own[j]] + _EACH : first[own[j]] + n[j]]].sum(0)
+        vectors = _of_pieces(gate.p["emb"], flat, first[own], n)
         vectors *= scale
-        _, g, dx = gate.gradients(vectors[inverse], given[words[at]], inside)
+        _, g, dx = gate.gradients(vectors.take(inverse, axis=0), given.take(words[at], axis=0), inside)
         _, by_word = _sum_by(inverse.ravel(), dx.reshape(-1, DIM))
         pieces, grad = _sum_by(ids, np.repeat(by_word * scale, n, axis=0))
         gate.update(g, pieces, grad, state, rate)
@@ -400,9 +428,8 @@ class Spelled:
         new = np.flatnonzero(place >= 0)
         new = new[self.sizes[place[new]] == 0]
         odd = np.flatnonzero(place < 0)
-        found = t.spelled(at[np.concatenate([new, odd])], self.path)
-        n = np.array([len(s) for s in found], np.int64)
-        ids, begin, a = np.fromiter((i for s in found for i in s), np.int64, n.sum()), np.cumsum(n) - n, len(new)
+        ids, n = t.spelled(at[np.concatenate([new, odd])], self.path)
+        begin, a = np.cumsum(n) - n, len(new)
         kept = int(n[:a].sum())
         self.first[place[new]], self.sizes[place[new]] = len(self.flat) + begin[:a], n[:a]
         self.flat = np.concatenate([self.flat, ids[:kept]])
@@ -426,39 +453,49 @@ class Model:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_vectors"}
 
+    def distinct(self, t: Text, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the distinct words of texts, those of the head first, in its order: where each is, its place in the head or
+        -1; and the number of each word among them."""
+        known, odd = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+        there = np.full(len(self.table), -1)
+        there[place[known]] = known
+        heads = np.flatnonzero(there >= 0)
+        at = there[heads]
+        there[heads] = np.arange(len(heads))
+        own, first, inverse = np.unique(t.ids[odd], return_index=True, return_inverse=True)
+        numbers = np.empty(len(place), np.int64)
+        numbers[known], numbers[odd] = there[place[known]], len(heads) + inverse
+        return np.concatenate([at, odd[first]]), np.concatenate([heads, np.full(len(own), -1)]), numbers
+
     def vectors(self, t: Text, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(vectors, the row of each word among them): head words first, which a process spells once, then the end,
-        then the texts' other words."""
-        emb, n = self.gate.p["emb"], len(self.table)
+        """(vectors of the texts' distinct words and, last, of the end; the row of each word among them); a process
+        spells head words once."""
+        emb = self.gate.p["emb"]
         if "_vectors" not in self.__dict__:
-            self._vectors = np.zeros((n, DIM), np.float32), np.zeros(n, bool)
+            self._vectors = np.zeros((len(self.table), DIM), np.float32), np.zeros(len(self.table), bool)
         kept, made = self._vectors
-        words = np.where(place >= 0, place, 0).astype(np.int64)
-        first_at = np.full(n, -1)
-        new = np.flatnonzero(place >= 0)
-        new = new[~made[place[new]]]
-        first_at[place[new][::-1]] = new[::-1]
-        new = np.flatnonzero(first_at >= 0)
-        odd = np.flatnonzero(place < 0)
-        own, first, inverse = np.unique(t.ids[odd], return_index=True, return_inverse=True)
-        words[odd] = n + 1 + inverse
-        spelled = t.spelled(np.concatenate([first_at[new], odd[first]]), self.tokenizer_path)
-        sizes = np.array([len(s) for s in spelled], np.int64)
-        rows = np.add.reduceat(emb[np.fromiter((i for s in spelled for i in s), np.int64, sizes.sum())], np.cumsum(sizes) - sizes, axis=0) * sizes.astype(np.float32)[:, None] ** -0.5 if len(spelled) else np.zeros((0, DIM), np.float32)
+        at, heads, words = self.distinct(t, place)
+        a = int(np.searchsorted(heads < 0, True))
+        heads = heads[:a]
+        new = heads[~made[heads]]
+        ids, n = t.spelled(np.concatenate([at[:a][~made[heads]], at[a:]]), self.tokenizer_path)
+        first, order = np.cumsum(n) - n, np.argsort(-n, kind="stable")
+        rows, n = np.empty((len(n), DIM), np.float32), n[order]
+        rows[order] = _of_pieces(emb, ids, first[order], n) * n.astype(np.float32)[:, None] ** -0.5
         kept[new], made[new] = rows[: len(new)], True
-        return np.concatenate([kept, emb[-1:], rows[len(new) :]]), words
+        return np.concatenate([kept.take(heads, axis=0), rows[len(new) :], emb[-1:]]), words
 
     def lesson(self, t: Text, spelled: Spelled) -> tuple[np.ndarray, ...]:
         """Of texts what learn() wants: subword ids with their starts and numbers by word, the words that come, what has
         been read before each, where texts start, and what each expert gives a word. Words that are not broadcast count as
         unseen ones here."""
-        own, at, inverse = np.unique(t.ids, return_index=True, return_inverse=True)
-        place, end = self.head.find(own), self.head.find(np.array([_END], np.uint64))[0]
+        at, place, numbers = self.distinct(t, self.head.find(t.ids))
+        end = self.head.find(np.array([_END], np.uint64))[0]
         flat, first, sizes = spelled.of(t, at, place)
-        given = np.empty((len(own) + 1, EXPERTS), np.float32)
+        given = np.empty((len(at) + 1, EXPERTS), np.float32)
         given[:-1][place >= 0], given[:-1][place < 0] = self.table[place[place >= 0]], self.first[t.bytes_of(at[place < 0])[0]]
         given[-1] = self.table[end] if end >= 0 else self.first[_STOP << 8]
-        words, starts, before = sequences(inverse, t.counts, len(own))
+        words, starts, before = sequences(numbers, t.counts, len(at))
         return flat, first, sizes, words, before, starts, given
 
     def score(self, t: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -466,21 +503,24 @@ class Model:
         experts in 255ths, and log10 of the probability that an unseen word comes and is spelled like that."""
         place = self.head.find(t.ids)
         rows, words = self.vectors(t, place)
-        _, starts, before = sequences(words, t.counts, len(self.table))
+        _, starts, before = sequences(words, t.counts, len(rows) - 1)
         come, _, _ = sequences(place.astype(np.int64), t.counts, int(self.head.find(np.array([_END], np.uint64))[0]))
         odd_at = np.flatnonzero(come < 0)
         value, z_odd, folded = np.zeros(len(come)), np.zeros((len(odd_at), EXPERTS), np.float32), self.gate.folded()
         begin, stop, own = windows(starts)
         steps = np.arange(WINDOW)
-        for a in range(0, len(begin), 128):
-            at = begin[a : a + 128, None] + steps
-            scored = (at < stop[a : a + 128, None]) & (at >= own[a : a + 128, None])
-            z, _ = self.gate.forward(rows[before[np.minimum(at, len(before) - 1)]], folded)
-            z, at = z[scored], at[scored]
-            what = come[at]
-            head = what >= 0
-            value[at[head]] = np.log10(np.maximum(np.einsum("ne,ne->n", z[head], self.table[what[head]]), _DEAD))
-            z_odd[np.searchsorted(odd_at, at[~head])] = z[~head]
+        for skip in (0, WINDOW - STRIDE):  # a text's first window scores all its words, a later one what the one before has not
+            mine = np.flatnonzero(own - begin == skip)
+            for a in range(0, len(mine), 128):
+                some = mine[a : a + 128]
+                at = begin[some, None] + steps
+                z, _ = self.gate.forward(rows.take(before[np.minimum(at, len(before) - 1)], axis=0), folded, skip)
+                scored = at[:, skip:] < stop[some, None]
+                z, at = z[scored], at[:, skip:][scored]
+                what = come[at]
+                head = what >= 0
+                value[at[head]] = np.log10(np.maximum(_over_experts(z[head] * self.table.take(what[head], axis=0))[:, 0], _DEAD))
+                z_odd[np.searchsorted(odd_at, at[~head])] = z[~head]
         text = np.repeat(np.arange(len(t.counts)), t.counts + 1)[odd_at]
         odd = odd_at - text  # among the words, as one end stands behind each text before
         end = odd_at == starts[1:][text] - 1
@@ -527,13 +567,14 @@ def cells(docs: DataFrame) -> DataFrame:
 
         def counted(runs: int) -> pa.RecordBatch:
             ids, cell = (np.concatenate(x) for x in list(zip(*held[:runs], strict=True))[:2])
-            own, inverse, n = np.unique(ids, return_inverse=True, return_counts=True)
+            own, n = np.unique(ids, return_counts=True)
             often = n >= COMMON * len(ids)
-            place = np.cumsum(often) - 1
-            mine = often[inverse]
-            by = np.bincount(place[inverse[mine]] * CELLS + cell[mine], minlength=int(often.sum()) * CELLS).reshape(-1, CELLS)
+            own, n = own[often], n[often]
+            place = Lookup(own).find(ids)
+            mine = np.flatnonzero(place >= 0)
+            by = np.bincount(place[mine].astype(np.int64) * CELLS + cell[mine], minlength=len(own) * CELLS).reshape(-1, CELLS)
             by = np.vstack([by, sum(x for _, _, x in held[:runs])])
-            key, n = np.append(own[often], _END), np.append(n[often], len(ids))
+            key, n = np.append(own, _END), np.append(n, len(ids))
             del held[:runs]
             return pa.RecordBatch.from_arrays([pa.array(common.signed(key)), pa.array(n), *(pa.array(np.ascontiguousarray(c)) for c in by.T)], names=["key", "n", *names])
 

@@ -38,6 +38,15 @@ def encoder(path: str):
     return tiktoken.Encoding("byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=2)
+def leads(path: str) -> np.ndarray:
+    """By id, whether its bytes begin with a space."""
+    enc, out = encoder(path), np.zeros(encoder(path).n_vocab, bool)
+    for token in enc.token_byte_values():
+        out[enc.encode_single_token(token)] = token[:1] == b" "
+    return out
+
+
 def ids_of(path: str, text: str) -> np.ndarray:
     """uint32 ids of one text."""
     return np.asarray(encoder(path).encode_to_numpy(text, allowed_special="all"), np.uint32)

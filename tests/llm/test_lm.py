@@ -244,3 +244,21 @@ def test_learning_reads_a_word_as_the_sum_of_its_pieces(monkeypatch):
     want = np.array([emb[flat[a : a + n]].sum(0) / n**0.5 for a, n in zip(first[before], sizes[before], strict=True)])
     assert np.allclose(made[0][0, :6], want, atol=1e-5)
     assert (used > 0).tolist() == np.isin(np.arange(50), flat).tolist() and not np.allclose(gate.p["emb"][flat], emb[flat])
+
+
+def test_words_spelled_together_have_the_ids_of_words_alone(monkeypatch):
+    """Also beside words with white space of their own, and where runs end."""
+    monkeypatch.setattr(lm, "_JOINED", 7)
+    words = ["a", "thé", "'s", "don't", "12,5", "x y", "　", "--", "日本語", "\x1c", "e ", "b", "\U0001f600", "<|endoftext|>", "c" * 300, "z\u0085", "ok", " ", "end", "é", "x1", "it's"] * 3
+    t, path = lm.Text(pa.array([" ".join(words), "", "one two"])), tokens.default_path()
+    words += ["one", "two"]
+    ids, sizes = t.spelled(np.arange(len(words)), path)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [tokens.encoder(path).encode_ordinary(" " + w) for w in words]
+    assert [len(x) for x in t.spelled(np.zeros(0, np.int64), path)] == [0, 0]
+
+
+def test_later_windows_weigh_only_the_words_that_they_score():
+    gate, skip = lm.Gate(100, np.zeros(lm.EXPERTS)), lm.WINDOW - lm.STRIDE
+    x = np.random.default_rng(1).normal(size=(3, lm.WINDOW, lm.DIM)).astype(np.float32)
+    some = gate.forward(x, skip=skip)[0]
+    assert some.shape == (3, lm.STRIDE, lm.EXPERTS) and np.allclose(some, gate.forward(x)[0][:, skip:], atol=1e-6)
