@@ -38,26 +38,43 @@ PRIOR, LEAST_STEPS = 5.0, 1200
 #: Rows of zeros after each text; windows that begin behind the first of them are no windows.
 _GAP = max(WIDTHS)
 _SLICE = 1 << 20
+#: Where each table begins among the rows of all, and the buckets of a gap.
+_FIRST = np.arange(TABLES, dtype=np.int32) * (BUCKETS + 1)
+_NONE = np.full((1, TABLES), BUCKETS, np.int32)
 
 
-def hashed(words: common.Words) -> np.ndarray:
-    """(words, TABLES) bucket numbers."""
-    out = np.empty((len(words.hash), TABLES), np.int32)
-    for t, h in enumerate((words.hash, words.hash >> np.uint64(30), words.affix(STEM, True), words.affix(LONG_STEM, True), words.affix(ENDING, False))):
+def hashed(words: common.Words, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """(words, TABLES) bucket numbers of all words or those at some places."""
+    own = words.hash[at]
+    out = np.empty((len(own), TABLES), np.int32)
+    for t, h in enumerate((own, own >> np.uint64(30), words.affix(STEM, True, at), words.affix(LONG_STEM, True, at), words.affix(ENDING, False, at))):
         out[:, t] = (h & np.uint64(BUCKETS - 1)).astype(np.int32)
     return out
 
 
-def buckets_of(words: common.Words) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, TABLES) bucket numbers with _GAP rows of -1 after each text, and where each text starts."""
+def distinct(words: common.Words, texts: slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a run of words the distinct hashes in order, their bucket numbers, and the number of each word among them."""
+    own, numbers = np.unique(words.hash[texts], return_inverse=True)
+    at = np.empty(len(own), np.int64)
+    at[numbers] = np.arange(len(numbers)) + (texts.start or 0)
+    return own, hashed(words, at), numbers
+
+
+def spread(words: common.Words, values: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """The values of words with _GAP rows of gaps after each text, and where each text starts."""
     counts = words.counts()
     starts = np.zeros(words.n_docs, np.int64)
     starts[1:] = np.cumsum(counts + _GAP)[:-1]
-    out = np.full((int(counts.sum()) + _GAP * words.n_docs, TABLES), -1, np.int32)
-    out[np.arange(len(words.hash)) + _GAP * words.doc] = hashed(words)
+    out = np.full((int(counts.sum()) + _GAP * words.n_docs, *values.shape[1:]), gap, values.dtype)
+    out[np.arange(len(words.hash)) + _GAP * words.doc] = values
     return out, starts
 
 
+def buckets_of(words: common.Words) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, TABLES) bucket numbers with _GAP rows of zeros' buckets after each text, and where each text starts."""
+    return spread(words, hashed(words), BUCKETS)
+
+
 @dataclass
 class Network:
     tables: np.ndarray = None  # (TABLES, BUCKETS + 1, PART); the last row is zero, for the gaps
@@ -82,34 +99,33 @@ class Network:
             for t, (used, rows) in enumerate(parts):
                 self.tables[t, used] = rows
 
-    def embed(self, rows: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.tables[t][rows[:, t]] for t in range(TABLES)], axis=1)
-
-    def maxima(self, x: np.ndarray, starts: np.ndarray, where: bool = False):
-        """(texts, widths * FILTERS) maxima of the filters, and the rows they come from."""
-        n, best, rows = len(x), [], []
-        ends = np.append(starts[1:], n)
-        for f, b in zip(self.filters, self.bias, strict=True):
-            y = x @ f[0]
-            for k in range(1, len(f)):
-                y[: n - k] += x[k:] @ f[k]
-            for k in range(1, _GAP):
-                y[ends - k] = -np.inf
-            top = np.maximum.reduceat(y, starts, axis=0)
-            best.append(top + b)
-            if where:
-                doc = np.repeat(np.arange(len(starts)), ends - starts)
-                at = np.full(top.shape, n, np.int64)
-                hit, col = np.nonzero(y == top[doc])
-                np.minimum.at(at, (doc[hit], col), hit)
-                rows.append(at)
-        return np.concatenate(best, axis=1), rows
+    def embed(self, buckets: np.ndarray) -> np.ndarray:
+        """(words, TABLES * PART) joined rows of the tables; bucket BUCKETS is zero."""
+        return self.tables.reshape(-1, PART).take(buckets + _FIRST, axis=0).reshape(len(buckets), TABLES * PART)
+
+    def maxima(self, x: np.ndarray, rows: np.ndarray, starts: np.ndarray, where: bool = False):
+        """(texts, widths * FILTERS) maxima of the filters, and the rows they come from. x: vectors of distinct words, to which
+        the filters are applied once each; rows: the words of the texts by their number in x, gaps by that of a zero."""
+        n, ends = len(rows), np.append(starts[1:], len(rows))
+        y = (x @ np.concatenate([f[0] for f in self.filters], axis=1)).take(rows, axis=0)
+        for k in range(1, _GAP):
+            wide = [f[k] for f in self.filters if len(f) > k]  # the last ones, as widths rise
+            y[: n - k, -len(wide) * FILTERS :] += (x @ np.concatenate(wide, axis=1)).take(rows[k:], axis=0)
+            y[ends - k] = -np.inf
+        top = np.maximum.reduceat(y, starts, axis=0)
+        at = None
+        if where:
+            at = np.full(top.shape, n, np.int64)
+            hit, col = np.divmod(np.flatnonzero(y == np.repeat(top, ends - starts, axis=0)), top.shape[1])
+            np.minimum.at(at, (np.searchsorted(starts, hit, "right") - 1, col), hit)
+        return top + np.concatenate(self.bias), at
 
     def score(self, words: common.Words) -> np.ndarray:
         if self.constant is not None:
             return np.full(words.n_docs, self.constant)
-        rows, starts = buckets_of(words)
-        best, _ = self.maxima(self.embed(rows), starts)
+        _, buckets, numbers = distinct(words)
+        rows, starts = spread(words, numbers, len(buckets))
+        best, _ = self.maxima(self.embed(np.append(buckets, _NONE, axis=0)), rows, starts)
         return 1 / (1 + np.exp(-np.clip(np.maximum(best, 0).astype(np.float64) @ self.out + self.out_bias, -30, 30)))
 
 
@@ -145,19 +161,26 @@ def start(keys: np.ndarray, odds: np.ndarray, seed: int = 7) -> tuple[Network, n
 
 
 def learn(net: Network, squares: np.ndarray, rng: np.random.Generator, vocabulary: np.ndarray, texts: list[np.ndarray], labels: np.ndarray, epochs: int, batch: int = 12, rate: float = 0.02) -> np.ndarray:
-    """Trains net in place; texts: the words of each as rows of the vocabulary, which holds their buckets. Adam for
-    filters, AdaGrad for the embedding rows that occur; gives the keys of those that it has changed."""
-    changed = np.zeros((TABLES, BUCKETS), bool)
+    """Trains net in place; texts: the words of each as rows of the vocabulary, which holds their buckets and,
+    last, a gap's. Adam for filters, AdaGrad for the embedding rows that occur; gives the keys of those that it has changed."""
+    changed, tables, squares = np.zeros((TABLES, BUCKETS + 1), bool), net.tables.reshape(-1, PART), squares.reshape(-1, 1)
+    flags = changed.reshape(-1)
     params = [*net.filters, *net.bias]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params] + [(np.zeros_like(net.out), np.zeros_like(net.out)), (np.zeros(1), np.zeros(1))]
-    step, gap = 0, np.full((_GAP, TABLES), -1, np.int32)
+    step, gap = 0, np.full(_GAP, len(vocabulary) - 1, np.int32)
+    there, numbers = np.zeros(len(vocabulary), bool), np.zeros(len(vocabulary), np.int64)
     for _ in range(epochs):
         order = rng.permutation(len(labels))
         for chosen in _batches(order, texts, batch):
-            rows = np.concatenate([p for i in chosen for p in (vocabulary[texts[i]], gap)])
+            read = np.concatenate([p for i in chosen for p in (texts[i], gap)])
+            there[read] = True
+            own = np.flatnonzero(there)  # the gap is the last
+            there[own] = False
+            numbers[own] = np.arange(len(own))
+            rows, buckets = numbers[read], vocabulary[own]
             starts = np.cumsum([0, *(len(texts[i]) + _GAP for i in chosen[:-1])])
-            x = net.embed(rows)
-            best, at = net.maxima(x, starts, where=True)
+            x = net.embed(buckets)
+            best, at = net.maxima(x, rows, starts, where=True)
             active = best > 0
             hidden = np.where(active, best, 0).astype(np.float64)
             p = 1 / (1 + np.exp(-np.clip(hidden @ net.out + net.out_bias, -30, 30)))
@@ -165,15 +188,15 @@ def learn(net: Network, squares: np.ndarray, rng: np.random.Generator, vocabular
             grads_out = [hidden.T @ error + 1e-4 * net.out, np.array([error.sum()])]
             back = (error[:, None] * net.out[None, :] * active).astype(np.float32)
             grads, grads_bias, hit, change = [], [], [], []
-            for w, (f, where) in enumerate(zip(net.filters, at, strict=True)):
-                g, df = back[:, w * FILTERS : (w + 1) * FILTERS], np.zeros_like(f)
+            for w, f in enumerate(net.filters):
+                g, where, df = back[:, w * FILTERS : (w + 1) * FILTERS], at[:, w * FILTERS : (w + 1) * FILTERS], np.zeros_like(f)
                 for k in range(len(f)):
-                    inside = where + k < len(x)
-                    row = np.minimum(where + k, len(x) - 1)
+                    inside = where + k < len(rows)
+                    row = np.minimum(where + k, len(rows) - 1)
                     gk = g * inside
-                    df[k] = np.einsum("bfd,bf->df", x[row], gk)
+                    df[k] = np.einsum("bfd,bf->df", x[rows[row]], gk)
                     text, filter_ = np.nonzero(gk)
-                    hit.append(row[text, filter_])
+                    hit.append(rows[row[text, filter_]])
                     change.append(gk[text, filter_, None] * f[k].T[filter_])
                 grads.append(df)
                 grads_bias.append(g.sum(0))
@@ -189,16 +212,14 @@ def learn(net: Network, squares: np.ndarray, rng: np.random.Generator, vocabular
             used, place = np.unique(np.concatenate(hit), return_inverse=True)
             dx = np.zeros((len(used), x.shape[1]), np.float32)
             np.add.at(dx, place, np.concatenate(change))
-            for t in range(TABLES):
-                ids = rows[used, t]
-                real = ids >= 0
-                own, inverse = np.unique(ids[real], return_inverse=True)
-                g = np.zeros((len(own), PART), np.float32)
-                np.add.at(g, inverse, dx[real, t * PART : (t + 1) * PART])
-                squares[t, own] += (g * g).mean(1, keepdims=True)
-                net.tables[t, own] -= rate * 5 * g / np.sqrt(squares[t, own])
-                changed[t, own] = True
-    return np.flatnonzero(changed)
+            real = used < len(own) - 1
+            keys, inverse = np.unique(buckets[used[real]] + _FIRST, return_inverse=True)
+            g = np.zeros((len(keys), PART), np.float32)
+            np.add.at(g, inverse.ravel(), dx[real].reshape(-1, PART))
+            squares[keys] += (g * g).mean(1, keepdims=True)
+            tables[keys] -= rate * 5 * g / np.sqrt(squares[keys])
+            flags[keys] = True
+    return np.flatnonzero(changed[:, :-1])
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -216,35 +237,39 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, list[np.ndarray], np.ndarray]]:
-    """(shard, part, vocabulary, texts, labels) from a task's rows, the shards one after the other; a shard of more than
-    SHARD_WORDS words comes in parts."""
+    """(shard, part, vocabulary and a gap, texts, labels) from a task's rows, the shards one after the other; a shard of more
+    than SHARD_WORDS words comes in parts. The vocabulary is in the order of its hashes, wherever batches end."""
     shard, part, held = None, 0, 0
-    places: dict[int, int] = {}
-    vocabulary, texts, labels = [np.zeros((0, TABLES), np.int32)], [], []
+    runs: list[tuple[np.ndarray, ...]] = []  # distinct hashes, their buckets, words by their numbers, where texts end
+    labels: list[int] = []
 
     def done():
-        return shard, part, np.concatenate(vocabulary), texts, np.array(labels, np.float64)
+        hashes, buckets, numbers, ends = zip(*runs, strict=True)
+        _, first, places = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        places, texts, at = places.astype(np.int32), [], 0
+        for own, words, last in zip(hashes, numbers, ends, strict=True):
+            texts += np.split(places[at : at + len(own)][words], last[:-1])
+            at += len(own)
+        return shard, part, np.concatenate([np.concatenate(buckets)[first], _NONE]), texts, np.array(labels, np.float64)
 
     for batch in batches:
         for piece in common.slices(batch, "text", _SLICE):
             words = common.Words(*common.text_buffers(piece.column("text")), within=common.LETTERS)
-            own, at, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-            own, buckets, edges = own.tolist(), hashed(words)[at], np.concatenate([[0], np.cumsum(words.counts())])
-            for k, (number, toxic) in enumerate(zip(piece.column("_shard").to_pylist(), piece.column("_toxic").to_pylist(), strict=True)):
-                size = int(edges[k + 1] - edges[k])
-                if texts and (number != shard or held + size > SHARD_WORDS):
+            edges, numbers, toxic = np.concatenate([[0], np.cumsum(words.counts())]), piece.column("_shard").to_pylist(), piece.column("_toxic").to_pylist()
+            i = 0
+            while i < len(numbers):
+                if labels and (numbers[i] != shard or held + edges[i + 1] - edges[i] > SHARD_WORDS):
                     yield done()
-                    part = part + 1 if number == shard else 0
-                    places, vocabulary, texts, labels, held = {}, [np.zeros((0, TABLES), np.int32)], [], [], 0
-                shard = number
-                mine, back = np.unique(inverse[edges[k] : edges[k + 1]], return_inverse=True)
-                known = len(places)
-                ids = np.array([places.setdefault(own[i], len(places)) for i in mine.tolist()], np.int32)
-                vocabulary.append(buckets[mine[ids >= known]])
-                texts.append(ids[back])
-                labels.append(toxic)
-                held += size
-    if texts:
+                    part = part + 1 if numbers[i] == shard else 0
+                    runs, labels, held = [], [], 0
+                shard, j = numbers[i], i + 1
+                while j < len(numbers) and numbers[j] == shard and held + edges[j + 1] - edges[i] <= SHARD_WORDS:
+                    j += 1
+                own, buckets, places = distinct(words, slice(int(edges[i]), int(edges[j])))
+                runs.append((own, buckets, places.astype(np.int32), edges[i + 1 : j + 1] - edges[i]))
+                labels += toxic[i:j]
+                held, i = held + int(edges[j] - edges[i]), j
+    if labels:
         yield done()
 
 
@@ -253,13 +278,15 @@ def _counts(rows: DataFrame) -> dict[str, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((4, TABLES * BUCKETS), np.int32)
+        flat = counts.reshape(-1)
         for batch in batches:
             for piece in common.slices(batch, "text", _SLICE):
                 words = common.Words(*common.text_buffers(piece.column("text")), within=common.LETTERS)
-                buckets, edges = hashed(words) + np.arange(TABLES, dtype=np.int32) * BUCKETS, np.concatenate([[0], np.cumsum(words.counts())])
-                kinds = [2 * int(t) + int(left) for t, left in zip(piece.column("_toxic").to_pylist(), piece.column("_left").to_pylist(), strict=True)]
-                for k, kind in enumerate(kinds):
-                    counts[kind, np.unique(buckets[edges[k] : edges[k + 1]])] += 1
+                kinds = np.array([2 * int(t) + int(left) for t, left in zip(piece.column("_toxic").to_pylist(), piece.column("_left").to_pylist(), strict=True)], np.int64)
+                _, buckets, numbers = distinct(words)
+                pairs = np.unique(words.doc << 32 | numbers)  # text and word, then text and key
+                pairs = np.unique((pairs >> 32 << 32)[:, None] | (buckets + np.arange(TABLES) * BUCKETS)[pairs & 0xFFFFFFFF])
+                np.add.at(flat, kinds[pairs >> 32] * (TABLES * BUCKETS) + (pairs & 0xFFFFFFFF), 1)
         key = np.flatnonzero(counts.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[key].astype(np.int64)) for c in counts)], names=["key", *_KINDS])
 

@@ -105,3 +105,42 @@ def test_thresholds_make_the_fewest_errors():
     assert toxicity._threshold([(0.1, 9, 0), (0.4, 3, 1), (0.5, 0, 9)]) == pytest.approx(0.45)
     assert toxicity._threshold([(0.1, 9, 0), (0.9, 0, 9)]) == toxicity.THRESHOLD
     assert toxicity._threshold([(0.1, 9, 0), (0.4, 0, 4)]) == toxicity.THRESHOLD
+
+
+def test_each_distinct_word_is_embedded_once(monkeypatch):
+    """The work of a slice goes by its distinct words; before, each occurrence was embedded and filtered."""
+    net, _, _ = toxicity.start(np.zeros(0, np.int64), np.zeros(0))
+    sizes, embed = [], toxicity.Network.embed
+    monkeypatch.setattr(toxicity.Network, "embed", lambda self, buckets: sizes.append(len(buckets)) or embed(self, buckets))
+    score = lambda texts: net.score(common.Words(*common.text_buffers(pa.array(texts)), within=common.LETTERS))
+    texts = ["kind " * 500 + "vile", "", "vile kind vile", " 12 ", "plain"]
+    together = score(texts)
+    assert sizes == [4]  # three words and the gap
+    assert together == pytest.approx([score([t])[0] for t in texts], abs=1e-6)
+
+
+def test_shards_are_the_same_wherever_batches_end(monkeypatch):
+    monkeypatch.setattr(toxicity, "SHARD_WORDS", 40)
+    rng = np.random.default_rng(5)
+    rows = pa.RecordBatch.from_pydict({"_shard": sorted(rng.integers(0, 3, 50).tolist()), "_toxic": rng.integers(0, 2, 50).tolist(), "text": [" ".join(rng.choice(["vile", "kind", "x", "wordy"], n)) for n in rng.integers(0, 30, 50)]})
+    whole, cut = (list(toxicity._shards(iter(b))) for b in ([rows], [rows.slice(k, 7) for k in range(0, 50, 7)]))
+    assert len(whole) == len(cut) > 3
+    for (shard, part, vocabulary, texts, labels), other in zip(whole, cut, strict=True):
+        assert (shard, part, labels.tolist()) == (other[0], other[1], other[4].tolist()) and sum(map(len, texts)) <= 40
+        assert np.array_equal(vocabulary, other[2]) and all(np.array_equal(a, b) for a, b in zip(texts, other[3], strict=True))
+        assert (vocabulary[-1] == toxicity.BUCKETS).all()
+    words = [common.Words(*common.text_buffers(pa.array([t])), within=common.LETTERS) for t in rows["text"].to_pylist()]
+    made = [x[2][t] for x in whole for t in x[3]]
+    assert all(np.array_equal(a, toxicity.hashed(w)) for a, w in zip(made, words, strict=True))
+
+
+def test_counts_are_numbers_of_texts(spark):
+    texts = ["vile vile kind", "kind", "", "vile kind x", "x x"]
+    rows = spark.createDataFrame([(k % 2, k == 3, t) for k, t in enumerate(texts)], "_toxic int, _left boolean, text string")
+    want = {}
+    for k, t in enumerate(texts):
+        buckets = toxicity.hashed(common.Words(*common.text_buffers(pa.array([t])), within=common.LETTERS))
+        for key in {int(b) + i * toxicity.BUCKETS for row in buckets for i, b in enumerate(row)}:
+            want.setdefault(key, [0] * 4)[2 * (k % 2) + (k == 3)] += 1
+    got = toxicity._counts(rows)
+    assert {k: list(v) for k, *v in zip(*(got[c].tolist() for c in ("key", *toxicity._KINDS)), strict=True)} == want
