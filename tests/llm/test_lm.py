@@ -262,3 +262,13 @@ def test_later_windows_weigh_only_the_words_that_they_score():
     x = np.random.default_rng(1).normal(size=(3, lm.WINDOW, lm.DIM)).astype(np.float32)
     some = gate.forward(x, skip=skip)[0]
     assert some.shape == (3, lm.STRIDE, lm.EXPERTS) and np.allclose(some, gate.forward(x)[0][:, skip:], atol=1e-6)
+
+
+def test_rows_are_summed_by_group():
+    rng = np.random.default_rng(9)
+    for groups in (rng.integers(0, 40, 300), rng.integers(0, 40, 300) + (1 << 20), np.zeros(0, np.int64)):
+        values = rng.normal(size=(len(groups), lm.DIM)).astype(np.float32)
+        own, sums = lm._sum_by(groups, values)
+        want = [values[groups == g].sum(0) for g in np.unique(groups)]
+        assert own.tolist() == np.unique(groups).tolist() and sums.dtype == np.float32
+        assert np.allclose(sums, np.reshape(want, (-1, lm.DIM)), atol=1e-5)
