@@ -19,6 +19,7 @@ change it, and goes out again.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -57,7 +58,8 @@ CONTEXT_BITS = 18
 #: Words, with repeats between slices, that a task holds before it merges them.
 MERGE_WORDS = 2_000_000
 _SLICE = 2 << 20
-_FOLD = np.frombuffer(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)), np.uint8)
+#: Of a number of eight bytes, the last 1, 2, ... 5.
+_LAST = np.array([(1 << 8 * k) - 1 for k in range(1, 6)], np.uint64)
 _END, _STOP = np.uint64(1), 1
 _WORD, _FAR, _NEAR, _FIRST = range(4)  # kinds of what is counted
 _DEAD = 1e-30
@@ -65,6 +67,8 @@ _DEAD = 1e-30
 _EACH = 16
 #: Words that are encoded at once.
 _JOINED = 512
+#: Windows that are computed at once, so that what they make stays in the processor's cache.
+_SIDE = 32
 
 
 def training(docs: DataFrame) -> DataFrame:
@@ -108,42 +112,50 @@ class Text:
     def __init__(self, texts: pa.Array):
         data, offsets = common.text_buffers(texts)
         self.words = common.Words(data, offsets)
-        self.data, self.ids = _FOLD[data], self.words.hash >> np.uint64(3)
+        self.data = data | (data - np.uint8(65) < 26).view(np.uint8) << 5  # A-Z folded
+        self.ids = self.words.hash >> np.uint64(3)
         self.counts = self.words.counts()
 
     def spelled(self, at: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
         """The subword ids of words, one after the other, and how many each has. Words are encoded _JOINED at once, as no id
         crosses a space; those with white space of their own one by one."""
-        enc, leads, raw = tokens.encoder(path), tokens.leads(path), self.data.tobytes()
-        words = [raw[i:j] for i, j in zip(self.words.start[at].tolist(), self.words.end[at].tolist(), strict=True)]
+        enc, leads = tokens.encoder(path), tokens.leads(path)
+        start, size = self.words.start[at], (self.words.end - self.words.start)[at]
         ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in range(0, len(words), _JOINED):
-            some = words[k : k + _JOINED]
-            text = (b" " + b" ".join(some)).decode("utf-8", "replace")
+        for k in range(0, len(at), _JOINED):
+            n = size[k : k + _JOINED] + 1  # with the space before
+            edges = np.cumsum(n)
+            joined = self.data.take(np.repeat(start[k : k + _JOINED] - 1 - (edges - n), n) + np.arange(edges[-1]), mode="clip")
+            joined[edges - n] = 32
+            text = joined.tobytes().decode("utf-8", "replace")
             found = enc.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.int64)
             begin = np.flatnonzero(leads[found])
-            if len(begin) != len(some) or len(text.split()) != len(some):
-                each = [enc.encode_ordinary(" " + w.decode("utf-8", "replace")) for w in some]
+            if len(begin) != len(n) or len(text.split()) != len(n):
+                each = [enc.encode_ordinary(joined[j - m : j].tobytes().decode("utf-8", "replace")) for j, m in zip(edges.tolist(), n.tolist(), strict=True)]
                 found, begin = np.array([i for x in each for i in x], np.int64), np.cumsum([0, *(len(x) for x in each[:-1])])
             ids.append(found)
             sizes.append(np.diff(begin, append=len(found)))
         return np.concatenate(ids), np.concatenate(sizes)
 
+    def first_bytes(self, at: np.ndarray) -> np.ndarray:
+        """The first two bytes of words; a stop stands behind a word's last."""
+        start = self.words.start[at]
+        second = np.where(self.words.end[at] > start + 1, self.data.take(start + 1, mode="clip"), _STOP) if len(at) else np.zeros(0, np.uint8)
+        return self.data[start].astype(np.int64) << 8 | second
+
     def bytes_of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of words: the first two bytes (a stop stands behind a word's last); then for each further byte, the stop
-        included, the word, by its place in `at`, and a number of 40 bits: the four bytes before it, and it."""
+        """Of words: the first two bytes; then for each further byte, the stop included, the word, by its place in `at`, and
+        a number of 40 bits: the four bytes before it, and it."""
         start, size = self.words.start[at], (self.words.end - self.words.start)[at]
-        last = max(len(self.data) - 1, 0)
-        second = np.where(size > 1, self.data[np.minimum(start + 1, last)], _STOP) if len(at) else np.zeros(0, np.uint8)
-        first = self.data[start].astype(np.int64) << 8 | second
         n = np.maximum(size - 1, 0)
         word = np.repeat(np.arange(len(at)), n)
         i = 2 + np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
-        place = start[word] + i
-        gram = np.where(i < size[word], self.data[np.minimum(place, last)], _STOP).astype(np.uint64)
-        for back in (1, 2, 3, 4):
-            gram |= np.where(i >= back, self.data[np.maximum(place - back, 0)], 0).astype(np.uint64) << np.uint64(8 * back)
-        return first, word, gram
+        padded = np.concatenate([np.zeros(7, np.uint8), self.data, np.zeros(1, np.uint8)])
+        eight = np.lib.stride_tricks.as_strided(padded[:8].view(">u8"), (len(self.data) + 1,), (1,), writeable=False)  # by the place of the last
+        gram = eight[start[word] + i].astype(np.uint64) & _LAST[np.minimum(i, 4)]
+        stop = i == size[word]
+        gram[stop] = gram[stop] & ~np.uint64(255) | np.uint64(_STOP)
+        return self.first_bytes(at), word, gram
 
 
 def _far(gram: np.ndarray) -> np.ndarray:
@@ -301,14 +313,14 @@ class Gate:
         z /= _over_experts(z)
         return z, (x, w, heads)
 
-    def gradients(self, vectors: np.ndarray, given: np.ndarray, counted: np.ndarray) -> tuple[float, dict, np.ndarray]:
+    def gradients(self, vectors: np.ndarray, given: np.ndarray, counted: np.ndarray, n: float | None = None) -> tuple[float, dict, np.ndarray]:
         """Mean log likelihood, its gradients by the parameters and by the vectors read; given: what each expert gives
-        the word that comes, counted: whether it counts."""
+        the word that comes, counted: whether it counts. n: what the sums are divided by, if these are not all words."""
         p, size = self.p, DIM // HEADS
         z, (x, w, heads) = self.forward(vectors)
         mix = z * given
         total = np.maximum(_over_experts(mix), _DEAD)
-        n = max(counted.sum(), 1)
+        n = max(counted.sum(), 1) if n is None else n
         dz = (mix / total - z) * (counted / n)[:, :, None]
         dm = np.empty((*x.shape[:2], w.shape[1]), x.dtype)
         dm[:, :, -EXPERTS:] = dz
@@ -365,13 +377,13 @@ def sequences(words: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarr
     return out, starts, before
 
 
-def _sum_by(groups: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sum_by(groups: np.ndarray, values: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(distinct groups, sums of their rows of float32, which are added in pairs, as complex numbers, at half the cost);
-    groups are numbers below 2**16 (which sort faster) or any others."""
+    groups are numbers below 2**16 (which sort faster) or any others; rows: those of values, if not one for each group."""
     order = np.argsort(groups.astype(np.uint16) if len(groups) and groups.max() < 1 << 16 else groups, kind="stable")
     groups = groups[order]
     first = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])[: len(groups)])
-    return groups[first], np.add.reduceat(values.take(order, axis=0).view(np.complex64), first, axis=0).view(np.float32)
+    return groups[first], np.add.reduceat(values.take(order if rows is None else rows[order], axis=0).view(np.complex64), first, axis=0).view(np.float32)
 
 
 def _of_pieces(emb: np.ndarray, flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -405,18 +417,26 @@ def learn(gate: Gate, state: dict, flat: np.ndarray, first: np.ndarray, sizes: n
         inverse = row[read]
         row[own] = 0
         n = sizes[own]
-        ids = flat[np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        piece_of = np.repeat(np.arange(len(own)), n)
+        ids = flat[(first[own] - (np.cumsum(n) - n))[piece_of] + np.arange(len(piece_of))]
         scale = n.astype(np.float32)[:, None] ** -0.5
         vectors = _of_pieces(gate.p["emb"], flat, first[own], n)
         vectors *= scale
-        _, g, dx = gate.gradients(vectors.take(inverse, axis=0), given.take(words[at], axis=0), inside)
+        g, dx, come, total = {}, np.empty((*at.shape, DIM), np.float32), words[at], max(inside.sum(), 1)
+        for a in range(0, len(at), _SIDE):
+            some = slice(a, a + _SIDE)
+            _, more, dx[some] = gate.gradients(vectors.take(inverse[some], axis=0), given.take(come[some], axis=0), inside[some], total)
+            g = {k: g[k] + x if g else x for k, x in more.items()}
         _, by_word = _sum_by(inverse.ravel(), dx.reshape(-1, DIM))
-        pieces, grad = _sum_by(ids, np.repeat(by_word * scale, n, axis=0))
+        pieces, grad = _sum_by(ids, by_word * scale, piece_of)
         gate.update(g, pieces, grad, state, rate)
         used[pieces] += 1
     return used
 
 
+_SPELLED: dict[tuple, Spelled] = {}
+
+
 class Spelled:
     """Subword ids of words; those of head words are kept."""
 
@@ -424,6 +444,15 @@ class Spelled:
         self.path, self.end = path, pieces - 1
         self.flat, self.first, self.sizes = np.zeros(0, np.int64), np.zeros(head, np.int64), np.zeros(head, np.int64)
 
+    @classmethod
+    def kept(cls, model: Model) -> Spelled:
+        """What this process has spelled of the model's head, in all its tasks and turns."""
+        key = (model.tokenizer_path, hashlib.sha1(model.head.keys).digest(), hashlib.sha1(model.head.places).digest())
+        if key not in _SPELLED:
+            _SPELLED.clear()
+            _SPELLED[key] = cls(len(model.table), len(model.gate.p["emb"]), model.tokenizer_path)
+        return _SPELLED[key]
+
     def of(self, t: Text, at: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, starts, numbers) of words, by where they are and their places in the head, and of the end behind them."""
         new = np.flatnonzero(place >= 0)
@@ -494,14 +523,15 @@ class Model:
         end = self.head.find(np.array([_END], np.uint64))[0]
         flat, first, sizes = spelled.of(t, at, place)
         given = np.empty((len(at) + 1, EXPERTS), np.float32)
-        given[:-1][place >= 0], given[:-1][place < 0] = self.table[place[place >= 0]], self.first[t.bytes_of(at[place < 0])[0]]
+        given[:-1][place >= 0], given[:-1][place < 0] = self.table[place[place >= 0]], self.first[t.first_bytes(at[place < 0])]
         given[-1] = self.table[end] if end >= 0 else self.first[_STOP << 8]
         words, starts, before = sequences(numbers, t.counts, len(at))
         return flat, first, sizes, words, before, starts, given
 
-    def score(self, t: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, t: Text, held_out: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each text log10 of the probability of its head words, and of the others: hash, text, weights of the
-        experts in 255ths, and log10 of the probability that an unseen word comes and is spelled like that."""
+        experts in 255ths, and in texts that are held out log10 of the probability that an unseen word comes and is spelled
+        like that (elsewhere 0: training has seen all their words)."""
         place = self.head.find(t.ids)
         rows, words = self.vectors(t, place)
         _, starts, before = sequences(words, t.counts, len(rows) - 1)
@@ -512,8 +542,8 @@ class Model:
         steps = np.arange(WINDOW)
         for skip in (0, WINDOW - STRIDE):  # a text's first window scores all its words, a later one what the one before has not
             mine = np.flatnonzero(own - begin == skip)
-            for a in range(0, len(mine), 128):
-                some = mine[a : a + 128]
+            for a in range(0, len(mine), _SIDE):
+                some = mine[a : a + _SIDE]
                 at = begin[some, None] + steps
                 z, _ = self.gate.forward(rows.take(before[np.minimum(at, len(before) - 1)], axis=0), folded, skip)
                 scored = at[:, skip:] < stop[some, None]
@@ -526,13 +556,14 @@ class Model:
         odd = odd_at - text  # among the words, as one end stands behind each text before
         end = odd_at == starts[1:][text] - 1
         hashes, spelling = np.full(len(odd_at), _END), np.zeros(len(odd_at))
-        first = np.full(len(odd_at), _STOP << 8)
         hashes[~end] = t.ids[odd[~end]]
-        kinds, which, inverse = np.unique(hashes[~end], return_index=True, return_inverse=True)
-        pair, word, gram = t.bytes_of(odd[~end][which])
+        new = held_out[text]
+        first, at = np.full(len(odd_at), _STOP << 8), np.flatnonzero(new & ~end)
+        kinds, which, inverse = np.unique(hashes[at], return_index=True, return_inverse=True)
+        pair, word, gram = t.bytes_of(odd[at[which]])
         further = np.bincount(word, self.speller.chance(gram), len(kinds))
-        first[~end], spelling[~end] = pair[inverse], further[inverse]
-        spelling += np.log10(np.maximum(np.einsum("ne,ne->n", z_odd, self.first[first]), _DEAD))
+        first[at], spelling[at] = pair[inverse], further[inverse]
+        spelling[new] += np.log10(np.maximum(np.einsum("ne,ne->n", z_odd[new], self.first[first[new]]), _DEAD))
         weights = np.round(z_odd * 255).astype(np.uint8).view("<i8").ravel() if len(z_odd) else np.zeros(0, np.int64)
         return np.add.reduceat(value, starts[:-1]), hashes, text, weights, spelling
 
@@ -549,11 +580,9 @@ def sampled(docs: DataFrame) -> pa.Array:
 
 def cells_of(t: Text) -> np.ndarray:
     """The cell of each text: the signs of its words' sums of hashed signs."""
-    bits = np.arange(CELL_BITS, dtype=np.uint64)
-    signs = 1 - 2 * (common.mix64(t.ids)[:, None] >> bits & np.uint64(1)).astype(np.int32)
-    sums, full = np.zeros((len(t.counts), CELL_BITS), np.int64), np.flatnonzero(t.counts)
-    if len(full):
-        sums[full] = np.add.reduceat(signs, (np.cumsum(t.counts) - t.counts)[full], axis=0)
+    signs = 1 - 2 * (np.arange(CELLS)[:, None] >> np.arange(CELL_BITS) & 1)  # by a word's last bits
+    last = (common.mix64(t.ids) & np.uint64(CELLS - 1)).astype(np.int64)
+    sums = np.bincount(t.words.doc * CELLS + last, minlength=len(t.counts) * CELLS).reshape(-1, CELLS) @ signs
     return ((sums > 0) << np.arange(CELL_BITS)).sum(1)
 
 
@@ -597,7 +626,7 @@ def cells(docs: DataFrame) -> DataFrame:
 def _logs(found: np.ndarray, smooth: float = SMOOTH) -> np.ndarray:
     """Log probabilities (words, EXPERTS) from the words' numbers by expert."""
     share = found.sum(1, keepdims=True) + 0.01
-    return np.log((found + smooth * share / max(share.sum(), 1)) / (found.sum(0) + smooth)).astype(np.float32)
+    return np.log(((found + smooth * share / max(share.sum(), 1)) / (found.sum(0) + smooth)).astype(np.float32))
 
 
 def _prior(texts: np.ndarray) -> np.ndarray:
@@ -739,7 +768,7 @@ def taught(docs: DataFrame, model: Model, squares: np.ndarray, rate: float, turn
         task = TaskContext.get().partitionId()
         gate, state, rng = Gate(1, model.gate.p["b"]), {"emb": squares.copy()}, np.random.default_rng([3, turn, task])
         gate.p = {k: x.copy() for k, x in model.gate.p.items()}
-        spelled, used, n = Spelled(len(model.table), len(squares), model.tokenizer_path), np.zeros(len(squares), np.int64), 0
+        spelled, used, n = Spelled.kept(model), np.zeros(len(squares), np.int64), 0
         for batch in batches:
             for piece in common.slices(batch, "text", _SLICE):
                 flat, first, sizes, words, before, starts, given = model.lesson(Text(piece.column("text")), spelled)
@@ -844,7 +873,7 @@ def score(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
         for batch in batches:
             for piece in common.slices(batch, "text", _SLICE):
                 t, n = Text(piece.column("text")), piece.num_rows
-                value, hashes, text, weights, spelling = model.score(t)
+                value, hashes, text, weights, spelling = model.score(t, piece.column("held_out").to_numpy(zero_copy_only=False))
                 place, end = model.head.find(t.ids), model.head.find(np.array([_END], np.uint64))[0]
                 known = place >= 0
                 base = np.bincount(t.words.doc[known], model.bases[place[known]], n) + (model.bases[end] if end >= 0 else 0.0)
@@ -857,7 +886,7 @@ def score(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
                     names=["row", "doc_id", "n_tokens", "n_known", "base", "score", "words", "weights", "spelling"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.null_as_empty("text").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.null_as_empty("text").alias("text"), (common.crc_mod("doc_id", 10) == 0).alias("held_out"))
     schema = "row long, doc_id long, n_tokens long, n_known long, base double, score double, words array<long>, weights array<long>, spelling array<float>"
     scored = common.stash(rows.mapInArrow(run, schema), "lm-scored")
     odd = scored.select("row", F.explode(F.arrays_zip("words", "weights", "spelling")).alias("_w")).select("row", F.col("_w.words").alias("key"), F.col("_w.weights").alias("weights"), F.col("_w.spelling").cast("double").alias("spelling"))

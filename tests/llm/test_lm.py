@@ -272,3 +272,42 @@ def test_rows_are_summed_by_group():
         want = [values[groups == g].sum(0) for g in np.unique(groups)]
         assert own.tolist() == np.unique(groups).tolist() and sums.dtype == np.float32
         assert np.allclose(sums, np.reshape(want, (-1, lm.DIM)), atol=1e-5)
+
+
+def test_words_of_training_documents_are_not_spelled():
+    """Only a held-out text can hold a word that training has not seen; the scores of others have no use for a spelling."""
+    path, rng = tokens.default_path(), np.random.default_rng(3)
+    t = lm.Text(pa.array(["the rare word", "the seldom seen one", ""]))
+    speller, asked = lm.Speller(*((np.zeros(0, np.uint64), np.zeros(0)) for _ in range(2))), []
+    real = speller.chance
+    speller.chance = lambda gram: asked.append(len(gram)) or real(gram)
+    gate, first = lm.Gate(tokens.encoder(path).n_vocab, np.zeros(lm.EXPERTS)), rng.random((1 << 16, lm.EXPERTS)).astype(np.float32)
+    model = lm.Model(path, lm.Lookup(t.ids[:1]), np.full((1, lm.EXPERTS), 0.1, np.float32), np.zeros(1), first, speller, gate)
+    all_, some = (model.score(t, np.array(x)) for x in ([True] * 3, [False, True, False]))
+    assert asked[1] < asked[0] and all(np.array_equal(a, b) for a, b in zip(all_[:4], some[:4], strict=True))
+    assert some[4].tolist() == np.where(some[2] == 1, all_[4], 0).tolist()
+
+
+def test_a_process_spells_head_words_once():
+    path = tokens.default_path()
+    gate = lm.Gate(tokens.encoder(path).n_vocab, np.zeros(lm.EXPERTS))
+
+    def model(t):
+        n = len(t.ids)
+        return lm.Model(path, lm.Lookup(t.ids), np.full((n, lm.EXPERTS), 0.1, np.float32), np.zeros(n), np.full((1 << 16, lm.EXPERTS), 0.01, np.float32), None, gate)
+
+    t = lm.Text(pa.array(["one two", "three"]))
+    kept = lm.Spelled.kept(model(t))
+    once = model(t).lesson(t, kept)
+    assert lm.Spelled.kept(model(t)) is kept and (kept.sizes > 0).all()
+    assert all(np.array_equal(a, b) for a, b in zip(once, model(t).lesson(t, kept), strict=True))
+    assert lm.Spelled.kept(model(lm.Text(pa.array(["one two four"])))) is not kept
+
+
+def test_gradients_of_runs_of_windows_add_up():
+    rng, gate = np.random.default_rng(2), lm.Gate(50, np.zeros(lm.EXPERTS))
+    x = rng.normal(size=(5, lm.WINDOW, lm.DIM)).astype(np.float32)
+    given, counted = rng.random((5, lm.WINDOW, lm.EXPERTS)).astype(np.float32), (rng.random((5, lm.WINDOW)) < 0.8).astype(np.float32)
+    whole, parts = gate.gradients(x, given, counted), [gate.gradients(x[s], given[s], counted[s], counted.sum()) for s in (slice(0, 2), slice(2, 5))]
+    assert np.allclose(np.concatenate([p[2] for p in parts]), whole[2], atol=1e-6)
+    assert all(np.allclose(sum(p[1][k] for p in parts), v, atol=1e-5) for k, v in whole[1].items())
