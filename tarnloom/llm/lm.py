@@ -69,6 +69,8 @@ _EACH = 16
 _JOINED = 512
 #: Windows that are computed at once, so that what they make stays in the processor's cache.
 _SIDE = 32
+#: Columns of what each head's values add, of a projected word: behind queries and keys, before the residual.
+_VALUES = [slice(2 * DIM + h * EXPERTS, 2 * DIM + (h + 1) * EXPERTS) for h in range(HEADS)]
 
 
 def training(docs: DataFrame) -> DataFrame:
@@ -289,35 +291,45 @@ class Gate:
         heads = [p["v"][:, h : h + size] @ (p["o"][h : h + size] @ p["u"]) for h in range(0, DIM, size)]
         return np.concatenate([p["q"] * size**-0.5, p["k"], *heads, p["u"]], axis=1).astype(p["q"].dtype, copy=False)
 
+    def places(self, folded: np.ndarray) -> np.ndarray:
+        """What its place in the window adds to a projected word."""
+        out = self.p["pos"] @ folded
+        out[:, -EXPERTS:] += self.p["b"]
+        return out
+
     def forward(self, x: np.ndarray, folded: np.ndarray | None = None, skip: int = 0):
         """x: (windows, WINDOW, DIM) vectors of what was read; (windows, WINDOW - skip, EXPERTS) weights of all words but the
         first `skip`, which are only looked back at, and what backward needs."""
-        size = DIM // HEADS
         w = self.folded() if folded is None else folded
         x = x + self.p["pos"]
         m = (x.reshape(-1, DIM) @ w).reshape(*x.shape[:2], -1)
-        z, heads = m[:, skip:, -EXPERTS:] + self.p["b"], []
+        m[:, :, -EXPERTS:] += self.p["b"]
+        z, heads = self.weigh(m, skip)
+        return z, (x, w, heads)
+
+    def weigh(self, m: np.ndarray, skip: int = 0):
+        """forward() from projected words."""
+        size, (n, length) = DIM // HEADS, m.shape[:2]
+        z, ones, heads = m[:, skip:, -EXPERTS:].copy(), np.ones((length, 1), m.dtype), []
         for h in range(HEADS):
-            q, k = m[:, skip:, h * size : (h + 1) * size], m[:, :, DIM + h * size : DIM + (h + 1) * size]
-            v = np.ones((*x.shape[:2], EXPERTS + 1), x.dtype)  # a one behind them: the sum of the weights
-            v[:, :, :EXPERTS] = m[:, :, 2 * DIM + h * EXPERTS : 2 * DIM + (h + 1) * EXPERTS]
+            q, k, v = m[:, skip:, h * size : (h + 1) * size], m[:, :, DIM + h * size : DIM + (h + 1) * size], m[:, :, _VALUES[h]]
             e = q @ k.transpose(0, 2, 1)
             np.exp(np.clip(e, -40, 40, out=e), out=e)  # a word sees itself, so no sum is empty
-            e *= self.past[skip:]
+            e *= self.past[skip:length, :length]
+            total = (e.reshape(-1, length) @ ones).reshape(n, -1, 1)
             c = e @ v
-            total = c[:, :, EXPERTS:]
-            c = c[:, :, :EXPERTS] / total
+            c /= total
             z += c
             heads.append((q, k, v, e, total, c))
         np.exp(np.clip(z, -30, 30, out=z), out=z)
         z /= _over_experts(z)
-        return z, (x, w, heads)
+        return z, heads
 
-    def gradients(self, vectors: np.ndarray, given: np.ndarray, counted: np.ndarray, n: float | None = None) -> tuple[float, dict, np.ndarray]:
+    def gradients(self, vectors: np.ndarray, given: np.ndarray, counted: np.ndarray, n: float | None = None, folded: np.ndarray | None = None) -> tuple[float, dict, np.ndarray]:
         """Mean log likelihood, its gradients by the parameters and by the vectors read; given: what each expert gives
         the word that comes, counted: whether it counts. n: what the sums are divided by, if these are not all words."""
         p, size = self.p, DIM // HEADS
-        z, (x, w, heads) = self.forward(vectors)
+        z, (x, w, heads) = self.forward(vectors, folded)
         mix = z * given
         total = np.maximum(_over_experts(mix), _DEAD)
         n = max(counted.sum(), 1) if n is None else n
@@ -325,17 +337,18 @@ class Gate:
         dm = np.empty((*x.shape[:2], w.shape[1]), x.dtype)
         dm[:, :, -EXPERTS:] = dz
         for h, (q, k, v, e, sums, c) in enumerate(heads):
-            by = np.concatenate([dz, -_over_experts(dz * c)], axis=2) / sums
+            by = dz / sums
             ds = by @ v.transpose(0, 2, 1)
+            ds -= _over_experts(by * c)
             ds *= e
             np.matmul(ds, k, out=dm[:, :, h * size : (h + 1) * size])
             np.matmul(ds.transpose(0, 2, 1), q, out=dm[:, :, DIM + h * size : DIM + (h + 1) * size])
-            np.matmul(e.transpose(0, 2, 1), by[:, :, :EXPERTS], out=dm[:, :, 2 * DIM + h * EXPERTS : 2 * DIM + (h + 1) * EXPERTS])
+            np.matmul(e.transpose(0, 2, 1), by, out=dm[:, :, _VALUES[h]])
         flat = dm.reshape(-1, w.shape[1])
         dw, dx = x.reshape(-1, DIM).T @ flat, (flat @ w.T).reshape(x.shape)
         g = {"q": dw[:, :DIM] * size**-0.5, "k": dw[:, DIM : 2 * DIM], "u": dw[:, -EXPERTS:].copy(), "b": dz.sum((0, 1)), "pos": dx.sum(0), "v": np.empty_like(p["v"]), "o": np.empty_like(p["o"])}
-        for h in range(HEADS):
-            own, by = slice(h * size, (h + 1) * size), dw[:, 2 * DIM + h * EXPERTS : 2 * DIM + (h + 1) * EXPERTS]
+        for h, at in enumerate(_VALUES):
+            own, by = slice(h * size, (h + 1) * size), dw[:, at]
             g["v"][:, own] = by @ (p["o"][own] @ p["u"]).T
             g["o"][own] = p["v"][:, own].T @ by @ p["u"].T
             g["u"] += (p["v"][:, own] @ p["o"][own]).T @ by
@@ -407,8 +420,8 @@ def learn(gate: Gate, state: dict, flat: np.ndarray, first: np.ndarray, sizes: n
     row = np.zeros(len(sizes), np.int64)  # of a word among the batch's
     for part in np.array_split(rng.permutation(len(begin)), max(1, len(begin) // batch)):
         at = begin[part][:, None] + np.arange(WINDOW)
-        inside = (at < stop[part][:, None]).astype(np.float32)
-        at = np.minimum(at, len(before) - 1)
+        inside = at < stop[part][:, None]
+        at = np.where(inside, at, begin[part][:, None])  # what fills a window up is a word of its own, and changes nothing
         read = before[at]
         row[read] = 1
         own = np.flatnonzero(row)
@@ -422,12 +435,14 @@ def learn(gate: Gate, state: dict, flat: np.ndarray, first: np.ndarray, sizes: n
         scale = n.astype(np.float32)[:, None] ** -0.5
         vectors = _of_pieces(gate.p["emb"], flat, first[own], n)
         vectors *= scale
-        g, dx, come, total = {}, np.empty((*at.shape, DIM), np.float32), words[at], max(inside.sum(), 1)
+        g, dx, come, counted, total = {}, np.empty((*at.shape, DIM), np.float32), words[at], inside.astype(np.float32), max(float(inside.sum()), 1.0)
+        folded = gate.folded()
         for a in range(0, len(at), _SIDE):
             some = slice(a, a + _SIDE)
-            _, more, dx[some] = gate.gradients(vectors.take(inverse[some], axis=0), given.take(come[some], axis=0), inside[some], total)
+            _, more, dx[some] = gate.gradients(vectors.take(inverse[some], axis=0), given.take(come[some], axis=0), counted[some], total, folded)
             g = {k: g[k] + x if g else x for k, x in more.items()}
-        _, by_word = _sum_by(inverse.ravel(), dx.reshape(-1, DIM))
+        real = np.flatnonzero(inside)
+        _, by_word = _sum_by(inverse.ravel()[real], dx.reshape(-1, DIM), real)
         pieces, grad = _sum_by(ids, by_word * scale, piece_of)
         gate.update(g, pieces, grad, state, rate)
         used[pieces] += 1
@@ -538,6 +553,8 @@ class Model:
         come, _, _ = sequences(place.astype(np.int64), t.counts, int(self.head.find(np.array([_END], np.uint64))[0]))
         odd_at = np.flatnonzero(come < 0)
         value, z_odd, folded = np.zeros(len(come)), np.zeros((len(odd_at), EXPERTS), np.float32), self.gate.folded()
+        rows, places = rows @ folded, self.gate.places(folded)  # once for each distinct word
+        table = self.table if len(self.table) else np.ones((1, EXPERTS), np.float32)
         begin, stop, own = windows(starts)
         steps = np.arange(WINDOW)
         for skip in (0, WINDOW - STRIDE):  # a text's first window scores all its words, a later one what the one before has not
@@ -545,13 +562,17 @@ class Model:
             for a in range(0, len(mine), _SIDE):
                 some = mine[a : a + _SIDE]
                 at = begin[some, None] + steps
-                z, _ = self.gate.forward(rows.take(before[np.minimum(at, len(before) - 1)], axis=0), folded, skip)
+                m = rows.take(before[np.minimum(at, len(before) - 1)], axis=0)
+                m += places
+                z, _ = self.gate.weigh(m, skip)
                 scored = at[:, skip:] < stop[some, None]
                 z, at = z[scored], at[:, skip:][scored]
                 what = come[at]
-                head = what >= 0
-                value[at[head]] = np.log10(np.maximum(_over_experts(z[head] * self.table.take(what[head], axis=0))[:, 0], _DEAD))
-                z_odd[np.searchsorted(odd_at, at[~head])] = z[~head]
+                odd = np.flatnonzero(what < 0)
+                p = _over_experts(table.take(what, axis=0) * z)[:, 0]
+                p[odd] = 1  # these are weighed below
+                value[at] = np.log10(np.maximum(p, _DEAD))
+                z_odd[np.searchsorted(odd_at, at[odd])] = z[odd]
         text = np.repeat(np.arange(len(t.counts)), t.counts + 1)[odd_at]
         odd = odd_at - text  # among the words, as one end stands behind each text before
         end = odd_at == starts[1:][text] - 1

@@ -311,3 +311,20 @@ def test_gradients_of_runs_of_windows_add_up():
     whole, parts = gate.gradients(x, given, counted), [gate.gradients(x[s], given[s], counted[s], counted.sum()) for s in (slice(0, 2), slice(2, 5))]
     assert np.allclose(np.concatenate([p[2] for p in parts]), whole[2], atol=1e-6)
     assert all(np.allclose(sum(p[1][k] for p in parts), v, atol=1e-5) for k, v in whole[1].items())
+
+
+def test_words_may_be_projected_before_they_are_dealt_to_windows():
+    """Scoring projects a distinct word once; its weights are those of its vectors read in place."""
+    rng, gate, skip = np.random.default_rng(1), lm.Gate(100, np.zeros(lm.EXPERTS)), lm.WINDOW - lm.STRIDE
+    rows, read = rng.normal(size=(9, lm.DIM)).astype(np.float32), rng.integers(0, 9, (3, lm.WINDOW))
+    folded = gate.folded()
+    z, _ = gate.weigh((rows @ folded).take(read, axis=0) + gate.places(folded), skip)
+    assert np.allclose(z, gate.forward(rows[read], skip=skip)[0], atol=1e-5)
+
+
+def test_what_fills_a_window_up_counts_as_no_change():
+    """A window of three words, whose filling once was the next text, changes the embeddings of its own words only."""
+    rng, gate = np.random.default_rng(8), lm.Gate(6, np.zeros(lm.EXPERTS))
+    sizes, given = np.ones(6, np.int64), rng.random((6, lm.EXPERTS)).astype(np.float32)
+    used = lm.learn(gate, {}, np.arange(6), np.arange(6), sizes, np.arange(6), np.arange(6), np.array([0, 3, 6]), given, rng, 0.01, batch=1)
+    assert used.tolist() == [1] * 6
